@@ -76,57 +76,64 @@ def split_by_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return checkpointed(placed)
 
 
-def _ordered(keys: list[str], order: list[str]):
-    return Window.partitionBy(*keys).orderBy(*order)
-
+def ordered_scan(
+    split: DataFrame,
+    keys: list[str],
+    order: list[str],
+    sums: dict[str, str] | None = None,
+    lasts: dict[str, tuple[str, int]] | None = None,
+) -> DataFrame:
+    """Running sums and last seen values per key, over rows from ``split_by_order``.
 
-def _carried(per_part: DataFrame, keys: list[str], carry: Column) -> DataFrame:
-    """What each key brings into a partition from the ones before it.
+    ``sums`` maps a new column to the column it adds up, this row included. ``lasts``
+    maps a new column to ``(column, rows back)``: the last non-null value at least so
+    many rows back, 0 or 1. Give a struct column to see nulls inside it.
 
-    Only the first key of a partition can have started earlier, so there are fewer
-    rows than partitions: small enough to broadcast by construction.
+    Each partition is scanned by itself. What a key brings in from earlier partitions
+    comes from one summary row per key and partition. Only the first key of a
+    partition can have started earlier, so fewer rows than partitions are carried:
+    small enough to broadcast by construction.
     """
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return F.broadcast(
-        per_part.withColumn("_carry", carry.over(before))
-        .where(F.col("_carry").isNotNull())
-        .select(*keys, "_part", "_carry")
+    sums, lasts = sums or {}, lasts or {}
+    summary = [F.sum(value).alias(f"_sum_{name}") for name, value in sums.items()]
+    for name, (value, _) in lasts.items():
+        present = F.when(F.col(value).isNotNull(), F.struct(*order))
+        summary.append(F.max_by(value, present).alias(f"_last_{name}"))
+    per_part = split.groupBy(*keys, "_part").agg(*summary)
+
+    by_part = Window.partitionBy(*keys).orderBy("_part")
+    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.broadcast(
+        per_part.select(
+            *keys,
+            "_part",
+            F.lag("_part").over(by_part).alias("_earlier"),
+            *[F.sum(f"_sum_{name}").over(before).alias(f"_in_{name}") for name in sums],
+            *[
+                F.last(f"_last_{name}", ignorenulls=True).over(before).alias(f"_in_{name}")
+                for name in lasts
+            ],
+        )
+        .where(F.col("_earlier").isNotNull())
+        .drop("_earlier")
     )
 
+    rows = Window.partitionBy(*keys, "_part").orderBy(*order)
+    local = {
+        f"_own_{name}": F.sum(value).over(rows.rowsBetween(Window.unboundedPreceding, 0))
+        for name, value in sums.items()
+    }
+    for name, (value, back) in lasts.items():
+        frame = rows.rowsBetween(Window.unboundedPreceding, -back)
+        local[f"_own_{name}"] = F.last(value, ignorenulls=True).over(frame)
 
-def running_sum(
-    split: DataFrame, keys: list[str], order: list[str], value: str, name: str
-) -> DataFrame:
-    """Sum of ``value`` from the first row of the key up to this one."""
-    per_part = split.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
-    carried = _carried(per_part, keys, F.sum("_sum"))
-    local = _ordered([*keys, "_part"], order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        split.withColumn("_local", F.sum(value).over(local))
-        .join(carried, [*keys, "_part"], "left")
-        .withColumn(name, F.coalesce("_carry", F.lit(0)) + F.coalesce("_local", F.lit(0)))
-        .drop("_local", "_carry")
-    )
-
-
-def last_seen(
-    split: DataFrame, keys: list[str], order: list[str], value: str, name: str, before: int = 0
-) -> DataFrame:
-    """The last non-null ``value`` of the key up to ``before`` rows ahead of this one.
-
-    Give ``value`` as a struct column to carry nulls inside it. ``before=1`` looks
-    only at earlier rows.
-    """
-    present = F.when(F.col(value).isNotNull(), F.struct(*order))
-    per_part = split.groupBy(*keys, "_part").agg(F.max_by(value, present).alias("_last"))
-    carried = _carried(per_part, keys, F.last("_last", ignorenulls=True))
-    local = _ordered([*keys, "_part"], order).rowsBetween(Window.unboundedPreceding, -before)
-    return (
-        split.withColumn("_local", F.last(value, ignorenulls=True).over(local))
-        .join(carried, [*keys, "_part"], "left")
-        .withColumn(name, F.coalesce("_local", "_carry"))
-        .drop("_local", "_carry")
-    )
+    joined = split.withColumns(local).join(carried, [*keys, "_part"], "left")
+    results = {
+        name: F.coalesce(f"_in_{name}", F.lit(0)) + F.coalesce(f"_own_{name}", F.lit(0))
+        for name in sums
+    }
+    results |= {name: F.coalesce(f"_own_{name}", f"_in_{name}") for name in lasts}
+    return joined.select(*split.drop("_part").columns, *[v.alias(n) for n, v in results.items()])
 
 
 def last_before(
@@ -148,6 +155,7 @@ def last_before(
     )
     order = [at, "_probe", tie]
     both = split_by_order(left.unionByName(right, allowMissingColumns=True), keys, order)
-    matched = last_seen(both, keys, order, "_build", name).where(F.col("_probe") == 1)
+    scanned = ordered_scan(both, keys, order, lasts={name: ("_build", 0)})
+    matched = scanned.where(F.col("_probe") == 1)
     kept = [F.col("_kept")[column].alias(column) for column in probe_columns]
     return matched.select(*keys, at, tie, *kept, name)

@@ -24,7 +24,7 @@ def execute(spark: SparkSession, sql: str) -> None:
 
 def read_script(spark: SparkSession, path: str) -> str:
     """Text of a SQL file, from any file system Spark reads."""
-    found = spark.read.option("wholetext", "true").text(path).head()
+    found = spark.read.text(path, wholetext=True).head()
     return found["value"] if found else ""
 
 

@@ -25,10 +25,11 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("a web address is not a file or folder")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if system.getFileStatus(target).isDirectory():
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(MANIFEST_SUFFIXES) + "}")
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    texts = reader.text(path, wholetext=True)
+    return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_logs(spark: SparkSession, services: dict[str, str], streaming: bool = False) -> DataFrame:
