@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakeseed.workspace import checkpointed
+from lakeseed.workspace import stored
 
 # At most this many keys are salted. Any key left out holds fewer than 1/1001 of the rows.
 HOT_KEYS = 1000
@@ -70,10 +70,11 @@ def split_by_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     """Range partition by key and order, so that a hot key spans many partitions.
 
     The partition number is kept in ``_part``. Range bounds come from a sample that
-    differs from run to run, hence the checkpoint before the numbers are used twice.
+    differs from run to run, so the rows are written to the shared folder before the
+    numbers are used twice; a lost executor then costs no second sample.
     """
     placed = rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
-    return checkpointed(placed)
+    return stored(placed, "ordered")
 
 
 def ordered_scan(
@@ -116,6 +117,7 @@ def ordered_scan(
         )
         .where(F.col("_earlier").isNotNull())
         .drop("_earlier")
+        .withColumnsRenamed({key: f"_key_{key}" for key in keys})
     )
 
     rows = Window.partitionBy(*keys, "_part").orderBy(*order)
@@ -127,12 +129,18 @@ def ordered_scan(
         frame = rows.rowsBetween(Window.unboundedPreceding, -back)
         local[f"_own_{name}"] = F.last(value, ignorenulls=True).over(frame)
 
-    joined = split.withColumns(local).join(carried, [*keys, "_part"], "left")
+    joined = split.withColumns(local).join(carried, "_part", "left")
+    # One key per partition carries something in; null is a key like any other.
+    goes_on = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in keys])
+    brought = {name: F.when(goes_on, F.col(f"_in_{name}")) for name in [*sums, *lasts]}
     results = {
-        name: F.coalesce(f"_in_{name}", F.lit(0)) + F.coalesce(f"_own_{name}", F.lit(0))
+        name: F.when(
+            brought[name].isNotNull() | F.col(f"_own_{name}").isNotNull(),
+            F.coalesce(brought[name], F.lit(0)) + F.coalesce(f"_own_{name}", F.lit(0)),
+        )
         for name in sums
     }
-    results |= {name: F.coalesce(f"_own_{name}", f"_in_{name}") for name in lasts}
+    results |= {name: F.coalesce(F.col(f"_own_{name}"), brought[name]) for name in lasts}
     return joined.select(*split.drop("_part").columns, *[v.alias(n) for n, v in results.items()])
 
 
@@ -150,7 +158,8 @@ def last_before(
     left = probes.select(
         *keys, at, tie, F.lit(1).alias("_probe"), probe_struct.alias("_kept")
     )
-    right = builds.select(
+    # A build row without a key matches nothing.
+    right = builds.dropna(subset=keys).select(
         *keys, at, tie, F.lit(0).alias("_probe"), F.struct(*build_columns).alias("_build")
     )
     order = [at, "_probe", tie]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lakeseed.workspace import new_path
+from lakeseed.workspace import new_path, stored
 
 # Metric names; a blank metric means cosine.
 METRICS = {"": "cosine", "cosine": "cosine", "dot": "dot", "euclidean": "euclidean"}
@@ -71,7 +71,7 @@ def _scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     products = queries @ rows.T
     if metric == "cosine":
         lengths = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
-        products = np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
+        products = np.divide(products, lengths, out=np.zeros_like(products), where=lengths != 0)
     return np.nan_to_num(products, nan=-np.inf)
 
 
@@ -166,12 +166,14 @@ def nearest(
     fit = max(1, query_bytes // (8 * collection.size))
     held = queries.limit(fit + 1).collect()
     if not held:
-        held_schema = f"query_id {names['query_type']}, rank int, id {points.schema['id'].dataType.simpleString()}, score double"
-        return points.sparkSession.createDataFrame([], held_schema)
+        id_type = points.schema["id"].dataType.simpleString()
+        empty = f"query_id {names['query_type']}, rank int, id {id_type}, score double"
+        return points.sparkSession.createDataFrame([], empty)
     if len(held) <= fit:
         return _one_pass(points, held, collection.metric, k, names)
 
     out = new_path(points.sparkSession, f"nearest-{collection.name}")
+    queries = stored(queries, "queries")
     blocks = [(1, 0)]
     while blocks:
         of, number = blocks.pop()

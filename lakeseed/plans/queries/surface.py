@@ -51,9 +51,9 @@ SELECT o_custkey, o_orderkey, o_totalprice, place FROM (
          CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place
   FROM orders) ranked WHERE place <= 3""",
     "p_setops": """
-SELECT 'both' AS kind, doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) a
+SELECT 'both' AS kind, doc_id FROM (SELECT DISTINCT doc_id FROM documents INTERSECT SELECT DISTINCT doc_id FROM labels) a
 UNION ALL
-SELECT 'unlabelled' AS kind, doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) b
+SELECT 'unlabelled' AS kind, doc_id FROM (SELECT DISTINCT doc_id FROM documents EXCEPT SELECT DISTINCT doc_id FROM labels) b
 UNION ALL
 SELECT 'any' AS kind, doc_id FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels) c""",
     "p_date_bucket": """

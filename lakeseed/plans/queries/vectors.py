@@ -98,7 +98,7 @@ def points_from_json(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "points")
     payload = F.create_map(F.lit("label"), F.col("label").cast("string"))
     point = point_json(F.col("vec_id"), F.col("embedding").cast("array<double>"), payload)
-    write_points(embeddings, path, point, "vec_id", files)
+    write_points(embeddings, path, point, files)
     loaded = DOCS.checked(read_points(spark, path)).withColumn("seq", F.lit(0))
     return last_wins(loaded, ["id"], ["seq"]).select(
         "id",

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeseed.sources.objects import is_folder
+
 # Fixed value: suffixes that count as manifests inside a folder.
 MANIFEST_SUFFIXES = ["yaml", "yml"]
 
@@ -23,13 +25,12 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """
     if is_remote(path):
         raise ValueError("a web address is not a file or folder")
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
     reader = spark.read.option("recursiveFileLookup", "true")
-    if system.getFileStatus(target).isDirectory():
+    if is_folder(path):
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(MANIFEST_SUFFIXES) + "}")
     texts = reader.text(path, wholetext=True)
-    return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return texts.select(decoded.alias("path"), F.col("value").alias("text"))
 
 
 def read_logs(spark: SparkSession, services: dict[str, str], streaming: bool = False) -> DataFrame:

@@ -32,8 +32,8 @@ class RowStore:
             raise ValueError(f"unknown row store {self.kind!r}")
 
     def url(self) -> str:
-        # The stores are reached without TLS on a local network.
-        option = {"postgresql": "?sslmode=disable", "mysql": "?useSSL=false"}[self.kind]
+        # Fixed value: the option with which this store is reached on a local network.
+        option = "?sslmode=disable" if self.kind == "postgresql" else ""
         return f"jdbc:{self.kind}://{self.host}:{self.port}/{quote(self.database)}{option}"
 
     def connection_string(self) -> str:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeseed.functions.scalars import first_filled
@@ -15,7 +16,9 @@ from lakeseed.operators.write import filled_or_error, last_wins
 
 # Fixed value: content type of an object that was put without one.
 DEFAULT_TYPE = "application/octet-stream"
-MANIFEST = "bucket string, key string, length bigint, content_type string"
+# The folder beside the buckets that holds the manifests; object listings skip it.
+MANIFESTS = "_manifest"
+MANIFEST = "bucket string, key string, content_type string, length bigint"
 
 
 def _file_system(root: str) -> tuple[fs.FileSystem, str]:
@@ -24,24 +27,45 @@ def _file_system(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root)
 
 
+def is_folder(path: str) -> bool:
+    store, place = _file_system(path)
+    return store.get_file_info(place).type == fs.FileType.Directory
+
+
+# Fixed patterns: file names that Spark's listings would hide or Hadoop paths refuse.
+ESCAPES = [("%", "%25"), (":", "%3A"), (r"(^|/)_", "$1%5F"), (r"(^|/)\.", "$1%2E")]
+PATH_DEFECT = r"(^|/)(/|$)"
+
+
+def _stored_name(name: Column) -> Column:
+    """File name of an object: hidden and awkward parts are escaped, read back exactly."""
+    escaped = reduce(lambda done, pair: F.regexp_replace(done, *pair), ESCAPES, name)
+    message = F.concat(F.lit("object name has an empty part: "), name)
+    return F.when(name.rlike(PATH_DEFECT), F.raise_error(message).cast("string")).otherwise(escaped)
+
+
+def _original_name(stored: Column) -> Column:
+    return F.url_decode(F.replace(stored, F.lit("+"), F.lit("%2B")))
+
+
 def _writer(root: str, create_buckets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _file_system(root)
-        checked: set[str] = set()
+        known_buckets: set[str] = set()
+        made: set[str] = set()
         for batch in batches:
-            columns = [batch.column(name) for name in ("bucket", "key", "content", "content_type")]
             lengths = []
-            for bucket, key, content, _ in zip(*columns):
+            for bucket, path, content in zip(*[batch.column(at) for at in ("folder", "path", "content")]):
                 folder = f"{base}/{bucket}"
-                if folder not in checked:
-                    if not create_buckets and store.get_file_info(folder).type == fs.FileType.NotFound:
+                if not create_buckets and folder not in known_buckets:
+                    if store.get_file_info(folder).type == fs.FileType.NotFound:
                         raise FileNotFoundError(f"bucket {bucket} does not exist")
-                    checked.add(folder)
-                target = f"{folder}/{key}"
+                    known_buckets.add(folder)
+                target = f"{folder}/{path}"
                 parent, _, name = target.rpartition("/")
-                if parent not in checked:
+                if parent not in made:
                     store.create_dir(parent, recursive=True)
-                    checked.add(parent)
+                    made.add(parent)
                 data = content.as_buffer()
                 # A task may run twice: write aside, then move over the target at once.
                 aside = f"{parent}/_{uuid.uuid4().hex}"
@@ -49,18 +73,22 @@ def _writer(root: str, create_buckets: bool):
                     stream.write(data)
                 store.move(aside, target)
                 lengths.append(data.size)
+            kept = [batch.column(name) for name in ("bucket", "key", "content_type")]
             yield pa.RecordBatch.from_arrays(
-                [columns[0], columns[1], pa.array(lengths, pa.int64()), columns[3]],
-                names=["bucket", "key", "length", "content_type"],
+                [*kept, pa.array(lengths, pa.int64())], names=["bucket", "key", "content_type", "length"]
             )
 
     return run
 
 
 def put_objects(
-    objects: DataFrame, root: str, seq: list[str] | None = None, create_buckets: bool = True
+    objects: DataFrame,
+    root: str,
+    seq: list[str] | None = None,
+    create_buckets: bool = True,
+    batch_id: str = "0",
 ) -> DataFrame:
-    """Write each object to ``root/bucket/key`` and store the manifest beside the buckets.
+    """Write each object to ``root/bucket/key`` and return the manifest of the batch.
 
     ``objects`` has ``bucket, key, content`` (text or bytes) and may have
     ``content_type``. Keys that occur more than once need ``seq`` to tell which is the
@@ -70,21 +98,26 @@ def put_objects(
     kind = F.col("content_type") if "content_type" in objects.columns else F.lit("")
     chosen = last_wins(objects, ["bucket", "key"], seq) if seq else objects
     rows = chosen.select(
-        filled_or_error(F.col("bucket"), "bucket is required").alias("bucket"),
+        filled_or_error(
+            F.when(~F.col("bucket").contains("/"), F.col("bucket")), "bucket name is required, without a slash"
+        ).alias("bucket"),
         filled_or_error(F.col("key"), "object key is required").alias("key"),
         F.col("content").cast("binary").alias("content"),
         first_filled(kind, F.lit(DEFAULT_TYPE)).alias("content_type"),
     )
-    manifest = f"{root}/_manifest"
+    rows = rows.withColumns(
+        {"folder": _stored_name(F.col("bucket")), "path": _stored_name(F.col("key"))}
+    )
+    manifest = f"{root}/{MANIFESTS}/batch={batch_id}"
     rows.mapInArrow(_writer(root, create_buckets), MANIFEST).write.mode("overwrite").parquet(manifest)
     return spark.read.parquet(manifest)
 
 
 def _split_path(root: str):
     """Bucket and key of a file path, by its place below the root."""
-    tail = root.rstrip("/").rsplit("/", 1)[-1]
-    below = F.regexp_extract("path", rf"/{tail}/(.*)$", 1)
-    return F.substring_index(below, "/", 1), F.regexp_replace(below, "^[^/]*/", "")
+    _, place = _file_system(root.rstrip("/"))
+    below = F.regexp_extract("path", rf"(?s)^[^:]+:.*?\Q{place}\E/(.*)$", 1)
+    return F.substring_index(below, "/", 1), F.regexp_replace(below, "(?s)^[^/]*/", "")
 
 
 def read_objects(spark: SparkSession, root: str) -> DataFrame:
@@ -95,11 +128,8 @@ def read_objects(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     bucket, key = _split_path(root)
     return files.select(
-        F.url_decode(F.replace(bucket, F.lit("+"), F.lit("%2B"))).alias("bucket"),
-        F.url_decode(F.replace(key, F.lit("+"), F.lit("%2B"))).alias("key"),
-        "length",
-        "content",
-    ).where(~F.col("bucket").startswith("_"))
+        _original_name(bucket).alias("bucket"), _original_name(key).alias("key"), "length", "content"
+    )
 
 
 def stat_objects(spark: SparkSession, root: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from lakeseed.functions.scalars import json_without_blanks
 
@@ -23,16 +25,27 @@ def read_points(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     return reader.option("multiLine", str(not lines).lower()).json(path)
 
 
-def point_json(id_column, vector, payload) -> F.Column:
+def point_json(id_column: Column, vector: Column, payload: Column) -> Column:
     """A point as JSON; an empty payload is left out. ``payload`` is a map column."""
     return json_without_blanks({"id": id_column, "vector": vector}, nested={"payload": payload})
 
 
-def write_points(points: DataFrame, path: str, point, key: str, files: int) -> None:
-    """Write points as ``files`` JSON arrays, one per file, spread by a hash of the key."""
-    arrays = (
-        points.groupBy(F.pmod(F.xxhash64(key), F.lit(files)).alias("file"))
-        .agg(F.collect_list(point).alias("points"))
-        .select("file", F.concat(F.lit("["), F.array_join("points", ","), F.lit("]")).alias("value"))
-    )
-    arrays.write.mode("overwrite").partitionBy("file").text(path)
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: the rows of one partition as the lines of one JSON array."""
+    opening = "["
+    for batch in batches:
+        lines = []
+        for point in batch.column(0).to_pylist():
+            lines.append(opening + point)
+            opening = ","
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if opening == "[" else "]"])], names=["value"])
+
+
+def write_points(points: DataFrame, path: str, point: Column, files: int) -> None:
+    """Write points as ``files`` JSON arrays of equal length, one per file.
+
+    Rows are dealt out in turn, not by a key, and each task streams its lines.
+    """
+    texts = points.select(point.alias("point")).repartition(files)
+    texts.mapInArrow(_array_lines, "value string").write.mode("overwrite").text(path)

@@ -33,14 +33,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/lakeseed/{label}-{uuid.uuid4().hex}"
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives lost executors."""
-    shared_root(rows.sparkSession)
-    return rows.checkpoint()
-
-
 def stored(rows: DataFrame, label: str) -> DataFrame:
-    """Write the rows to a fresh Parquet path and return a frame that reads it."""
+    """Write the rows to a fresh Parquet path and return a frame that reads it.
+
+    Cuts the lineage where rows are used more than once; lost executors do no harm.
+    """
     path = new_path(rows.sparkSession, label)
     rows.write.parquet(path)
     return rows.sparkSession.read.parquet(path)

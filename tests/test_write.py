@@ -1,0 +1,91 @@
+"""Write modes, each also run twice."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from lakeseed.operators import write as W
+from lakeseed.workspace import new_path
+
+
+def pairs(spark, values):
+    return spark.createDataFrame(values, "key string, value string, seq int")
+
+
+def as_dict(frame):
+    found = [(row["key"], row["value"]) for row in frame.collect()]
+    assert len(found) == len(dict(found))
+    return dict(found)
+
+
+def test_insert_if_absent_leaves_present_rows(spark):
+    base = pairs(spark, [("a", "old", 0)])
+    incoming = pairs(spark, [("a", "new", 1), ("b", "first", 1), ("b", "second", 2)])
+    once = W.insert_if_absent(base, incoming, ["key"], ["seq"])
+    assert as_dict(once) == {"a": "old", "b": "first"}
+    assert as_dict(W.insert_if_absent(once, incoming, ["key"], ["seq"])) == {"a": "old", "b": "first"}
+
+
+def test_upsert_last_wins_and_bears_a_rerun(spark):
+    base = pairs(spark, [("a", "old", 0), ("c", "kept", 0)])
+    batch = pairs(spark, [("a", "2", 2), ("a", "1", 1), ("b", "x", 3)])
+    once = W.upsert(base, batch, ["key"], ["seq"])
+    assert as_dict(once) == {"a": "2", "b": "x", "c": "kept"}
+    assert as_dict(W.upsert(once, batch, ["key"], ["seq"])) == {"a": "2", "b": "x", "c": "kept"}
+
+
+def test_last_wins_keeps_null_values_and_null_keys(spark):
+    rows = pairs(spark, [("a", "1", 1), ("a", None, 2), (None, "n", 1), (None, "m", 2)])
+    assert as_dict(W.last_wins(rows, ["key"], ["seq"])) == {"a": None, None: "m"}
+
+
+def test_hot_key_is_reduced_before_the_shuffle(spark):
+    rows = spark.range(0, 90_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"),
+        F.col("id").cast("string").alias("value"), F.col("id").alias("seq"),
+    )
+    result = W.last_wins(rows, ["key"], ["seq"])
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan
+    assert result.count() == 60_001
+    assert result.where("key = 'hot'").head()["value"] == "89997"
+
+
+def test_put_rejects_blank_names_and_defaults_the_type(spark):
+    schema = "name string, value string, type string, seq int"
+    base = spark.createDataFrame([], schema)
+    batch = spark.createDataFrame([("/a", "1", "", 1), ("/b", "2", "Secure", 1), ("/a", "3", None, 2)], schema)
+    stored = {row["name"]: (row["value"], row["type"]) for row in W.put(base, batch, "name", ["seq"]).collect()}
+    assert stored == {"/a": ("3", "String"), "/b": ("2", "Secure")}
+    blank = spark.createDataFrame([("", "1", "", 1)], schema)
+    with pytest.raises(Exception, match="name is required"):
+        W.put(base, blank, "name", ["seq"]).collect()
+
+
+def test_append_batch_twice_keeps_one_copy(spark):
+    path = new_path(spark, "append")
+    rows = pairs(spark, [("a", "1", 1)])
+    W.append_batch(rows, path, "one")
+    W.append_batch(rows, path, "one")
+    W.append_batch(rows, path, "two")
+    assert spark.read.parquet(path).count() == 2
+    assert W.append(rows, rows).count() == 2
+
+
+def test_create_strict_refuses_an_existing_or_unnamed_table(spark):
+    path = new_path(spark, "strict")
+    rows = pairs(spark, [("a", "1", 1)])
+    W.create_strict(rows, path, "t")
+    with pytest.raises(AnalysisException):
+        W.create_strict(rows, path, "t")
+    with pytest.raises(ValueError):
+        W.create_strict(rows, path, "")
+    assert spark.read.parquet(f"{path}/t").count() == 1
+
+
+def test_owned_difference(spark):
+    declared = pairs(spark, [("a", "", 0), ("b", "", 0), ("b", "", 1)])
+    existing = pairs(spark, [("a", "x", 0), ("a", "y", 0), ("z", "", 0)])
+    assert [row["key"] for row in W.owned_difference(declared, existing, ["key"]).collect()] == ["b", "b"]
