@@ -22,9 +22,10 @@ def first_error(messages: DataFrame, stream: str, seq: str, body: str) -> DataFr
         F.nullif(F.col("_body.error"), F.lit("")),
         F.nullif(F.col("_body.errorDetail.message"), F.lit("")),
     )
+    # A generator keeps the parse in one place; inlined, it would run once per field.
+    bodies = messages.select(stream, seq, body, F.explode(F.array(parsed)).alias("_body"))
     return (
-        messages.withColumn("_body", parsed)
-        .withColumn("message", failure)
+        bodies.withColumn("message", failure)
         .where(F.col("message").isNotNull())
         .groupBy(stream)
         .agg(F.min(seq).alias(seq), F.min_by("message", seq).alias("message"))
