@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 
 from lakeseed.workspace import stored
 
-# At most this many keys are salted. Any key left out holds fewer than 1/1001 of the rows.
-HOT_KEYS = 1000
+# At most this many keys are salted, a few MB to broadcast. Any key left out holds
+# fewer than one in 100,000 rows; adaptive execution splits it if it is still large.
+HOT_KEYS = 100_000
 # Rows of one key that one task may take before the key counts as hot.
 ROWS_PER_TASK = 1_000_000
 

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeseed.workspace import shared_root
+
 # Fixed value: the catalog that exists when none was declared.
 MEMORY = "memory"
 
@@ -53,7 +55,8 @@ class Catalogs:
                     if key != "connector":
                         spark.conf.set(f"spark.sql.catalog.{name}.{key}", value)
             else:
-                spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+                place = f"{shared_root(spark)}/lakeseed/catalogs/{name}"
+                spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}` LOCATION '{place}'")
         return list(self.resolved())
 
 

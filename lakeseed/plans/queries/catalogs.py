@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeseed.plans.catalog import Catalogs, mount, query
-from lakeseed.plans.seed import SeedPlan, SeedSpec
+from lakeseed.plans.seed import SeedPlan, SeedSpec, execute
 from lakeseed.sources.documents import as_documents, collection_path, insert_documents, read_documents
 from lakeseed.sources.tables import read_table, table_path
 from lakeseed.workspace import new_path
@@ -96,8 +97,51 @@ def federated_join(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def execute_statement(spark: SparkSession, folder: str) -> DataFrame:
+    """DDL and two inserts, each run for its effect only."""
+    path = new_path(spark, "facts")
+    table = "facts_" + path.rsplit("-", 1)[-1]
+    execute(spark, f"CREATE TABLE {table} (status STRING, orders BIGINT, total DOUBLE) USING parquet LOCATION '{path}'")
+    for priority in ("1-URGENT", "5-LOW"):
+        execute(
+            spark,
+            f"""INSERT INTO {table} SELECT o_orderstatus, count(*), sum(o_totalprice)
+                FROM parquet.`{table_path(folder, "orders")}` WHERE o_orderpriority = '{priority}' GROUP BY 1""",
+        )
+    return spark.table(table).groupBy("status").agg(
+        F.sum("orders").alias("orders"), F.round(F.sum("total"), 2).alias("total")
+    )
+
+
+def seed_callback(spark: SparkSession, folder: str) -> DataFrame:
+    """A custom step between two statements; its per-row code runs in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def initials(names: pd.Series) -> pd.Series:
+        return names.str.replace(r"[^A-Z0-9]", "", regex=True)
+
+    def custom(session: SparkSession) -> DataFrame:
+        people = session.table("seed_people").withColumn("short", initials("c_name"))
+        people.createOrReplaceTempView("seed_short")
+        return people
+
+    plan = SeedPlan("people")
+    plan.with_sql(
+        f"""CREATE OR REPLACE TEMP VIEW seed_people AS
+            SELECT c_custkey, c_name, c_mktsegment FROM parquet.`{table_path(folder, "customer")}`"""
+    )
+    plan.with_step(custom)
+    plan.with_sql(
+        "CREATE OR REPLACE TEMP VIEW seed_named AS SELECT c_custkey, concat(short, '/', c_mktsegment) AS name FROM seed_short"
+    )
+    plan.run(spark)
+    return spark.table("seed_named")
+
+
 QUERIES = {
     "seed_script": seed_script,
+    "execute_statement": execute_statement,
+    "seed_callback": seed_callback,
     "seed_script_file": seed_script_file,
     "catalog_query": catalog_query,
     "sql_query": sql_query,
@@ -112,6 +156,11 @@ WHERE o_orderstatus = 'O' GROUP BY o_custkey"""
 
 CHECKS = {
     "seed_script": SEEDED.format(alias=""),
+    "execute_statement": """
+SELECT o_orderstatus AS status, count(*) AS orders, round(sum(o_totalprice), 2) AS total
+FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1""",
+    "seed_callback": """
+SELECT c_custkey, regexp_replace(c_name, '[^A-Z0-9]', '', 'g') || '/' || c_mktsegment AS name FROM customer""",
     "seed_script_file": SEEDED.format(alias=" AS customer"),
     "catalog_query": """
 SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeseed.operators.classes import ObjectClass, Property, limited, typed_objects, validate
 from lakeseed.operators.keyed import count_documents, key_ranges, keyed_table, lookup
-from lakeseed.operators.write import last_wins
+from lakeseed.operators.write import append_batch, last_wins
 from lakeseed.sources.documents import as_documents, collection_path, insert_documents, read_documents
 from lakeseed.sources.tables import read_table
 from lakeseed.workspace import new_path
@@ -96,6 +96,38 @@ def object_validate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def object_insert(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a vector become objects of one class, labels of another; both are stored."""
+    documents = read_table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
+    vectors = read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    labels = read_table(spark, folder, "labels")
+    path = new_path(spark, "classes")
+    properties = F.parse_json(F.to_json(F.struct("lang", "n_chars"))).alias("properties")
+    with_vectors = documents.join(vectors, "doc_id", "left").select(F.col("doc_id").alias("id"), properties, "vector")
+    marks = F.parse_json(F.to_json(F.struct("quality", "toxic"))).alias("properties")
+    append_batch(typed_objects(with_vectors, ObjectClass("Document")), path, "documents")
+    append_batch(typed_objects(labels.select(F.col("doc_id").alias("id"), marks), ObjectClass("Label")), path, "labels")
+    return spark.read.parquet(path).select(
+        "class", "id",
+        F.try_variant_get("properties", "$.lang", "string").alias("lang"),
+        F.try_variant_get("properties", "$.n_chars", "bigint").alias("n_chars"),
+        F.try_variant_get("properties", "$.quality", "int").alias("quality"),
+        F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dims"),
+    )
+
+
+def bytes_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole pages stored as bytes by key; documents look up theirs, most have none."""
+    stored = read_table(spark, folder, "pages").select(
+        F.concat(F.lit("page:"), "page_id").alias("key"), F.col("html").cast("binary").alias("value")
+    )
+    probes = read_table(spark, folder, "documents").select(
+        "doc_id", F.concat(F.lit("page:"), "doc_id").alias("key")
+    )
+    found = lookup(probes, stored, "key", ["doc_id"])
+    return found.select("doc_id", "key", F.octet_length("value").alias("bytes"), F.md5("value").alias("md5"))
+
+
 def default_limit(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return limited(orders, F.desc("o_totalprice"), "o_orderkey")
@@ -108,6 +140,8 @@ QUERIES = {
     "keyed_range": keyed_range,
     "object_validate": object_validate,
     "default_limit": default_limit,
+    "object_insert": object_insert,
+    "bytes_lookup": bytes_lookup,
 }
 
 CHECKS = {
@@ -137,6 +171,14 @@ SELECT 'Event' AS class,
        CASE event_type WHEN 'error' THEN 1 ELSE 0 END::INT AS unknown_fields,
        count(*) AS objects
 FROM events GROUP BY 1, 2, 3, 4""",
+    "object_insert": """
+SELECT 'Document' AS class, doc_id::VARCHAR AS id, lang, n_chars, NULL::INT AS quality, len(embedding)::INT AS dims
+FROM documents LEFT JOIN embeddings ON vec_id = doc_id
+UNION ALL
+SELECT 'Label', doc_id::VARCHAR, NULL, NULL, quality, NULL FROM labels""",
+    "bytes_lookup": """
+SELECT doc_id, 'page:' || doc_id AS key, strlen(html)::INT AS bytes, md5(html) AS md5
+FROM documents LEFT JOIN pages ON page_id = doc_id""",
     "default_limit": """
 SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25""",
 }

@@ -22,8 +22,11 @@ MANIFEST = "bucket string, key string, content_type string, length bigint"
 
 
 def _file_system(root: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path as Spark writes it."""
     if root.startswith("file:/") and not root.startswith("file://"):
         root = "file://" + root.removeprefix("file:")
+    if root.startswith("s3a://"):
+        root = "s3://" + root.removeprefix("s3a://")
     return fs.FileSystem.from_uri(root)
 
 

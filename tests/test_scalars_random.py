@@ -1,0 +1,66 @@
+"""Scalar functions against plain Python on random text."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakeseed.functions import scalars as S
+
+# Fixed value: the characters that count as white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0      　"
+LETTERS = "abZ09._-:/=é中😀" + SPACES
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    draw = random.Random(11)
+    words = ["".join(draw.choice(LETTERS) for _ in range(draw.randrange(8))) for _ in range(4000)]
+    rows = [(i, words[4 * i : 4 * i + 4]) for i in range(1000)]
+    return spark.createDataFrame(rows, "i int, w array<string>").cache()
+
+
+def check(texts, column, model):
+    for row in texts.select("w", column.alias("got")).collect():
+        assert row["got"] == model(row["w"]), row["w"]
+
+
+def test_unique_tokens(texts):
+    def model(words):
+        kept = dict.fromkeys(word.strip(SPACES) for word in words)
+        return ",".join(word for word in kept if word)
+
+    check(texts, S.unique_tokens(F.col("w")), model)
+
+
+def test_env_key(texts):
+    def model(words):
+        key = ""
+        for word in words:
+            key = f"{key}_{word}" if key else word
+        return re.sub(r"[^A-Z0-9]", "_", re.sub(r"[a-z]", lambda m: m[0].upper(), key))
+
+    check(texts, S.env_key(*[F.col("w")[i] for i in range(4)]), model)
+
+
+def test_strip_registry(texts):
+    def model(words):
+        image = "/".join(words).strip(SPACES)
+        head, slash, rest = image.partition("/")
+        return rest if slash and (set(".:") & set(head) or head == "localhost") else image
+
+    check(texts, S.strip_registry(F.concat_ws("/", "w")), model)
+
+
+def test_property_lines(texts):
+    def model(words):
+        lines = sorted(f"{key}={value}".encode() for key, value in {"k" + words[0]: words[1], "x" + words[2]: words[3]}.items())
+        return b"\n".join(lines).decode() + "\n"
+
+    made = F.create_map(
+        F.concat(F.lit("k"), F.col("w")[0]), F.col("w")[1], F.concat(F.lit("x"), F.col("w")[2]), F.col("w")[3]
+    )
+    check(texts, S.property_lines(made), model)
