@@ -8,13 +8,17 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: Unicode white space at either end of a string.
-OUTER_SPACE = r"(?U)^\s+|\s+$"
+# The Unicode white space characters, in code point order.
+WHITE_SPACE = (
+    "\t\n\v\f\r \u0085\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def trim_space(text: Column) -> Column:
     """Strip all Unicode white space, not only blanks, from both ends."""
-    return F.regexp_replace(text, OUTER_SPACE, "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def env_key(*parts: Column) -> Column:

@@ -62,7 +62,7 @@ def property_state(properties: Column, item: Property) -> Column:
     if unknown:
         raise ValueError(f"unknown property type {unknown[0]!r}")
     accepted = [kind for name in item.data_type for kind in VARIANT_TYPES[name]]
-    value = F.try_variant_get(properties, f"$.{item.name}", "variant")
+    value = F.try_variant_get(properties, f"$['{item.name}']", "variant")
     missing = value.isNull() | F.is_variant_null(value)
     return (
         F.when(missing, "missing")

@@ -101,15 +101,20 @@ def execute_statement(spark: SparkSession, folder: str) -> DataFrame:
     """DDL and two inserts, each run for its effect only."""
     path = new_path(spark, "facts")
     table = "facts_" + path.rsplit("-", 1)[-1]
-    execute(spark, f"CREATE TABLE {table} (status STRING, orders BIGINT, total DOUBLE) USING parquet LOCATION '{path}'")
-    for priority in ("1-URGENT", "5-LOW"):
-        execute(
-            spark,
-            f"""INSERT INTO {table} SELECT o_orderstatus, count(*), sum(o_totalprice)
-                FROM parquet.`{table_path(folder, "orders")}` WHERE o_orderpriority = '{priority}' GROUP BY 1""",
-        )
+    execute(spark, f"CREATE TABLE {table} (status STRING, facts BIGINT, total DOUBLE) USING parquet LOCATION '{path}'")
+    orders, lineitem = table_path(folder, "orders"), table_path(folder, "lineitem")
+    execute(
+        spark,
+        f"""INSERT INTO {table}
+            SELECT o_orderstatus, count(*), sum(o_totalprice) FROM parquet.`{orders}` GROUP BY o_orderstatus""",
+    )
+    execute(
+        spark,
+        f"""INSERT INTO {table}
+            SELECT l_linestatus, count(*), sum(l_extendedprice) FROM parquet.`{lineitem}` GROUP BY l_linestatus""",
+    )
     return spark.table(table).groupBy("status").agg(
-        F.sum("orders").alias("orders"), F.round(F.sum("total"), 2).alias("total")
+        F.sum("facts").alias("facts"), F.round(F.sum("total"), 2).alias("total")
     )
 
 
@@ -157,8 +162,9 @@ WHERE o_orderstatus = 'O' GROUP BY o_custkey"""
 CHECKS = {
     "seed_script": SEEDED.format(alias=""),
     "execute_statement": """
-SELECT o_orderstatus AS status, count(*) AS orders, round(sum(o_totalprice), 2) AS total
-FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1""",
+SELECT status, count(*) AS facts, round(sum(total), 2) AS total
+FROM (SELECT o_orderstatus AS status, o_totalprice AS total FROM orders
+      UNION ALL SELECT l_linestatus, l_extendedprice FROM lineitem) GROUP BY 1""",
     "seed_callback": """
 SELECT c_custkey, regexp_replace(c_name, '[^A-Z0-9]', '', 'g') || '/' || c_mktsegment AS name FROM customer""",
     "seed_script_file": SEEDED.format(alias=" AS customer"),

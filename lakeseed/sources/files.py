@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseed.sources.objects import is_folder
+from lakeseed.workspace import is_folder
 
 # Fixed value: suffixes that count as manifests inside a folder.
 MANIFEST_SUFFIXES = ["yaml", "yml"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pyarrow as pa
@@ -13,28 +14,17 @@ from pyspark.sql import functions as F
 
 from lakeseed.functions.scalars import first_filled
 from lakeseed.operators.write import filled_or_error, last_wins
+from lakeseed.workspace import file_system
 
 # Fixed value: content type of an object that was put without one.
 DEFAULT_TYPE = "application/octet-stream"
+# A put waits for its store, so a task has several under way.
+PUTS_AT_ONCE = 8
 # The folder beside the buckets that holds the manifests; object listings skip it.
 MANIFESTS = "_manifest"
 MANIFEST = "bucket string, key string, content_type string, length bigint"
 
 
-def _file_system(root: str) -> tuple[fs.FileSystem, str]:
-    """Arrow's file system for a path as Spark writes it."""
-    if root.startswith("file:/") and not root.startswith("file://"):
-        root = "file://" + root.removeprefix("file:")
-    if root.startswith("s3a://"):
-        root = "s3://" + root.removeprefix("s3a://")
-    return fs.FileSystem.from_uri(root)
-
-
-def is_folder(path: str) -> bool:
-    store, place = _file_system(path)
-    return store.get_file_info(place).type == fs.FileType.Directory
-
-
 # Fixed patterns: file names that Spark's listings would hide or Hadoop paths refuse.
 ESCAPES = [("%", "%25"), (":", "%3A"), (r"(^|/)_", "$1%5F"), (r"(^|/)\.", "$1%2E")]
 PATH_DEFECT = r"(^|/)(/|$)"
@@ -52,34 +42,39 @@ def _original_name(stored: Column) -> Column:
 
 
 def _writer(root: str, create_buckets: bool):
+    """Task function: write the objects of one partition, several at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _file_system(root)
+        store, base = file_system(root)
         known_buckets: set[str] = set()
         made: set[str] = set()
-        for batch in batches:
-            lengths = []
-            for bucket, path, content in zip(*[batch.column(at) for at in ("folder", "path", "content")]):
-                folder = f"{base}/{bucket}"
-                if not create_buckets and folder not in known_buckets:
-                    if store.get_file_info(folder).type == fs.FileType.NotFound:
-                        raise FileNotFoundError(f"bucket {bucket} does not exist")
-                    known_buckets.add(folder)
-                target = f"{folder}/{path}"
-                parent, _, name = target.rpartition("/")
-                if parent not in made:
-                    store.create_dir(parent, recursive=True)
-                    made.add(parent)
-                data = content.as_buffer()
-                # A task may run twice: write aside, then move over the target at once.
-                aside = f"{parent}/_{uuid.uuid4().hex}"
-                with store.open_output_stream(aside) as stream:
-                    stream.write(data)
-                store.move(aside, target)
-                lengths.append(data.size)
-            kept = [batch.column(name) for name in ("bucket", "key", "content_type")]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(lengths, pa.int64())], names=["bucket", "key", "content_type", "length"]
-            )
+
+        def put(bucket: pa.Scalar, path: pa.Scalar, content: pa.Scalar) -> int:
+            folder = f"{base}/{bucket}"
+            if not create_buckets and folder not in known_buckets:
+                if store.get_file_info(folder).type == fs.FileType.NotFound:
+                    raise FileNotFoundError(f"bucket {bucket} does not exist")
+                known_buckets.add(folder)
+            target = f"{folder}/{path}"
+            parent = target.rpartition("/")[0]
+            if parent not in made:
+                store.create_dir(parent, recursive=True)
+                made.add(parent)
+            data = content.as_buffer()
+            # A task may run twice: write aside, then move over the target at once.
+            aside = f"{parent}/_{uuid.uuid4().hex}"
+            with store.open_output_stream(aside) as stream:
+                stream.write(data)
+            store.move(aside, target)
+            return data.size
+
+        with ThreadPoolExecutor(PUTS_AT_ONCE) as pool:
+            for batch in batches:
+                columns = [batch.column(name) for name in ("folder", "path", "content")]
+                lengths = pa.array(list(pool.map(put, *columns)), pa.int64())
+                kept = [batch.column(name) for name in ("bucket", "key", "content_type")]
+                names = ["bucket", "key", "content_type", "length"]
+                yield pa.RecordBatch.from_arrays([*kept, lengths], names=names)
 
     return run
 
@@ -118,7 +113,7 @@ def put_objects(
 
 def _split_path(root: str):
     """Bucket and key of a file path, by its place below the root."""
-    _, place = _file_system(root.rstrip("/"))
+    _, place = file_system(root.rstrip("/"))
     below = F.regexp_extract("path", rf"(?s)^[^:]+:.*?\Q{place}\E/(.*)$", 1)
     return F.substring_index(below, "/", 1), F.regexp_replace(below, "(?s)^[^/]*/", "")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakeseed.workspace import new_path
+from lakeseed.workspace import new_folder, new_path
 
 
 @dataclass(frozen=True)
@@ -32,6 +32,7 @@ class Stream:
 def open_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
     """Stream of Parquet files at a path, be it one file or a folder."""
     # A pattern matches both; a plain path to a single file is refused by the source.
+    path = path.rstrip("/")
     pattern = f"{path[:-1]}[{path[-1]}]"
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
@@ -51,7 +52,7 @@ def drain(rows: DataFrame, label: str, partition_by: list[str]) -> DataFrame:
         .start()
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
 
 
 def shard_events(rows: DataFrame, stream: Stream, key: str) -> DataFrame:
@@ -80,11 +81,15 @@ def fan_out(rows: DataFrame, routes: list[Route], bus: str, topic: str) -> DataF
         f"`{bus}` string, `{topic}` string, queue string",
     ).distinct()
     out = new_path(spark, "queues")
+    delivered = new_folder(spark, "queue-rows")
 
-    def deliver(batch: DataFrame, batch_id: int) -> None:
+    def routed(batch: DataFrame) -> DataFrame:
         # The rules are the declared routes, a list in the driver's own code.
-        routed = batch.join(F.broadcast(rules), [bus, topic])
-        routed.write.mode("overwrite").partitionBy("queue").parquet(f"{out}/rows/batch={batch_id}")
+        return batch.join(F.broadcast(rules), [bus, topic])
+
+    def deliver(batch: DataFrame, batch_id: int) -> None:
+        writer = routed(batch).write.mode("overwrite").partitionBy("queue")
+        writer.parquet(f"{delivered}/batch={batch_id}")
 
     run = (
         rows.writeStream.foreachBatch(deliver)
@@ -93,7 +98,9 @@ def fan_out(rows: DataFrame, routes: list[Route], bus: str, topic: str) -> DataF
         .start()
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+    # The schema is given because queue names like 007 must stay text.
+    schema = routed(rows).schema.add("batch", "long")
+    return spark.read.schema(schema).parquet(delivered).drop("batch")
 
 
 def tumbling(rows: DataFrame, at: str, width: str, late: str, *aggregates: Column) -> DataFrame:
@@ -103,6 +110,7 @@ def tumbling(rows: DataFrame, at: str, width: str, late: str, *aggregates: Colum
     """
     spark = rows.sparkSession
     out = new_path(spark, "windows")
+    counted = new_folder(spark, "window-rows")
     windows = (
         rows.withWatermark(at, late)
         .groupBy(F.window(at, width).alias("window"))
@@ -112,7 +120,7 @@ def tumbling(rows: DataFrame, at: str, width: str, late: str, *aggregates: Colum
     )
 
     def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows")
+        batch.write.mode("overwrite").parquet(counted)
 
     run = (
         windows.writeStream.outputMode("complete")
@@ -122,4 +130,4 @@ def tumbling(rows: DataFrame, at: str, width: str, late: str, *aggregates: Colum
         .start()
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.schema(windows.schema).parquet(counted)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -33,6 +34,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/lakeseed/{label}-{uuid.uuid4().hex}"
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path as Spark writes it."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    if path.startswith("s3a://"):
+        path = "s3://" + path.removeprefix("s3a://")
+    return fs.FileSystem.from_uri(path)
+
+
+def is_folder(path: str) -> bool:
+    store, place = file_system(path)
+    return store.get_file_info(place).type == fs.FileType.Directory
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new path whose folder exists, so that it can be read before anything is in it."""
+    path = new_path(spark, label)
+    store, place = file_system(path)
+    store.create_dir(place, recursive=True)
+    return path
+
+
 def stored(rows: DataFrame, label: str) -> DataFrame:
     """Write the rows to a fresh Parquet path and return a frame that reads it.
 

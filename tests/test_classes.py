@@ -37,6 +37,9 @@ def test_validation_by_property(spark):
         "3": ("missing", "wrong_type", "wrong_type", "wrong_type", 0),
         "4": ("missing", "missing", "missing", "missing", 0),
     }
+    dotted = ObjectClass("D", properties=[Property("a.b", ["int"])])
+    one = spark.createDataFrame([('{"a.b":1}',)], "j string").select(F.parse_json("j").alias("properties"))
+    assert validate(one, dotted).head()["a.b_state"] == "valid"
     with pytest.raises(ValueError):
         validate(objects, ObjectClass("D", properties=[Property("x", ["blob"])]))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakeseed.functions import scalars as S
 
 # Fixed value: the characters that count as white space.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0      　"
+SPACES = "".join(chr(n) for n in [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 LETTERS = "abZ09._-:/=é中😀" + SPACES
 
 

@@ -44,6 +44,21 @@ def test_fan_out_delivers_by_route_only(spark, folder):
     assert counts == {"q1": 334, "q2": 667}
 
 
+def test_streams_without_rows(spark):
+    path = new_path(spark, "events")
+    spark.createDataFrame([], "user long, topic string, ts timestamp").write.parquet(path)
+    assert shard_events(stream(spark, path), Stream("s", 4), "user").count() == 0
+    routed = fan_out(stream(spark, path).withColumn("bus", F.lit("x")), [Route("x", "a", "q")], "bus", "topic")
+    assert routed.count() == 0 and "queue" in routed.columns
+    assert tumbling(stream(spark, path), "ts", "1 day", "1 hour", F.count(F.lit(1)).alias("n")).count() == 0
+
+
+def test_queue_names_stay_text(spark, folder):
+    routes = [Route("x", "a", "007")]
+    delivered = fan_out(stream(spark, folder).withColumn("bus", F.lit("x")), routes, "bus", "topic")
+    assert delivered.select("queue").distinct().collect()[0]["queue"] == "007"
+
+
 def test_tumbling_over_several_batches_equals_batch(spark, folder):
     got = tumbling(stream(spark, folder), "ts", "1 day", "1 hour", F.count(F.lit(1)).alias("n"))
     want = spark.read.parquet(folder).groupBy(F.window("ts", "1 day").start.alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
