@@ -28,15 +28,17 @@ def count_documents(documents: DataFrame, document: str, equal: dict[str, object
     return matching.agg(F.count(F.lit(1)).alias("documents"))
 
 
-def keyed_table(rows: DataFrame, partition_key: str = "id", sort_key: str | None = None) -> DataFrame:
-    """Lay rows out by partition key and sort key, both as text.
+def keyed_table(rows: DataFrame, partition_key: str = "", sort_key: str = "") -> DataFrame:
+    """Lay rows out by partition key (``id`` if blank) and optional sort key, both as text.
 
-    Range partitioning splits a hot partition key along its sort key, and the sorted
-    files let Parquet statistics skip everything outside a key range.
+    Range partitioning splits a hot partition key along its sort key and, where that is
+    equal or absent, along the input partition. The sorted files let Parquet statistics
+    skip everything outside a key range.
     """
-    keys = [partition_key] if sort_key is None else [partition_key, sort_key]
+    keys = [partition_key or "id", *([sort_key] if sort_key else [])]
     texts = rows.withColumns({key: F.col(key).cast("string") for key in keys})
-    return texts.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    marked = texts.withColumn("_copy", F.spark_partition_id())
+    return marked.repartitionByRange(*keys, "_copy").sortWithinPartitions(*keys).drop("_copy")
 
 
 def key_range(

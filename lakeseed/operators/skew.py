@@ -45,19 +45,21 @@ def salted_join(
     """Join ``facts`` to ``lookup`` with the hot keys of ``facts`` spread over many tasks.
 
     ``lookup`` holds each key once; its row is copied once per salt of its key. The
-    salt of a fact comes from a hash of its ``spread`` columns, not from a random
-    number, so a task that is run again places its rows the same way. Which side is
-    broadcast, if any, is left to the planner and its size check.
+    salt of a fact comes from a hash of its ``spread`` columns and its input partition,
+    not from a random number, so a task that is run again places its rows the same way;
+    the partition tells exact copies apart. Which side is broadcast, if any, is left to
+    the planner and its size check.
     """
     hot = F.broadcast(hot_keys(facts, keys, rows_per_task))
     null_key = reduce(or_, [F.col(key).isNull() for key in keys])
-    spread_hash = F.xxhash64(*spread)
+    spread_hash = F.xxhash64(*spread, F.spark_partition_id())
     # Rows without a key match nothing, so they may go anywhere.
     salts = F.when(null_key, F.lit(HOT_KEYS)).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
     salted = (
-        facts.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(spread_hash, salts).cast("int"))
-        .drop("_salts")
+        facts.withColumn("_spread", spread_hash)
+        .join(hot, keys, "left")
+        .withColumn("_salt", F.pmod("_spread", salts).cast("int"))
+        .drop("_salts", "_spread")
     )
     copies = (
         lookup.join(hot, keys, "left")
@@ -70,12 +72,15 @@ def salted_join(
 def split_by_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Range partition by key and order, so that a hot key spans many partitions.
 
-    The partition number is kept in ``_part``. Range bounds come from a sample that
+    The partition number is kept in ``_part``. Rows that agree in key and order are told
+    apart by their input partition, ``_copy``, so many copies of one row span several
+    partitions too. Range bounds come from a sample that
     differs from run to run, so the rows are written to the shared folder before the
     numbers are used twice; a lost executor then costs no second sample.
     """
-    placed = rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
-    return stored(placed, "ordered")
+    marked = rows.withColumn("_copy", F.spark_partition_id())
+    placed = marked.repartitionByRange(*keys, *order, "_copy")
+    return stored(placed.withColumn("_part", F.spark_partition_id()), "ordered")
 
 
 def ordered_scan(
@@ -96,7 +101,7 @@ def ordered_scan(
     partition can have started earlier, so fewer rows than partitions are carried:
     small enough to broadcast by construction.
     """
-    sums, lasts = sums or {}, lasts or {}
+    sums, lasts, order = sums or {}, lasts or {}, [*order, "_copy"]
     summary = [F.sum(value).alias(f"_sum_{name}") for name, value in sums.items()]
     for name, (value, _) in lasts.items():
         present = F.when(F.col(value).isNotNull(), F.struct(*order))
@@ -142,7 +147,8 @@ def ordered_scan(
         for name in sums
     }
     results |= {name: F.coalesce(F.col(f"_own_{name}"), brought[name]) for name in lasts}
-    return joined.select(*split.drop("_part").columns, *[v.alias(n) for n, v in results.items()])
+    kept = split.drop("_part", "_copy").columns
+    return joined.select(*kept, *[value.alias(name) for name, value in results.items()])
 
 
 def last_before(

@@ -18,7 +18,7 @@ from lakeseed.workspace import file_system
 
 # Fixed value: content type of an object that was put without one.
 DEFAULT_TYPE = "application/octet-stream"
-# A put waits for its store, so a task has several under way.
+# A put waits for its remote store, so a task has several under way.
 PUTS_AT_ONCE = 8
 # The folder beside the buckets that holds the manifests; object listings skip it.
 MANIFESTS = "_manifest"
@@ -42,7 +42,7 @@ def _original_name(stored: Column) -> Column:
 
 
 def _writer(root: str, create_buckets: bool):
-    """Task function: write the objects of one partition, several at a time."""
+    """Task function: write the objects of one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = file_system(root)
@@ -69,9 +69,10 @@ def _writer(root: str, create_buckets: bool):
             return data.size
 
         with ThreadPoolExecutor(PUTS_AT_ONCE) as pool:
+            each = map if store.type_name == "local" else pool.map
             for batch in batches:
                 columns = [batch.column(name) for name in ("folder", "path", "content")]
-                lengths = pa.array(list(pool.map(put, *columns)), pa.int64())
+                lengths = pa.array(list(each(put, *columns)), pa.int64())
                 kept = [batch.column(name) for name in ("bucket", "key", "content_type")]
                 names = ["bucket", "key", "content_type", "length"]
                 yield pa.RecordBatch.from_arrays([*kept, lengths], names=names)

@@ -57,6 +57,23 @@ def test_salted_join_spreads_the_hot_key(spark, facts, many_partitions):
     assert max(row["count"] for row in sizes) < 6000 / 6
 
 
+def test_exact_copies_are_spread(spark, many_partitions):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        copies = spark.range(0, 6000, 1, 12).select(F.lit(7).alias("key"), F.lit(1).alias("id"), F.lit(2.0).alias("x"))
+        lookup = spark.createDataFrame([(7, "v")], "key int, v string")
+        joined = salted_join(copies, lookup, ["key"], "inner", ["id"], rows_per_task=100)
+        sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(row["count"] for row in sizes) == 6000
+    assert max(row["count"] for row in sizes) <= 2500
+    split = split_by_order(copies, ["key"], ["id"])
+    assert split.select("_part").distinct().count() >= 6
+    total = ordered_scan(split, ["key"], ["id"], sums={"total": "x"})
+    assert sorted(row["total"] for row in total.collect()) == [2.0 * n for n in range(1, 6001)]
+
+
 def brute(rows):
     order = sorted(rows, key=lambda r: (r["key"] is not None, r["key"] or 0, r["at"], r["id"]))
     total, back, last_key, out = 0.0, None, object(), {}

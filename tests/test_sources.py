@@ -121,6 +121,16 @@ def test_keyed_table(spark):
     assert keyed_table(rows).count() == 3000
 
 
+def test_hot_partition_key_without_sort_key_is_split(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(0, 4000, 1, 8).select(F.lit("hot").alias("id"), F.col("id").alias("n"))
+        sizes = keyed_table(rows).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(row["count"] for row in sizes) <= 2000
+
+
 def test_lake_partition_is_pruned(spark):
     rows = spark.range(100).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("kind"))
     environment = LakeEnvironment(catalog="lake_test")
