@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lakeseed.operators.retrieve import retrieve
 from lakeseed.operators.vectors import Collection, nearest
 from lakeseed.operators.write import last_wins, upsert
+from lakeseed.plans.catalog import Catalogs
+from lakeseed.sources.collections import create_collection, read_collection, upsert_points
 from lakeseed.sources.points import POINTS_PER_FILE, point_json, read_points, write_points
 from lakeseed.sources.tables import read_table
 from lakeseed.workspace import new_path
@@ -109,8 +111,34 @@ def points_from_json(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def vector_collection(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored collection: embeddings are loaded, then their documents' languages, twice."""
+    name = "c" + new_path(spark, "id").rsplit("-", 1)[-1]
+    Catalogs().register(spark)
+    create_collection(spark, "memory", Collection(name, 64))
+    embeddings = read_table(spark, folder, "embeddings")
+    labelled = embeddings.select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"),
+        F.parse_json(F.to_json(F.struct("label"))).alias("payload"),
+    )
+    upsert_points(labelled, "memory", name)
+    documents = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang")
+    told = points(embeddings).join(documents, "id").select(
+        "id", "vector", F.parse_json(F.to_json(F.struct("lang"))).alias("payload")
+    )
+    for _ in range(2):
+        upsert_points(told, "memory", name)
+    return read_collection(spark, "memory", name).select(
+        "id",
+        F.try_variant_get("payload", "$.label", "int").alias("label"),
+        F.try_variant_get("payload", "$.lang", "string").alias("lang"),
+        F.round(F.element_at("vector", 1), 6).alias("first"),
+    )
+
+
 QUERIES = {
     "retrieve_documents": retrieve_documents,
+    "vector_collection": vector_collection,
     "vector_topk": vector_topk,
     "vector_topk_euclidean": vector_topk_euclidean,
     "vector_topk_filtered": vector_topk_filtered,
@@ -131,6 +159,10 @@ COSINE = """
 """
 
 CHECKS = {
+    "vector_collection": """
+SELECT vec_id::VARCHAR AS id, CASE WHEN doc_id IS NULL THEN label END AS label, lang,
+       round(embedding[1]::DOUBLE, 6) AS first
+FROM embeddings LEFT JOIN documents ON doc_id = vec_id""",
     "retrieve_documents": f"""
 WITH {MEANS}, {COSINE}
 SELECT query_id, rank, d.doc_id, round(score, 6) AS score, d.lang, d.source, d.n_chars, l.quality,

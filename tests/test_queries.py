@@ -23,6 +23,8 @@ def test_every_query_has_a_check():
 def test_query_matches_check(spark, connection, name):
     frame = contract.queries()[name](spark, FOLDER)
     assert compare(frame, connection, contract.oracle_sql()[name]) == []
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
 def test_entry(spark):
