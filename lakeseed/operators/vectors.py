@@ -21,6 +21,8 @@ METRICS = {"": "cosine", "cosine": "cosine", "dot": "dot", "euclidean": "euclide
 QUERY_BYTES = 32 * 1024 * 1024
 # Score cells that one task computes at a time (rows of a batch times queries).
 SCORE_CELLS = 2_000_000
+# Pairs that one task scores exactly at a time.
+PAIRS = 100_000
 
 
 def metric_name(metric: str) -> str:
@@ -63,61 +65,83 @@ def plain_id(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.col(column).cast("bigint" if whole else "string"))
 
 
-def _scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
-    """Scores of every query against every row; larger is nearer."""
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors scaled to length one; zero vectors stay zero."""
+    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths != 0)
+
+
+def _pair_scores(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
+    """Score of each pair of rows; larger is nearer, less the squared distance if euclidean.
+
+    Summed row by row, so copies of a vector score the same wherever they are stored.
+    """
+    return -((left - right) ** 2).sum(axis=1) if metric == "euclidean" else (left * right).sum(axis=1)
+
+
+def _rough_scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
+    """The same for every query and row by one matrix product, with a bound of its error."""
+    scores = queries @ rows.T
+    query_squares, row_squares = (queries**2).sum(axis=1), (rows**2).sum(axis=1)
     if metric == "euclidean":
-        gaps = (queries**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * queries @ rows.T
-        return np.nan_to_num(-np.sqrt(np.maximum(gaps, 0)), nan=-np.inf)
-    products = queries @ rows.T
-    if metric == "cosine":
-        lengths = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
-        products = np.divide(products, lengths, out=np.zeros_like(products), where=lengths != 0)
-    return np.nan_to_num(products, nan=-np.inf)
-
-
-def _keep_best(best, ids: np.ndarray, scores: np.ndarray, k: int):
-    """Merge a block of scores into the best k per query; ties go to the smaller id."""
-    best_ids, best_scores = best
-    if best_scores.shape[1] == k:
-        near = (scores >= best_scores[:, -1:]).any(axis=0)
-        if not near.any():
-            return best
-        ids, scores = ids[near], scores[:, near]
-    all_ids = np.hstack([best_ids, np.broadcast_to(ids, scores.shape)])
-    all_scores = np.hstack([best_scores, scores])
-    _, rank = np.unique(all_ids, return_inverse=True)
-    order = np.lexsort((rank.reshape(all_ids.shape), -all_scores), axis=1)[:, :k]
-    return np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
+        scores = 2 * scores - query_squares[:, None] - row_squares[None, :]
+    return scores, 1e-12 * (query_squares.max() + row_squares.max())
+
+
+def _near_pairs(rough: np.ndarray, error: float, floor: np.ndarray, k: int):
+    """Query and row of each pair that may be among the best k of its query."""
+    needed = floor.copy()
+    open_queries = np.isneginf(floor)
+    if open_queries.any() and rough.shape[1] > k:
+        needed[open_queries] = np.partition(rough[open_queries], -k, axis=1)[:, -k]
+    return np.nonzero(rough >= needed[:, None] - error)
+
+
+def _merge(best: tuple, found: tuple, k: int) -> tuple:
+    """Order queries, ids and scores by query, score and id, and keep k of each query."""
+    places, ids, scores = (np.concatenate(pair) for pair in zip(best, found))
+    tie = ids if ids.dtype != object else np.unique(ids, return_inverse=True)[1]
+    order = np.lexsort((tie, -scores, places))
+    places, ids, scores = places[order], ids[order], scores[order]
+    kept = np.arange(len(places)) - np.searchsorted(places, places) < k
+    return places[kept], ids[kept], scores[kept]
 
 
 def _scan(query_ids: list, matrix: np.ndarray, metric: str, k: int, whole_ids: bool, schema: pa.Schema):
     """Task function: the best k rows of one partition for every query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = matrix.shape[1]
-        step = max(1, SCORE_CELLS // len(query_ids))
+        count, size = matrix.shape
+        queries = _unit(matrix) if metric == "cosine" else matrix
+        step = max(1, SCORE_CELLS // count)
         id_type = np.int64 if whole_ids else object
-        best = (np.empty((len(query_ids), 0), id_type), np.empty((len(query_ids), 0)))
+        best = (np.empty(0, np.int64), np.empty(0, id_type), np.empty(0))
+        # The score of the k-th row, for queries that have k rows.
+        floor = np.full(count, -np.inf)
         for batch in batches:
             vectors = batch.column(1)
             if vectors.null_count or (np.diff(vectors.offsets.to_numpy()) != size).any():
                 raise ValueError(f"vector is not of size {size}")
-            rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(id_type)
-            for start in range(0, len(ids), step):
-                block = slice(start, start + step)
-                scores = _scores(matrix, rows[block].astype(np.float64), metric)
-                best = _keep_best(best, ids[block], scores, k)
-        best_ids, best_scores = best
-        found = best_scores.shape[1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([name for name in query_ids for _ in range(found)], schema.field(0).type),
-                pa.array(best_ids.ravel().tolist(), schema.field(1).type),
-                pa.array(best_scores.ravel(), pa.float64()),
-            ],
-            schema=schema,
-        )
+            values = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            all_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(id_type)
+            for start in range(0, len(all_ids), step):
+                rows = values[start : start + step].astype(np.float64)
+                ids = all_ids[start : start + step]
+                if not np.isfinite(rows).all():
+                    raise ValueError("vector holds something other than finite numbers")
+                rows = _unit(rows) if metric == "cosine" else rows
+                places, columns = _near_pairs(*_rough_scores(queries, rows, metric), floor, k)
+                for pair in range(0, len(places), PAIRS):
+                    place, column = places[pair : pair + PAIRS], columns[pair : pair + PAIRS]
+                    scores = _pair_scores(queries[place], rows[column], metric)
+                    kept = scores >= floor[place]
+                    best = _merge(best, (place[kept], ids[column[kept]], scores[kept]), k)
+                    full = np.flatnonzero(np.bincount(best[0], minlength=count) == k)
+                    floor[full] = best[2][np.searchsorted(best[0], full, side="right") - 1]
+        places, ids, scores = best
+        names = pa.array(query_ids, schema.field(0).type).take(pa.array(places))
+        found = [names, pa.array(ids.tolist(), schema.field(1).type), pa.array(scores)]
+        yield pa.RecordBatch.from_arrays(found, schema=schema)
 
     return run
 
@@ -142,7 +166,7 @@ def _one_pass(points: DataFrame, queries: list, metric: str, k: int, names: dict
     ranked = candidates.withColumn("rank", F.row_number().over(nearest_first)).where(
         F.col("rank") <= k
     )
-    score = -F.col("score") if metric == "euclidean" else F.col("score")
+    score = F.sqrt(-F.col("score")) if metric == "euclidean" else F.col("score")
     return ranked.select("query_id", "rank", "id", score.alias("score"))
 
 
@@ -159,6 +183,7 @@ def nearest(
     Each task keeps its best k per query while it reads, so only k rows per query and
     partition are shuffled. Query vectors go to every task only up to ``query_bytes``;
     a larger set is cut into blocks by hash, with one pass over the points per block.
+    Ties go to the smaller id.
     """
     points = plain_id(points, "id")
     queries = plain_id(queries, "query_id").select("query_id", "vector")

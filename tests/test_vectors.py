@@ -76,11 +76,24 @@ def test_text_ids_fewer_points_than_k_and_no_queries(spark, queries):
     assert none.count() == 0 and none.columns == found.columns
 
 
-def test_not_a_number_ranks_last(spark, queries):
-    nan = float("nan")
-    points = spark.createDataFrame([(1, [nan] * SIZE), (2, [-1.0] * SIZE)], "id int, vector array<double>")
-    found = nearest(points, queries.where("query_id = 'q0'"), Collection("t", SIZE), 2)
-    assert [row["id"] for row in found.orderBy("rank").collect()] == [2, 1]
+def test_numbers_must_be_finite(spark, queries):
+    points = spark.createDataFrame([(1, [float("nan")] * SIZE), (2, [-1.0] * SIZE)], "id int, vector array<double>")
+    with pytest.raises(Exception, match="finite"):
+        nearest(points, queries.where("query_id = 'q0'"), Collection("t", SIZE), 2).collect()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_copies_tie_exactly_wherever_they_are_stored(spark, metric):
+    vectors = draw.standard_normal((40, 64))
+    rows = [(i, vectors[0 if i % 3 == 0 else i % 40].tolist()) for i in range(5000)]
+    points = spark.createDataFrame(rows, "id int, vector array<double>").repartition(7)
+    query = spark.createDataFrame([("q", vectors[0].tolist())], "query_id string, vector array<double>")
+    found = nearest(points, query, Collection("t", 64, metric), 20).orderBy("rank").collect()
+    copies = sorted(i for i in range(5000) if i % 3 == 0 or i % 40 == 0)
+    if metric != "dot":
+        assert [row["id"] for row in found] == copies[:20]
+    ordered = [(-row["score"] if metric != "euclidean" else row["score"], row["id"]) for row in found]
+    assert ordered == sorted(ordered)
 
 
 def test_size_is_checked(spark, queries):
