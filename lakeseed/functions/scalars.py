@@ -56,23 +56,38 @@ def path_escape(text: Column) -> Column:
     return _replace_each(query_escape(text), kept)
 
 
-def _reescape(text: Column, extra: list[tuple[str, str]]) -> Column:
-    """Decode and encode again, as a URL printer does with a path it cannot keep."""
+def _reescape(text: Column, kept: str) -> Column:
+    """Decode and encode again, as a URL printer does with a part it cannot keep.
+
+    ``kept`` are the reserved characters that this part may hold unescaped.
+    """
     decoded = F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
-    # Reserved characters that a whole path may hold unescaped.
-    kept = [("%2C", ","), ("%2F", "/"), ("%3B", ";")]
-    return _replace_each(path_escape(decoded), kept + extra)
+    pairs = [("+", "%20"), *[(f"%{ord(letter):02X}", letter) for letter in kept]]
+    return _replace_each(query_escape(decoded), pairs)
+
+
+def _reescape_user(user: Column) -> Column:
+    """Name and password in front of a host, each encoded again."""
+    text = F.regexp_replace(user, "@$", "")
+    name = _reescape(F.substring_index(text, ":", 1), USER_KEEPS)
+    password = _reescape(F.regexp_replace(text, "^[^:]*:", ""), USER_KEEPS)
+    return F.concat(name, F.when(text.contains(":"), F.concat(F.lit(":"), password)).otherwise(""), F.lit("@"))
 
 
 # Fixed patterns: the parts of an absolute URL.
 SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
-USER = r"(?:[^/?#]*@)?"
+USER = r"(?:[A-Za-z0-9\-._:~!$&'()*+,;=%@]*@)?"
 HOST = r"(?:\[[^\]/?#@]+\]|[^/?#@:\[\]\s^`{|}\\%]+)(?::[0-9]*)?|:[0-9]*"
 URL = rf"(?s)^{SCHEME}://({USER})(?:{HOST})((?:/[^?#]*)?)((?:\?[^#]*)?)((?:#.*)?)$"
-# Fixed patterns: characters that force a path or a fragment to be encoded again.
+# Fixed patterns: characters that force a part to be encoded again.
 ODD_PATH = r"[^A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]/%]"
 ODD_FRAGMENT = r"[^A-Za-z0-9\-_.~!$&'()*+,;=:@\[\]/%?]"
+ODD_USER = r"[!'()*%]|@.*@|:.*:"
 BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
+# Reserved characters that each part may hold unescaped.
+USER_KEEPS = "$&+,;="
+PATH_KEEPS = "$&+,/:;=@"
+FRAGMENT_KEEPS = "!$&()*+,/:;=?@"
 CONTROL = r"[\x00-\x1f\x7f]"
 
 
@@ -88,6 +103,7 @@ def rewrite_endpoint(url: Column, endpoint: str) -> Column:
     prefix = target.group(1).lower() + "://"
     host = target.group(2)
 
+    user = F.regexp_extract(url, URL, 1)
     path = F.regexp_extract(url, URL, 2)
     fragment = F.substring(F.regexp_extract(url, URL, 4), 2, 2**31 - 1)
     head_and_path = F.regexp_replace(url, r"(?s)[?#].*$", "")
@@ -97,17 +113,18 @@ def rewrite_endpoint(url: Column, endpoint: str) -> Column:
         & ~head_and_path.rlike(BAD_ESCAPE)
         & ~fragment.rlike(BAD_ESCAPE)
     )
-    plain = ~path.rlike(ODD_PATH) & ~fragment.rlike(ODD_FRAGMENT) & ~url.endswith("#")
+    odd_parts = user.rlike(ODD_USER) | path.rlike(ODD_PATH) | fragment.rlike(ODD_FRAGMENT)
+    plain = ~odd_parts & ~url.endswith("#")
     literal_host = host.replace("\\", "\\\\").replace("$", "\\$")
     simple = F.regexp_replace(url, URL, f"{prefix}$1{literal_host}$2$3$4")
-    new_path = F.when(path.rlike(ODD_PATH), _reescape(path, [])).otherwise(path)
+    new_user = F.when(user.rlike(ODD_USER), _reescape_user(user)).otherwise(user)
+    new_path = F.when(path.rlike(ODD_PATH), _reescape(path, PATH_KEEPS)).otherwise(path)
     new_fragment = F.when(
-        fragment.rlike(ODD_FRAGMENT),
-        _reescape(fragment, [("%3F", "?"), ("%21", "!"), ("%28", "("), ("%29", ")"), ("%2A", "*")]),
+        fragment.rlike(ODD_FRAGMENT), _reescape(fragment, FRAGMENT_KEEPS)
     ).otherwise(fragment)
     rebuilt = F.concat(
         F.lit(prefix),
-        F.regexp_extract(url, URL, 1),
+        new_user,
         F.lit(host),
         new_path,
         F.regexp_extract(url, URL, 3),
@@ -130,6 +147,13 @@ def strip_registry(image: Column) -> Column:
     ).otherwise(trimmed)
 
 
+def registry_image(image: Column, address: str) -> Column:
+    """Put a registry address in front of an image, in place of the host it had."""
+    if not address:
+        return image
+    return F.when(image == "", image).otherwise(F.concat(F.lit(f"{address}/"), strip_registry(image)))
+
+
 def overlay(base: Column, top: Column) -> Column:
     """Merge two maps; ``top`` wins. Needs no session setting for duplicate keys."""
     kept = F.map_filter(base, lambda key, _: ~F.map_contains_key(top, key))

@@ -38,7 +38,31 @@ def strip_registry(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws("/", "source", "lang", "text").alias("image"),
     )
     both = pages.unionByName(documents)
-    return both.select("kind", "id", S.strip_registry(F.col("image")).alias("path"))
+    return both.select(
+        "kind", "id",
+        S.strip_registry(F.col("image")).alias("path"),
+        S.registry_image(F.col("image"), "127.0.0.1:5005").alias("pushed"),
+    )
+
+
+def resource_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Settings that tell an application its queues and topics.
+
+    Queue addresses are moved to the endpoint the application sees; topic names are
+    not addresses and stay.
+    """
+    pages = read_table(spark, folder, "pages")
+    documents = read_table(spark, folder, "documents")
+    queues = pages.select(
+        S.env_key(F.lit("SQS"), F.col("url"), F.lit("URL")).alias("key"),
+        S.rewrite_endpoint(F.col("url"), ENDPOINT).alias("value"),
+    )
+    topic = F.concat_ws(":", F.lit("arn:aws:sns:us-east-1:000000000000"), "source", "doc_id")
+    topics = documents.select(
+        S.env_key(F.lit("SNS"), F.concat_ws("-", "source", "doc_id"), F.lit("ARN")).alias("key"),
+        topic.alias("value"),
+    )
+    return queues.unionByName(topics)
 
 
 def map_overlay(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,6 +141,7 @@ QUERIES = {
     "env_key": env_key,
     "rewrite_endpoint": rewrite_endpoint,
     "strip_registry": strip_registry,
+    "resource_settings": resource_settings,
     "map_overlay": map_overlay,
     "render_properties": render_properties,
     "token_unique": token_unique,
@@ -133,9 +158,16 @@ SELECT doc_id, upper(regexp_replace(CASE lang WHEN 'en' THEN '' ELSE lang || '_'
 SELECT page_id, regexp_replace(url, '^https?://[^/?#]+', 'http://gateway:4566') AS rewritten,
        regexp_replace(url, '^https?://', '') AS unchanged FROM pages""",
     "strip_registry": """
-SELECT 'page' AS kind, page_id AS id, regexp_replace(url, '^https?://[^/]+/', '') AS path FROM pages
+SELECT *, '127.0.0.1:5005/' || path AS pushed FROM (
+  SELECT 'page' AS kind, page_id AS id, regexp_replace(url, '^https?://[^/]+/', '') AS path FROM pages
+  UNION ALL
+  SELECT 'document', doc_id, trim(source || '/' || lang || '/' || text, ' ' || chr(10)) FROM documents)""",
+    "resource_settings": """
+SELECT 'SQS_' || upper(regexp_replace(url, '[^A-Za-z0-9]', '_', 'g')) || '_URL' AS key,
+       regexp_replace(url, '^https?://[^/?#]+', 'http://gateway:4566') AS value FROM pages
 UNION ALL
-SELECT 'document', doc_id, trim(source || '/' || lang || '/' || text, ' ' || chr(10)) FROM documents""",
+SELECT 'SNS_' || upper(source) || '_' || doc_id || '_ARN',
+       'arn:aws:sns:us-east-1:000000000000:' || source || ':' || doc_id FROM documents""",
     "map_overlay": """
 SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 3 ELSE 4 END::INT AS entries, lang, source,
        coalesce(quality::VARCHAR, 'unknown') AS quality, toxic::VARCHAR AS toxic

@@ -61,6 +61,13 @@ def test_env_key(spark, parts, expected):
         ("http://[::1]:80/x", "http://b", "http://b/x"),
         ("arn:aws:sns:us-east-1:000000000000:events", "http://b", "arn:aws:sns:us-east-1:000000000000:events"),
         ("", "http://b", ""),
+        ("http://u!x:p:q@a/x", "http://b", "http://u%21x:p%3Aq@b/x"),
+        ("http://a@b@c/x", "http://b", "http://a%40b@b/x"),
+        ("http://u%2f:@a", "http://b", "http://u%2F:@b"),
+        ("http://u<v@a/x", "http://b", "http://u<v@a/x"),
+        ("http://a/x#<?!'>", "http://b", "http://b/x#%3C?!%27%3E"),
+        ("http://a/(x) [y]", "http://b", "http://b/%28x%29%20%5By%5D"),
+        ("http://a/x??y", "http://$1:2", "http://$1:2/x??y"),
     ],
 )
 def test_rewrite_endpoint(spark, url, endpoint, expected):
@@ -83,6 +90,13 @@ def test_strip_registry(spark):
     assert rows(spark, list(images), S.strip_registry) == list(images.values())
 
 
+def test_registry_image(spark):
+    image = F.lit("docker.io/library/nginx:alpine")
+    assert value(spark, S.registry_image(image, "127.0.0.1:5005")) == "127.0.0.1:5005/library/nginx:alpine"
+    assert value(spark, S.registry_image(image, "")) == "docker.io/library/nginx:alpine"
+    assert value(spark, S.registry_image(F.lit(""), "127.0.0.1:5005")) == ""
+
+
 def test_overlay_right_side_wins(spark):
     base = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
     top = F.create_map(F.lit("b"), F.lit("3"), F.lit("c"), F.lit("4"))
