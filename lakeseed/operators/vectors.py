@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from lakeseed.workspace import new_path, stored
@@ -139,35 +140,29 @@ def _scan(query_ids: list, matrix: np.ndarray, metric: str, k: int, whole_ids: b
                     full = np.flatnonzero(np.bincount(best[0], minlength=count) == k)
                     floor[full] = best[2][np.searchsorted(best[0], full, side="right") - 1]
         places, ids, scores = best
-        names = pa.array(query_ids, schema.field(0).type).take(pa.array(places))
+        names = pa.array(query_ids, schema.field(0).type).take(pa.array(places, pa.int64()))
         found = [names, pa.array(ids.tolist(), schema.field(1).type), pa.array(scores)]
         yield pa.RecordBatch.from_arrays(found, schema=schema)
 
     return run
 
 
-def _one_pass(points: DataFrame, queries: list, metric: str, k: int, names: dict) -> DataFrame:
-    whole_ids = isinstance(points.schema["id"].dataType, T.IntegralType)
-    whole_queries = names["query_type"] == "bigint"
-    arrow = pa.schema(
-        [
-            ("query_id", pa.int64() if whole_queries else pa.string()),
-            ("id", pa.int64() if whole_ids else pa.string()),
-            ("score", pa.float64()),
-        ]
-    )
+def _one_pass(points: DataFrame, queries: list, collection: Collection, k: int, schema: T.StructType) -> DataFrame:
+    """Top k of queries that fit in every task."""
     matrix = np.array([row["vector"] for row in queries], dtype=np.float64)
-    ids = [row["query_id"] for row in queries]
-    candidates = points.select("id", "vector").mapInArrow(
-        _scan(ids, matrix, metric, k, whole_ids, arrow),
-        f"query_id {names['query_type']}, id {'bigint' if whole_ids else 'string'}, score double",
-    )
+    if matrix.shape[1:] != (collection.size,) or not np.isfinite(matrix).all():
+        raise ValueError(f"query vectors must hold {collection.size} finite numbers")
+    query_ids = [row["query_id"] for row in queries]
+    if len(set(query_ids)) < len(query_ids):
+        raise ValueError("query ids must differ")
+
+    whole_ids = schema["id"].dataType == T.LongType()
+    scan = _scan(query_ids, matrix, collection.metric, k, whole_ids, to_arrow_schema(schema))
+    candidates = points.select("id", "vector").mapInArrow(scan, schema)
     nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = candidates.withColumn("rank", F.row_number().over(nearest_first)).where(
-        F.col("rank") <= k
-    )
-    score = F.sqrt(-F.col("score")) if metric == "euclidean" else F.col("score")
-    return ranked.select("query_id", "rank", "id", score.alias("score"))
+    ranked = candidates.withColumn("rank", F.row_number().over(nearest_first))
+    score = F.sqrt(-F.col("score")) if collection.metric == "euclidean" else F.col("score")
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", score.alias("score"))
 
 
 def nearest(
@@ -187,18 +182,25 @@ def nearest(
     """
     points = plain_id(points, "id")
     queries = plain_id(queries, "query_id").select("query_id", "vector")
-    names = {"query_type": queries.schema["query_id"].dataType.simpleString()}
+    schema = T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("id", points.schema["id"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
     fit = max(1, query_bytes // (8 * collection.size))
     held = queries.limit(fit + 1).collect()
     if not held:
-        id_type = points.schema["id"].dataType.simpleString()
-        empty = f"query_id {names['query_type']}, rank int, id {id_type}, score double"
-        return points.sparkSession.createDataFrame([], empty)
+        empty = points.sparkSession.createDataFrame([], schema)
+        return empty.select("query_id", F.lit(0).alias("rank"), "id", "score")
     if len(held) <= fit:
-        return _one_pass(points, held, collection.metric, k, names)
+        return _one_pass(points, held, collection, k, schema)
 
-    out = new_path(points.sparkSession, f"nearest-{collection.name}")
     queries = stored(queries, "queries")
+    if not queries.groupBy("query_id").count().where("count > 1").isEmpty():
+        raise ValueError("query ids must differ")
+    out = new_path(points.sparkSession, f"nearest-{collection.name}")
     blocks = [(1, 0)]
     while blocks:
         of, number = blocks.pop()
@@ -207,6 +209,6 @@ def nearest(
         if len(held) > fit:
             blocks += [(2 * of, number), (2 * of, number + of)]
         elif held:
-            result = _one_pass(points, held, collection.metric, k, names)
+            result = _one_pass(points, held, collection, k, schema)
             result.write.parquet(f"{out}/block={of}-{number}")
     return points.sparkSession.read.parquet(out).drop("block")

@@ -109,6 +109,15 @@ def test_size_is_checked(spark, queries):
         nearest(wrong, query, collection, 1).collect()
 
 
+@pytest.mark.parametrize("query_bytes", [10**9, 8 * SIZE])
+def test_bad_queries_are_refused(spark, points, queries, query_bytes):
+    with pytest.raises(ValueError, match="must differ"):
+        nearest(points, queries.union(queries), Collection("t", SIZE), 1, query_bytes)
+    with pytest.raises(ValueError, match="4 finite numbers"):
+        short = spark.createDataFrame([("q", [1.0])], "query_id string, vector array<double>")
+        nearest(points, short, Collection("t", SIZE), 1, query_bytes)
+
+
 def test_metric_names():
     assert Collection("a", 3).metric == "cosine"
     with pytest.raises(ValueError):
