@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeseed.operators.keyed import count_documents, key_range, keyed_table, lookup
 from lakeseed.sources.documents import as_documents, collection_path, insert_documents, read_documents
 from lakeseed.sources.files import read_logs, read_manifests
-from lakeseed.sources.jdbc import RowStore, Split
+from lakeseed.sources.jdbc import RowStore, Split, read_store, write_store
 from lakeseed.sources.lake import LakeEnvironment, create_lake_table, insert_lake_rows
 from lakeseed.sources.objects import put_objects, read_objects, stat_objects
 from lakeseed.workspace import new_path, shared_root
@@ -159,6 +159,15 @@ def test_row_store_settings():
         RowStore("oracle", "h", 1, "d")
 
 
+def test_row_store_needs_its_driver(spark):
+    """Nothing is started or reached: the settings go as far as the lookup of the driver."""
+    store = RowStore("postgresql", "127.0.0.1", 5432, "app", "u", "p")
+    with pytest.raises(Exception, match="No suitable driver"):
+        read_store(spark, store, "users", Split("id", 0, 100))
+    with pytest.raises(Exception, match="No suitable driver"):
+        write_store(spark.range(1), store, "users")
+
+
 def test_shared_folder_is_the_session_setting(spark):
     setting = spark.conf.get("spark.checkpoint.dir", None)
     assert setting and shared_root(spark) == setting.rstrip("/")
