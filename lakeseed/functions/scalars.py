@@ -191,6 +191,11 @@ def json_without_blanks(
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
 
 
+def variant_kind(value: Column) -> Column:
+    """Type name of a variant with sizes and nested fields cut off."""
+    return F.regexp_replace(F.schema_of_variant(value), r"^(DECIMAL|OBJECT)[(<].*$", "$1")
+
+
 def document_store_dsn(host: Column, user: Column, password: Column, database: Column) -> Column:
     """Connection text of a document store with escaped credentials and database."""
     # The scheme, the default database and the option of the connection text.

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeseed.functions.scalars import variant_kind
+
 # Fixed value: how many objects a query without a limit returns.
 DEFAULT_LIMIT = 25
 
@@ -50,12 +52,6 @@ class ObjectClass:
         return {**self.raw, **typed}
 
 
-def _variant_kind(value: Column) -> Column:
-    """Type name of a variant with sizes and nested fields cut off."""
-    full = F.schema_of_variant(value)
-    return F.regexp_replace(full, r"^(DECIMAL|OBJECT)[(<].*$", "$1")
-
-
 def property_state(properties: Column, item: Property) -> Column:
     """``missing``, ``valid`` or ``wrong_type`` for one declared property."""
     unknown = [name for name in item.data_type if name not in VARIANT_TYPES]
@@ -66,7 +62,7 @@ def property_state(properties: Column, item: Property) -> Column:
     missing = value.isNull() | F.is_variant_null(value)
     return (
         F.when(missing, "missing")
-        .when(_variant_kind(value).isin(accepted), "valid")
+        .when(variant_kind(value).isin(accepted), "valid")
         .otherwise("wrong_type")
     )
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeseed.functions.scalars import variant_kind
 from lakeseed.operators.skew import salted_join
 
 
@@ -17,14 +18,29 @@ def lookup(probes: DataFrame, pairs: DataFrame, key: str, spread: list[str]) ->
     return salted_join(probes, pairs, [key], "left", spread)
 
 
+# Variant types that a value of each Python type may equal.
+NUMBERS = ["BIGINT", "DOUBLE", "DECIMAL"]
+EQUAL_KINDS = {bool: ["BOOLEAN"], int: NUMBERS, float: NUMBERS, str: ["STRING"]}
+COMPARED_AS = {bool: "boolean", int: "decimal(38,15)", float: "double", str: "string"}
+
+
+def field_equals(document: str, path: str, value: object) -> Column:
+    """Whether a field of a document equals a value of the same kind; 1 equals 1.0, not "1".
+
+    ``None`` equals a null and an absent field.
+    """
+    field = F.try_variant_get(document, f"$.{path}", "variant")
+    if value is None:
+        return field.isNull() | F.is_variant_null(field)
+    typed = F.try_variant_get(document, f"$.{path}", COMPARED_AS[type(value)])
+    return (typed == F.lit(value)) & variant_kind(field).isin(EQUAL_KINDS[type(value)])
+
+
 def count_documents(documents: DataFrame, document: str, equal: dict[str, object]) -> DataFrame:
     """Count documents whose fields equal all the given values."""
-    # The variant type that a Python value is compared as.
-    kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
     matching = documents
     for path, value in equal.items():
-        field = F.try_variant_get(document, f"$.{path}", kinds[type(value)])
-        matching = matching.where(field == F.lit(value))
+        matching = matching.where(field_equals(document, path, value))
     return matching.agg(F.count(F.lit(1)).alias("documents"))
 
 

@@ -95,6 +95,17 @@ def test_documents(spark):
     assert count_documents(documents, "doc", {"name": "Ada", "n.x": 1}).head()["documents"] == 1
     assert count_documents(documents, "doc", {"name": "Eve"}).head()["documents"] == 0
     assert count_documents(documents, "doc", {}).head()["documents"] == 2
+    assert count_documents(documents, "doc", {"n.x": 1}).head()["documents"] == 1
+    assert count_documents(documents, "doc", {"n.x": 1.0}).head()["documents"] == 1
+    assert count_documents(documents, "doc", {"n.x": "1"}).head()["documents"] == 1
+    assert count_documents(documents, "doc", {"absent": None}).head()["documents"] == 2
+    mixed = as_documents(spark.createDataFrame(
+        [('{"x":1.5}',), ('{"x":2}',), ('{"x":2.0}',), ('{"x":true}',), ('{"x":null}',), ('{"x":9007199254740993}',)], "j string"
+    ), F.col("j"))
+    counts = {str(value): count_documents(mixed, "doc", {"x": value}).head()["documents"]
+              for value in (1.5, 2, 2.0, True, None, 1, 9007199254740993, 9007199254740992)}
+    assert counts == {"1.5": 1, "2": 2, "2.0": 2, "True": 1, "None": 1, "1": 0,
+                      "9007199254740993": 1, "9007199254740992": 0}
     bad = spark.createDataFrame([("{",)], "j string")
     with pytest.raises(Exception, match="MALFORMED_RECORD_IN_PARSING|parse_json"):
         as_documents(bad, F.col("j")).collect()
