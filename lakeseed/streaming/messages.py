@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The fields of a progress message.
-MESSAGE = "error string, errorDetail struct<message string>, _malformed string"
+from lakeseed.functions.scalars import variant_kind
+
+# The fields of a progress message and the kind each must have if present.
+FIELDS = {
+    "$.status": "STRING",
+    "$.error": "STRING",
+    "$.errorDetail": "OBJECT",
+    "$.errorDetail.message": "STRING",
+}
+
+
+def _unreadable(body: str, parsed: str) -> Column:
+    """Whether a message is not a JSON object with fields of the right kind, or null."""
+    wrong = F.col(parsed).isNull() | ~F.col(body).rlike(r"^\s*(\{|null\s*$)")
+    for path, kind in FIELDS.items():
+        found = variant_kind(F.try_variant_get(parsed, path, "variant"))
+        wrong = wrong | F.coalesce(~found.isin(kind, "VOID"), F.lit(False))
+    return wrong
+
+
+def _text(parsed: str, path: str) -> Column:
+    return F.nullif(F.try_variant_get(parsed, path, "string"), F.lit(""))
 
 
 def first_error(messages: DataFrame, stream: str, seq: str, body: str) -> DataFrame:
     """First error of each stream: ``stream, seq, message``; a stream without one has no row.
 
     A message fails by a non-empty ``error``, else a non-empty ``errorDetail.message``,
-    else by not being JSON. Partial minima keep a stream with very many messages from
-    ever being gathered in one place.
+    and also by not being a readable message at all. Partial minima keep a stream with
+    very many messages from ever being gathered in one place.
     """
-    parsed = F.from_json(body, MESSAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
-    failure = F.coalesce(
-        F.when(F.col("_body._malformed").isNotNull(), F.concat(F.lit("malformed message: "), F.col(body))),
-        F.nullif(F.col("_body.error"), F.lit("")),
-        F.nullif(F.col("_body.errorDetail.message"), F.lit("")),
-    )
+    filled = messages.where(F.trim(body) != "")
     # A generator keeps the parse in one place; inlined, it would run once per field.
-    bodies = messages.select(stream, seq, body, F.explode(F.array(parsed)).alias("_body"))
-    return (
-        bodies.withColumn("message", failure)
-        .where(F.col("message").isNotNull())
-        .groupBy(stream)
-        .agg(F.min(seq).alias(seq), F.min_by("message", seq).alias("message"))
-    )
+    parsed = filled.select(stream, seq, body, F.explode(F.array(F.try_parse_json(body))).alias("_doc"))
+    failure = F.when(
+        _unreadable(body, "_doc"), F.concat(F.lit("malformed message: "), F.col(body))
+    ).otherwise(F.coalesce(_text("_doc", "$.error"), _text("_doc", "$.errorDetail.message")))
+    failed = parsed.select(stream, seq, F.explode(F.array_compact(F.array(failure))).alias("message"))
+    return failed.groupBy(stream).agg(F.min(seq).alias(seq), F.min_by("message", seq).alias("message"))

@@ -179,6 +179,36 @@ def test_row_store_needs_its_driver(spark):
         write_store(spark.range(1), store, "users")
 
 
+class _Session:
+    """As much of a session as the choice of the shared folder reads."""
+
+    def __init__(self, master, setting=None, checkpoint=None):
+        self.settings = {"spark.checkpoint.dir": setting} if setting else {}
+        self.conf = self.sparkContext = self
+        self.master, self.checkpoint = master, checkpoint
+
+    def get(self, key, default=None):
+        return self.settings.get(key, default)
+
+    def set(self, key, value):
+        self.settings[key] = value
+
+    def getCheckpointDir(self):
+        return self.checkpoint
+
+    def setCheckpointDir(self, path):
+        self.checkpoint = path
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(_Session("yarn"))
+    assert shared_root(_Session("yarn", "hdfs://nn/shared/")) == "hdfs://nn/shared"
+    assert shared_root(_Session("yarn", checkpoint="hdfs://nn/other")) == "hdfs://nn/other"
+    local = _Session("local[2]")
+    assert shared_root(local) == shared_root(local)
+
+
 def test_shared_folder_is_the_session_setting(spark):
     setting = spark.conf.get("spark.checkpoint.dir", None)
     assert setting and shared_root(spark) == setting.rstrip("/")

@@ -73,11 +73,17 @@ def test_first_error(spark):
         ("both", 1, '{"error":"outer","errorDetail":{"message":"inner"}}'),
         ("bad", 1, '{"status":'), ("bad", 2, '{"error":"later"}'),
         ("blank", 1, ""), ("none", 1, None),
-        ("number", 1, "5"),
+        ("number", 1, "5"), ("list", 1, '[{"error":"x"}]'), ("null", 1, " null "),
+        ("kind", 1, '{"error":5}'), ("kind2", 1, '{"errorDetail":"x"}'), ("kind3", 1, '{"errorDetail":{"message":1}}'),
+        ("nulls", 1, '{"error":null,"errorDetail":null,"status":null}'), ("status", 1, '{"status":1,"error":"e"}'),
     ]
     messages = spark.createDataFrame(rows, "stream string, seq int, body string").repartition(4)
     got = {row["stream"]: (row["seq"], row["message"]) for row in first_error(messages, "stream", "seq", "body").collect()}
     assert got == {
         "err": (2, "first"), "detail": (5, "inner"), "both": (1, "outer"),
         "bad": (1, 'malformed message: {"status":'), "number": (1, "malformed message: 5"),
+        "list": (1, 'malformed message: [{"error":"x"}]'), "kind": (1, 'malformed message: {"error":5}'),
+        "kind2": (1, 'malformed message: {"errorDetail":"x"}'),
+        "kind3": (1, 'malformed message: {"errorDetail":{"message":1}}'),
+        "status": (1, 'malformed message: {"status":1,"error":"e"}'),
     }
