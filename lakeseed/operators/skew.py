@@ -7,7 +7,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from lakeseed.workspace import stored
 
@@ -18,12 +18,13 @@ HOT_KEYS = 100_000
 ROWS_PER_TASK = 1_000_000
 
 
-def hot_keys(rows: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def hot_keys(rows: DataFrame, keys: list[str], rows_per_task: int | None = None) -> DataFrame:
     """The most frequent keys with the number of salts each needs.
 
     Bounded by ``HOT_KEYS`` rows whatever the input, so it may be broadcast. The
     counts are taken on the map side before the shuffle.
     """
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     return (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -40,7 +41,7 @@ def salted_join(
     keys: list[str],
     how: str,
     spread: list[str],
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` with the hot keys of ``facts`` spread over many tasks.
 
@@ -69,39 +70,69 @@ def salted_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def ordered_scan(
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    sums: dict[str, str] | None = None,
+    lasts: dict[str, tuple[str, int]] | None = None,
+    rows_per_task: int | None = None,
+) -> DataFrame:
+    """Running sums and last seen values of each key, in the given order.
+
+    ``sums`` maps a new column to the column it adds up, this row included. ``lasts``
+    maps a new column to ``(column, rows back)``: the last non-null value at least so
+    many rows back, 0 or 1. Give a struct column to see nulls inside it.
+
+    Keys are counted first, on the map side. If no key is too large for a task, plain
+    windows with one shuffle do; otherwise keys are split over partitions.
+    """
+    sums, lasts = sums or {}, lasts or {}
+    if hot_keys(rows, keys, rows_per_task).isEmpty():
+        return rows.withColumns(_frames(Window.partitionBy(*keys).orderBy(*order), sums, lasts))
+    return split_scan(split_by_order(rows, keys, order), keys, order, sums, lasts)
+
+
+def _frames(window: WindowSpec, sums: dict, lasts: dict, prefix: str = "") -> dict[str, Column]:
+    frames = {
+        prefix + name: F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0))
+        for name, value in sums.items()
+    }
+    for name, (value, back) in lasts.items():
+        frame = window.rowsBetween(Window.unboundedPreceding, -back)
+        frames[prefix + name] = F.last(value, ignorenulls=True).over(frame)
+    return frames
+
+
 def split_by_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Range partition by key and order, so that a hot key spans many partitions.
 
     The partition number is kept in ``_part``. Rows that agree in key and order are told
     apart by their input partition, ``_copy``, so many copies of one row span several
-    partitions too. Range bounds come from a sample that
-    differs from run to run, so the rows are written to the shared folder before the
-    numbers are used twice; a lost executor then costs no second sample.
+    partitions too. Range bounds come from a sample that differs from run to run, so
+    the rows are written to the shared folder before the numbers are used twice; a lost
+    executor then costs no second sample.
     """
     marked = rows.withColumn("_copy", F.spark_partition_id())
     placed = marked.repartitionByRange(*keys, *order, "_copy")
     return stored(placed.withColumn("_part", F.spark_partition_id()), "ordered")
 
 
-def ordered_scan(
+def split_scan(
     split: DataFrame,
     keys: list[str],
     order: list[str],
-    sums: dict[str, str] | None = None,
-    lasts: dict[str, tuple[str, int]] | None = None,
+    sums: dict[str, str],
+    lasts: dict[str, tuple[str, int]],
 ) -> DataFrame:
-    """Running sums and last seen values per key, over rows from ``split_by_order``.
-
-    ``sums`` maps a new column to the column it adds up, this row included. ``lasts``
-    maps a new column to ``(column, rows back)``: the last non-null value at least so
-    many rows back, 0 or 1. Give a struct column to see nulls inside it.
+    """``ordered_scan`` over rows from ``split_by_order``.
 
     Each partition is scanned by itself. What a key brings in from earlier partitions
     comes from one summary row per key and partition. Only the first key of a
     partition can have started earlier, so fewer rows than partitions are carried:
     small enough to broadcast by construction.
     """
-    sums, lasts, order = sums or {}, lasts or {}, [*order, "_copy"]
+    order = [*order, "_copy"]
     summary = [F.sum(value).alias(f"_sum_{name}") for name, value in sums.items()]
     for name, (value, _) in lasts.items():
         present = F.when(F.col(value).isNotNull(), F.struct(*order))
@@ -110,49 +141,40 @@ def ordered_scan(
 
     by_part = Window.partitionBy(*keys).orderBy("_part")
     before = by_part.rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.broadcast(
-        per_part.select(
-            *keys,
-            "_part",
-            F.lag("_part").over(by_part).alias("_earlier"),
-            *[F.sum(f"_sum_{name}").over(before).alias(f"_in_{name}") for name in sums],
-            *[
-                F.last(f"_last_{name}", ignorenulls=True).over(before).alias(f"_in_{name}")
-                for name in lasts
-            ],
-        )
+    incoming = [F.sum(f"_sum_{name}").over(before).alias(f"_in_{name}") for name in sums]
+    incoming += [
+        F.last(f"_last_{name}", ignorenulls=True).over(before).alias(f"_in_{name}") for name in lasts
+    ]
+    carried = (
+        per_part.select(*keys, "_part", F.lag("_part").over(by_part).alias("_earlier"), *incoming)
         .where(F.col("_earlier").isNotNull())
         .drop("_earlier")
         .withColumnsRenamed({key: f"_key_{key}" for key in keys})
     )
 
-    rows = Window.partitionBy(*keys, "_part").orderBy(*order)
-    local = {
-        f"_own_{name}": F.sum(value).over(rows.rowsBetween(Window.unboundedPreceding, 0))
-        for name, value in sums.items()
-    }
-    for name, (value, back) in lasts.items():
-        frame = rows.rowsBetween(Window.unboundedPreceding, -back)
-        local[f"_own_{name}"] = F.last(value, ignorenulls=True).over(frame)
-
-    joined = split.withColumns(local).join(carried, "_part", "left")
+    window = Window.partitionBy(*keys, "_part").orderBy(*order)
+    local = split.withColumns(_frames(window, sums, lasts, "_own_"))
+    joined = local.join(F.broadcast(carried), "_part", "left")
     # One key per partition carries something in; null is a key like any other.
     goes_on = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in keys])
     brought = {name: F.when(goes_on, F.col(f"_in_{name}")) for name in [*sums, *lasts]}
+    own = {name: F.col(f"_own_{name}") for name in [*sums, *lasts]}
     results = {
-        name: F.when(
-            brought[name].isNotNull() | F.col(f"_own_{name}").isNotNull(),
-            F.coalesce(brought[name], F.lit(0)) + F.coalesce(f"_own_{name}", F.lit(0)),
-        )
-        for name in sums
+        name: F.coalesce(brought[name] + own[name], brought[name], own[name]) for name in sums
     }
-    results |= {name: F.coalesce(F.col(f"_own_{name}"), brought[name]) for name in lasts}
+    results |= {name: F.coalesce(own[name], brought[name]) for name in lasts}
     kept = split.drop("_part", "_copy").columns
     return joined.select(*kept, *[value.alias(name) for name, value in results.items()])
 
 
 def last_before(
-    probes: DataFrame, builds: DataFrame, keys: list[str], at: str, tie: str, name: str
+    probes: DataFrame,
+    builds: DataFrame,
+    keys: list[str],
+    at: str,
+    tie: str,
+    name: str,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """As-of match: each probe row gets the latest build row at or before its time.
 
@@ -169,9 +191,9 @@ def last_before(
     right = builds.dropna(subset=keys).select(
         *keys, at, tie, F.lit(0).alias("_probe"), F.struct(*build_columns).alias("_build")
     )
+    both = left.unionByName(right, allowMissingColumns=True)
     order = [at, "_probe", tie]
-    both = split_by_order(left.unionByName(right, allowMissingColumns=True), keys, order)
-    scanned = ordered_scan(both, keys, order, lasts={name: ("_build", 0)})
+    scanned = ordered_scan(both, keys, order, lasts={name: ("_build", 0)}, rows_per_task=rows_per_task)
     matched = scanned.where(F.col("_probe") == 1)
     kept = [F.col("_kept")[column].alias(column) for column in probe_columns]
     return matched.select(*keys, at, tie, *kept, name)

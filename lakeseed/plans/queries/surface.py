@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseed.operators.skew import last_before, ordered_scan, salted_join, split_by_order
+from lakeseed.operators.skew import last_before, ordered_scan, salted_join
 from lakeseed.plans.catalog import query
 from lakeseed.sources.tables import TABLES, read_table, table_path
 
@@ -117,9 +117,8 @@ def p_window_frame(spark: SparkSession, folder: str) -> DataFrame:
     events = read_table(spark, folder, "events").select(
         "user_id", "ts", "event_id", "value", F.struct("event_type", "value").alias("here")
     )
-    split = split_by_order(events, ["user_id"], ["ts", "event_id"])
     scanned = ordered_scan(
-        split, ["user_id"], ["ts", "event_id"], sums={"running": "value"}, lasts={"back": ("here", 1)}
+        events, ["user_id"], ["ts", "event_id"], sums={"running": "value"}, lasts={"back": ("here", 1)}
     )
     return scanned.select(
         "event_id", "user_id",

@@ -44,12 +44,12 @@ def connection(folder):
 @pytest.fixture(scope="module", autouse=True)
 def hard_settings(spark):
     kept = {key: spark.conf.get(key) for key in SETTINGS}
-    defaults = skew.salted_join.__defaults__
+    rows_per_task = skew.ROWS_PER_TASK
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    skew.salted_join.__defaults__ = (40,)
+    skew.ROWS_PER_TASK = 40
     yield
-    skew.salted_join.__defaults__ = defaults
+    skew.ROWS_PER_TASK = rows_per_task
     for key, value in kept.items():
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 

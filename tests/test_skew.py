@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakeseed.operators.skew import hot_keys, last_before, ordered_scan, salted_join, split_by_order
+from lakeseed.operators.skew import hot_keys, last_before, ordered_scan, salted_join, split_by_order, split_scan
 
 
 @pytest.fixture(scope="module")
@@ -70,7 +70,7 @@ def test_exact_copies_are_spread(spark, many_partitions):
     assert max(row["count"] for row in sizes) <= 2500
     split = split_by_order(copies, ["key"], ["id"])
     assert split.select("_part").distinct().count() >= 6
-    total = ordered_scan(split, ["key"], ["id"], sums={"total": "x"})
+    total = split_scan(split, ["key"], ["id"], {"total": "x"}, {})
     assert sorted(row["total"] for row in total.collect()) == [2.0 * n for n in range(1, 6001)]
 
 
@@ -92,21 +92,25 @@ def test_ordered_scan_across_partitions(facts, many_partitions):
     assert len(sizes) == 16
     assert max(sizes.values()) < 1000
     assert split.where("key = 7").select("_part").distinct().count() > 3
-    scanned = ordered_scan(split, ["key"], ["at", "id"], sums={"total": "x"}, lasts={"back": ("here", 1)})
-    got = {row["id"]: (row["total"], row["back"] and row["back"]["x"]) for row in scanned.collect()}
-    assert got == brute(facts.collect())
+    wanted = ({"total": "x"}, {"back": ("here", 1)})
+    whole = ordered_scan(facts.withColumn("here", F.struct("x")), ["key"], ["at", "id"], *wanted)
+    for scanned in (split_scan(split, ["key"], ["at", "id"], *wanted), whole):
+        got = {row["id"]: (row["total"], row["back"] and row["back"]["x"]) for row in scanned.collect()}
+        assert got == brute(facts.collect())
 
 
 def test_running_sum_of_nulls_is_null(spark):
     rows = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, 2.0)], "key int, at int, x double")
-    scanned = ordered_scan(split_by_order(rows, ["key"], ["at"]), ["key"], ["at"], sums={"total": "x"})
-    assert [row["total"] for row in scanned.orderBy("at").collect()] == [None, None, 2.0]
+    for rows_per_task in (1, 1000):
+        scanned = ordered_scan(rows, ["key"], ["at"], sums={"total": "x"}, rows_per_task=rows_per_task)
+        assert [row["total"] for row in scanned.orderBy("at").collect()] == [None, None, 2.0]
 
 
-def test_last_before_equals_brute_force(facts, many_partitions):
+@pytest.mark.parametrize("rows_per_task", [50, 10**6])
+def test_last_before_equals_brute_force(facts, many_partitions, rows_per_task):
     builds = facts.where("id % 2 = 0").select("key", "at", "id", "x")
     probes = facts.where("id % 2 = 1").select("key", "at", "id", F.col("x").alias("y"))
-    got = {row["id"]: row["hit"] and row["hit"]["id"] for row in last_before(probes, builds, ["key"], "at", "id", "hit").collect()}
+    got = {row["id"]: row["hit"] and row["hit"]["id"] for row in last_before(probes, builds, ["key"], "at", "id", "hit", rows_per_task).collect()}
     by_key = {}
     for row in builds.collect():
         by_key.setdefault(row["key"], []).append((row["at"], row["id"]))
