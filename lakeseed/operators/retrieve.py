@@ -16,15 +16,15 @@ BROADCAST_HITS = 500_000
 def attach(hits: DataFrame, rows: DataFrame, key: str, small: bool) -> DataFrame:
     """Left-join ``rows``, which hold each key once, to the hits by ``id``.
 
-    Few hits are broadcast: an inner join cuts the large side to the keys that were
-    hit, so neither side is shuffled and what is left is no larger than the hits.
-    Many hits are joined by key, with often hit keys salted.
+    Few hits are broadcast to cut the large side to the keys that were hit, so the
+    large side is not shuffled; the planner joins what is left by its size. Many hits
+    are joined by key, with often hit keys salted.
     """
     by_id = rows.withColumnRenamed(key, "id")
     if not small:
         return salted_join(hits, by_id, ["id"], "left", ["query_id", "rank"])
     found = by_id.join(F.broadcast(hits.select("id").distinct()), "id")
-    return hits.join(F.broadcast(found), "id", "left")
+    return hits.join(found, "id", "left")
 
 
 def retrieve(
