@@ -10,7 +10,7 @@ from lakeseed.operators.vectors import Collection, nearest
 from lakeseed.operators.write import last_wins, upsert
 from lakeseed.plans.catalog import Catalogs
 from lakeseed.sources.collections import create_collection, read_collection, upsert_points
-from lakeseed.sources.points import POINTS_PER_FILE, point_json, read_points, write_points
+from lakeseed.sources.points import file_count, point_json, read_points, write_points
 from lakeseed.sources.tables import read_table
 from lakeseed.workspace import new_path
 
@@ -96,7 +96,7 @@ def vector_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 def points_from_json(spark: SparkSession, folder: str) -> DataFrame:
     embeddings = read_table(spark, folder, "embeddings")
-    files = max(1, -(-embeddings.count() // POINTS_PER_FILE))
+    files = file_count(embeddings.count(), DOCS.size)
     path = new_path(spark, "points")
     payload = F.create_map(F.lit("label"), F.col("label").cast("string"))
     point = point_json(F.col("vec_id"), F.col("embedding").cast("array<double>"), payload)

@@ -10,8 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from lakeseed.functions.scalars import json_without_blanks
 
 POINT = "id string, vector array<double>, payload variant"
-# Points of one written array; a multi-line array is read by one task.
-POINTS_PER_FILE = 5_000
+# About the size of a written file; a multi-line array is read by one task.
+FILE_BYTES = 64 * 1024 * 1024
+# About the text of one number of a vector.
+NUMBER_BYTES = 20
+
+
+def file_count(points: int, size: int) -> int:
+    """Files that keep each array of so many points of a vector size to ``FILE_BYTES``."""
+    per_file = max(1, FILE_BYTES // (NUMBER_BYTES * size))
+    return max(1, -(-points // per_file))
 
 
 def read_points(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeseed.operators.retrieve import retrieve
 from lakeseed.operators.vectors import Collection, nearest
-from lakeseed.sources.points import point_json, read_points, write_points
+from lakeseed.sources.points import file_count, point_json, read_points, write_points
 from lakeseed.workspace import new_path
 
 SIZE = 4
@@ -137,6 +137,12 @@ def test_points_from_json_files(spark):
     assert loaded.where("id = '9'").head()["vector"] == [4.5]
 
 
+def test_files_hold_a_bounded_number_of_points():
+    assert file_count(0, 64) == 1
+    assert file_count(10**6, 64) == 20
+    assert file_count(10**6, 1536) == 458
+
+
 def test_points_keep_large_ids_and_fail_on_bad_json(spark):
     path = new_path(spark, "points")
     text = '[{"id": 9007199254740993, "vector": [1]},\n {"id": "a-b", "vector": [2.5], "payload": {"n": 1}}]'
