@@ -1 +1,8 @@
 """lakeseed: seed tables from many kinds of input and query them, all as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with their job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
-import lakeseed
-
-# Task functions travel with their job, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(lakeseed)
-
 # Runtime settings only: partition counts, memory and file sizes belong to the cluster.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
