@@ -63,8 +63,8 @@ CHECKS = {
             FROM (SELECT row_id, k, p, array_to_string(ws[p:p + k - 1], ' ') AS words FROM starts) s
             JOIN windows w ON w.k = s.k AND w.words = s.words),
         hit AS (
-            SELECT row_id, count(DISTINCT at) AS n_hit
-            FROM (SELECT row_id, unnest(range(p, p + k)) AS at FROM found) GROUP BY row_id),
+            SELECT row_id, count(DISTINCT place) AS n_hit
+            FROM (SELECT row_id, unnest(range(p, p + k)) AS place FROM found) GROUP BY row_id),
         named AS (
             SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
             FROM (SELECT DISTINCT row_id, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL)
