@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeseed.llm import decontaminate, language, outliers, quality, secrets
+from lakeseed.llm import decontaminate, language, mixing, outliers, privacy, quality, secrets, urls
 from lakeseed.session import configure
 
 
@@ -24,10 +24,22 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identified(_table(spark, folder, "documents"))
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(_table(spark, folder, "documents").select("doc_id", "source"))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classified(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(_table(spark, folder, "pages"))
+
+
+def op9_privacy(spark: SparkSession, folder: str) -> DataFrame:
+    return privacy.judged(_table(spark, folder, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judged(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -36,7 +48,10 @@ QUERIES = {
     "op1_outliers": op1_outliers,
     "op3_secrets": op3_secrets,
     "op5_language": op5_language,
+    "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
+    "op8_urls": op8_urls,
+    "op9_privacy": op9_privacy,
     "op10_decontaminate": op10_decontaminate,
 }
 
