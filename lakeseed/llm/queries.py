@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeseed.llm import decontaminate, language, mixing, outliers, privacy, quality, secrets, urls
+from lakeseed.llm import decontaminate, jaccard, language, mixing, outliers, privacy, quality, repeats, secrets, urls
 from lakeseed.session import configure
 
 
@@ -16,10 +16,18 @@ def op1_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judged(_table(spark, folder, "documents"))
 
 
+def op2_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.grouped(_table(spark, folder, "documents"))
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.found(_table(spark, folder, "documents"))
 
 
+def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.measured(_table(spark, folder, "documents"))
+
+
 def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identified(_table(spark, folder, "documents"))
 
@@ -46,7 +54,9 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_outliers": op1_outliers,
+    "op2_jaccard": op2_jaccard,
     "op3_secrets": op3_secrets,
+    "op4_repeats": op4_repeats,
     "op5_language": op5_language,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
