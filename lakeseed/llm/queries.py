@@ -66,6 +66,68 @@ QUERIES = {
 }
 
 CHECKS = {
+    "op8_urls": r"""
+        WITH RECURSIVE page AS (
+            SELECT DISTINCT url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest
+            FROM pages),
+        place AS (
+            SELECT url, html, split_part(url, '://', 1) AS scheme, regexp_extract(rest, '^[^/?#]*') AS h,
+                   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS p
+            FROM page WHERE rest IS NOT NULL),
+        tags AS (
+            SELECT url, scheme, h, regexp_replace(p, '[^/]*$', '') AS folder,
+                   unnest(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)\b[^>]*>')) AS tag
+            FROM place WHERE h <> ''),
+        links AS (
+            SELECT *, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS link FROM tags
+            WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
+            UNION ALL
+            SELECT *, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) AS link FROM tags
+            WHERE regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')),
+        ties AS (
+            SELECT url AS source, CASE
+                WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+                WHEN starts_with(link, '//') THEN scheme || ':' || link
+                WHEN starts_with(link, '/') THEN scheme || '://' || h || link
+                ELSE scheme || '://' || h || CASE folder WHEN '' THEN '/' ELSE folder END || link END AS target
+            FROM links WHERE link <> ''),
+        rests AS (
+            SELECT url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest
+            FROM (SELECT url FROM pages UNION SELECT target FROM ties)),
+        split AS (
+            SELECT url, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*'), '') AS path,
+                   regexp_replace(regexp_replace(coalesce(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), ''),
+                       '(^|&)(utm_[^&=]*|gclid|fbclid)(=[^&]*)?', '', 'g'), '^&+', '') AS query
+            FROM rests),
+        rules(verdict, h, p) AS (
+            VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                   ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        fits AS (
+            SELECT s.url, arg_max({'rule': r.h || r.p, 'verdict': r.verdict}, 2 * length(r.h || r.p) + (r.verdict = 'allow')::INT) AS own
+            FROM split s JOIN rules r ON (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, r.p)
+            GROUP BY s.url),
+        told AS (
+            SELECT split.url, host, path, own.rule AS rule, own.verdict AS verdict,
+                   CASE WHEN host <> '' THEN host || path || CASE query WHEN '' THEN '' ELSE '?' || query END END AS node
+            FROM split LEFT JOIN fits USING (url)),
+        edges AS (
+            SELECT a.node AS a, b.node AS b FROM ties JOIN told a ON a.url = source JOIN told b ON b.url = target
+            WHERE a.node IS NOT NULL AND b.node IS NOT NULL),
+        both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+        reach AS (
+            SELECT a AS node, a AS root FROM both_ways
+            UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.node),
+        component AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+        flags AS (
+            SELECT component, bool_or(coalesce(verdict = 'block', false)) AND NOT bool_or(coalesce(verdict = 'allow', false)) AS blocked
+            FROM component JOIN told USING (node)
+            WHERE url IN (SELECT source FROM ties UNION SELECT target FROM ties) GROUP BY component)
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+        FROM pages LEFT JOIN told ON told.url IS NOT DISTINCT FROM pages.url
+        LEFT JOIN component USING (node) LEFT JOIN flags USING (component)
+    """,
     "op10_decontaminate": r"""
         WITH texts AS (
             SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
