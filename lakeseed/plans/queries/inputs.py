@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeseed.sources.files import read_logs, read_manifests
 from lakeseed.sources.lake import LakeEnvironment, create_lake_table, insert_lake_rows
-from lakeseed.sources.objects import put_objects, read_objects, stat_objects
+from lakeseed.sources.objects import file_objects, put_objects, read_objects, stat_objects
 from lakeseed.sources.tables import read_table
 from lakeseed.workspace import new_path
 
@@ -24,14 +24,28 @@ def document_objects(spark: SparkSession, folder: str) -> DataFrame:
 def object_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """All document texts are written as objects and read back."""
     root = new_path(spark, "objects")
-    manifest = put_objects(document_objects(spark, folder), root)
-    read = read_objects(spark, root).select("bucket", "key", F.md5("content").alias("md5"))
-    return read.join(manifest, ["bucket", "key"]).select("bucket", "key", "length", "content_type", "md5")
+    put_objects(document_objects(spark, folder), root)
+    return read_objects(spark, root).select("bucket", "key", "length", "content_type", F.md5("content").alias("md5"))
+
+
+def object_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of one language's folder are put as objects of one bucket, after a first put of other ones."""
+    files, root = new_path(spark, "files"), new_path(spark, "objects")
+    documents = document_objects(spark, folder)
+    put_objects(documents, files)
+    put_objects(documents.where("bucket <> 'en'").withColumn("content_type", F.lit("")), root)
+    put_objects(file_objects(spark, f"{files}/en", "en", "copy/", "text/markdown"), root)
+    return read_objects(spark, root).groupBy("bucket", "content_type").agg(
+        F.count(F.lit(1)).alias("objects"), F.sum(F.octet_length("content")).alias("bytes"), F.min("key").alias("first_key")
+    )
 
 
 def object_stat(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents are put in two batches, the second one over a part of the first."""
     root = new_path(spark, "objects")
-    put_objects(document_objects(spark, folder), root)
+    documents = document_objects(spark, folder)
+    put_objects(documents, root)
+    put_objects(documents.where("bucket = 'de'").withColumn("content", F.upper("bucket")), root)
     return stat_objects(spark, root).groupBy("bucket").agg(
         F.count(F.lit(1)).alias("objects"),
         F.sum("length").alias("bytes"),
@@ -86,6 +100,7 @@ def lake_table(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "object_roundtrip": object_roundtrip,
+    "object_files": object_files,
     "object_stat": object_stat,
     "manifest_files": manifest_files,
     "log_union": log_union,
@@ -96,9 +111,14 @@ CHECKS = {
     "object_roundtrip": """
 SELECT lang AS bucket, source || '/' || doc_id || '.txt' AS key, strlen(text) AS length,
        'text/plain' AS content_type, md5(text) AS md5 FROM documents""",
-    "object_stat": """
-SELECT lang AS bucket, count(*) AS objects, sum(strlen(text))::BIGINT AS bytes, max(strlen(text)) AS largest
+    "object_files": """
+SELECT lang AS bucket, CASE lang WHEN 'en' THEN 'text/markdown' ELSE 'application/octet-stream' END AS content_type,
+       count(*) AS objects, sum(strlen(text))::BIGINT AS bytes,
+       min(CASE lang WHEN 'en' THEN 'copy/' ELSE '' END || source || '/' || doc_id || '.txt') AS first_key
 FROM documents GROUP BY 1""",
+    "object_stat": """
+SELECT lang AS bucket, count(*) AS objects, sum(size)::BIGINT AS bytes, max(size) AS largest
+FROM (SELECT lang, CASE lang WHEN 'de' THEN 2 ELSE strlen(text) END AS size FROM documents) GROUP BY 1""",
     "manifest_files": """
 SELECT doc_id || CASE lang WHEN 'fr' THEN '.yaml' ELSE '.yml' END AS name, length(text) AS chars, md5(text) AS md5
 FROM documents WHERE lang IN ('fr', 'de')""",

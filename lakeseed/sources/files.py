@@ -26,7 +26,7 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     if is_remote(path):
         raise ValueError("a web address is not a file or folder")
     reader = spark.read.option("recursiveFileLookup", "true")
-    if is_folder(path):
+    if is_folder(spark, path):
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(MANIFEST_SUFFIXES) + "}")
     texts = reader.text(path, wholetext=True)
     decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -14,15 +15,22 @@ from pyspark.sql import functions as F
 
 from lakeseed.functions.scalars import first_filled
 from lakeseed.operators.write import filled_or_error, last_wins
-from lakeseed.workspace import file_system
+from lakeseed.workspace import file_system, is_folder
 
 # Fixed value: content type of an object that was put without one.
 DEFAULT_TYPE = "application/octet-stream"
 # A put waits for its remote store, so a task has several under way.
 PUTS_AT_ONCE = 8
-# The folder beside the buckets that holds the manifests; object listings skip it.
+GETS_AT_ONCE = 8
+# Bytes of content that a task reads at a time, and in all.
+READ_BYTES = 32 * 1024 * 1024
+TASK_BYTES = 128 * 1024 * 1024
+# The folder beside the buckets that holds the manifests.
 MANIFESTS = "_manifest"
-MANIFEST = "bucket string, key string, content_type string, length bigint"
+WRITTEN = "bucket string, key string, content_type string, length bigint"
+MANIFEST = f"{WRITTEN}, put_at bigint"
+MANIFEST_COLUMNS = ["bucket", "key", "content_type", "length", "put_at"]
+READ = "bucket string, key string, length bigint, content_type string, content binary"
 
 
 # Fixed patterns: file names that Spark's listings would hide or Hadoop paths refuse.
@@ -37,10 +45,6 @@ def _stored_name(name: Column) -> Column:
     return F.when(name.rlike(PATH_DEFECT), F.raise_error(message).cast("string")).otherwise(escaped)
 
 
-def _original_name(stored: Column) -> Column:
-    return F.url_decode(F.replace(stored, F.lit("+"), F.lit("%2B")))
-
-
 def _writer(root: str, create_buckets: bool):
     """Task function: write the objects of one partition."""
 
@@ -80,22 +84,61 @@ def _writer(root: str, create_buckets: bool):
     return run
 
 
+def _reader(root: str):
+    """Task function: add the content of one partition's objects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = file_system(root)
+
+        def get(folder: pa.Scalar, path: pa.Scalar) -> bytes:
+            with store.open_input_stream(f"{base}/{folder}/{path}") as stream:
+                return stream.read()
+
+        with ThreadPoolExecutor(GETS_AT_ONCE) as pool:
+            for batch in batches:
+                for start, end in _slices(batch.column("length").to_pylist()):
+                    part = batch.slice(start, end - start)
+                    found = list(pool.map(get, part.column("folder"), part.column("path")))
+                    kept = [part.column(name) for name in ("bucket", "key", "length", "content_type")]
+                    names = ["bucket", "key", "length", "content_type", "content"]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.binary())], names=names)
+
+    return run
+
+
+def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of objects of about ``READ_BYTES`` in all, one object at least."""
+    start, held = 0, 0
+    for end, length in enumerate(lengths):
+        if held and held + length > READ_BYTES:
+            yield start, end
+            start, held = end, 0
+        held += length
+    if lengths:
+        yield start, len(lengths)
+
+
 def put_objects(
     objects: DataFrame,
     root: str,
     seq: list[str] | None = None,
     create_buckets: bool = True,
-    batch_id: str = "0",
+    batch_id: str = "",
 ) -> DataFrame:
     """Write each object to ``root/bucket/key`` and return the manifest of the batch.
 
     ``objects`` has ``bucket, key, content`` (text or bytes) and may have
     ``content_type``. Keys that occur more than once need ``seq`` to tell which is the
-    last. Tasks write their own rows; no object passes through the driver.
+    last; without it they are refused. Tasks write their own rows; no object passes
+    through the driver. Every put adds its own manifest; a put that is repeated with the
+    same ``batch_id`` replaces the manifest that it wrote before.
     """
     spark = objects.sparkSession
+    names = ["bucket", "key"]
+    if seq is None and not objects.groupBy(*names).count().where("count > 1").isEmpty():
+        raise ValueError("objects that share bucket and key need seq columns that order them")
     kind = F.col("content_type") if "content_type" in objects.columns else F.lit("")
-    chosen = last_wins(objects, ["bucket", "key"], seq) if seq else objects
+    chosen = last_wins(objects, names, seq) if seq else objects
     rows = chosen.select(
         filled_or_error(
             F.when(~F.col("bucket").contains("/"), F.col("bucket")), "bucket name is required, without a slash"
@@ -104,33 +147,46 @@ def put_objects(
         F.col("content").cast("binary").alias("content"),
         first_filled(kind, F.lit(DEFAULT_TYPE)).alias("content_type"),
     )
-    rows = rows.withColumns(
+    put_at = time.time_ns()
+    manifest = f"{root}/{MANIFESTS}/batch={batch_id or f'{put_at}-{uuid.uuid4().hex}'}"
+    written = _placed(rows).mapInArrow(_writer(root, create_buckets), WRITTEN)
+    written.withColumn("put_at", F.lit(put_at)).write.mode("overwrite").parquet(manifest)
+    return spark.read.schema(MANIFEST).parquet(manifest).drop("put_at")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """The rows with the folder and path of each object below the root."""
+    return rows.withColumns(
         {"folder": _stored_name(F.col("bucket")), "path": _stored_name(F.col("key"))}
     )
-    manifest = f"{root}/{MANIFESTS}/batch={batch_id}"
-    rows.mapInArrow(_writer(root, create_buckets), MANIFEST).write.mode("overwrite").parquet(manifest)
-    return spark.read.parquet(manifest)
 
 
-def _split_path(root: str):
-    """Bucket and key of a file path, by its place below the root."""
-    _, place = file_system(root.rstrip("/"))
-    below = F.regexp_extract("path", rf"(?s)^[^:]+:.*?\Q{place}\E/(.*)$", 1)
-    return F.substring_index(below, "/", 1), F.regexp_replace(below, "(?s)^[^/]*/", "")
+def stat_objects(spark: SparkSession, root: str) -> DataFrame:
+    """Bucket, key, length and content type of every object, from the manifests of all puts."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{root}/{MANIFESTS}")
+    return last_wins(rows.select(*MANIFEST_COLUMNS), ["bucket", "key"], ["put_at"]).drop("put_at")
 
 
 def read_objects(spark: SparkSession, root: str) -> DataFrame:
-    """All objects below a root: ``bucket, key, length, content``.
+    """All objects below a root: ``bucket, key, length, content_type, content``.
 
-    Leaving out ``content`` (a stat) lists the files without reading them.
+    The manifests tell tasks what to read; nothing is listed.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    bucket, key = _split_path(root)
+    known = _placed(stat_objects(spark, root)).select("bucket", "key", "length", "content_type", "folder", "path")
+    total = known.agg(F.sum("length")).first()[0] or 0
+    cores = spark.sparkContext.defaultParallelism
+    spread = known.repartition(max(cores, -(-total // TASK_BYTES)), "bucket", "key")
+    return spread.mapInArrow(_reader(root), READ)
+
+
+def file_objects(spark: SparkSession, path: str, bucket: str, prefix: str = "", content_type: str = "") -> DataFrame:
+    """The files below a path as objects to put: their keys are their paths below it, after a prefix."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    whole = F.regexp_extract("path", "[^/]+$", 0)
+    if is_folder(spark, path):
+        below = path.rstrip("/").split("://")[-1].split(":")[-1].rstrip("/")
+        whole = F.regexp_extract("path", rf"(?s)\Q{below}\E/(.*)$", 1)
+    key = F.concat(F.lit(prefix), whole)
     return files.select(
-        _original_name(bucket).alias("bucket"), _original_name(key).alias("key"), "length", "content"
+        F.lit(bucket).alias("bucket"), key.alias("key"), "content", F.lit(content_type).alias("content_type")
     )
-
-
-def stat_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Bucket, key and length of every object."""
-    return read_objects(spark, root).drop("content")

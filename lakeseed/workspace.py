@@ -9,6 +9,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+# Folders that this process has made below the shared folder.
+MADE: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,11 +33,25 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_root(spark)}/lakeseed/{label}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_root(spark)}/lakeseed/{label}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def remove_made(spark: SparkSession) -> None:
+    """Delete all folders made by this process, when no frame that reads them is used any more."""
+    while MADE:
+        store, place = _hadoop(spark, MADE.pop())
+        store.delete(place, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """Spark's own file system for a path, with the session's endpoints and credentials."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """Arrow's file system for a path as Spark writes it."""
+    """Arrow's file system for a path as Spark writes it, for use inside tasks."""
     if path.startswith("file:/") and not path.startswith("file://"):
         path = "file://" + path.removeprefix("file:")
     if path.startswith("s3a://"):
@@ -43,16 +59,16 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def is_folder(path: str) -> bool:
-    store, place = file_system(path)
-    return store.get_file_info(place).type == fs.FileType.Directory
+def is_folder(spark: SparkSession, path: str) -> bool:
+    store, place = _hadoop(spark, path)
+    return store.exists(place) and store.getFileStatus(place).isDirectory()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A new path whose folder exists, so that it can be read before anything is in it."""
     path = new_path(spark, label)
-    store, place = file_system(path)
-    store.create_dir(place, recursive=True)
+    store, place = _hadoop(spark, path)
+    store.mkdirs(place)
     return path
 
 
