@@ -1,73 +1,16 @@
-"""Joins and ordered scans that keep one hot key from filling one task."""
+"""Ordered scans and as-of matches that keep one hot key from filling one task."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from lakeseed.workspace import stored
-
-# At most this many keys are salted, a few MB to broadcast. Any key left out holds
-# fewer than one in 100,000 rows; adaptive execution splits it if it is still large.
-HOT_KEYS = 100_000
-# Rows of one key that one task may take before the key counts as hot.
-ROWS_PER_TASK = 1_000_000
-
-
-def hot_keys(rows: DataFrame, keys: list[str], rows_per_task: int | None = None) -> DataFrame:
-    """The most frequent keys with the number of salts each needs.
-
-    Bounded by ``HOT_KEYS`` rows whatever the input, so it may be broadcast. The
-    counts are taken on the map side before the shuffle.
-    """
-    rows_per_task = rows_per_task or ROWS_PER_TASK
-    return (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > rows_per_task)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts"))
-    )
-
-
-def salted_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    how: str,
-    spread: list[str],
-    rows_per_task: int | None = None,
-) -> DataFrame:
-    """Join ``facts`` to ``lookup`` with the hot keys of ``facts`` spread over many tasks.
-
-    ``lookup`` holds each key once; its row is copied once per salt of its key. The
-    salt of a fact comes from a hash of its ``spread`` columns and its input partition,
-    not from a random number, so a task that is run again places its rows the same way;
-    the partition tells exact copies apart. Which side is broadcast, if any, is left to
-    the planner and its size check.
-    """
-    hot = F.broadcast(hot_keys(facts, keys, rows_per_task))
-    null_key = reduce(or_, [F.col(key).isNull() for key in keys])
-    spread_hash = F.xxhash64(*spread, F.spark_partition_id())
-    # Rows without a key match nothing, so they may go anywhere.
-    salts = F.when(null_key, F.lit(HOT_KEYS)).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
-    salted = (
-        facts.withColumn("_spread", spread_hash)
-        .join(hot, keys, "left")
-        .withColumn("_salt", F.pmod("_spread", salts).cast("int"))
-        .drop("_salts", "_spread")
-    )
-    copies = (
-        lookup.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .drop("_salts")
-    )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+from lakeseed.workspace import new_path
 
 
 def ordered_scan(
@@ -76,7 +19,6 @@ def ordered_scan(
     order: list[str],
     sums: dict[str, str] | None = None,
     lasts: dict[str, tuple[str, int]] | None = None,
-    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Running sums and last seen values of each key, in the given order.
 
@@ -84,60 +26,20 @@ def ordered_scan(
     maps a new column to ``(column, rows back)``: the last non-null value at least so
     many rows back, 0 or 1. Give a struct column to see nulls inside it.
 
-    Keys are counted first, on the map side. If no key is too large for a task, plain
-    windows with one shuffle do; otherwise keys are split over partitions.
+    Rows are split by key and order whatever their number, so a key of any size spans
+    as many tasks as it needs. Each part is scanned by itself; what a key brings in from
+    earlier parts comes from one summary row per key and part. Only the first key of a
+    part can have started earlier, so fewer rows than parts are carried: small enough to
+    broadcast by construction.
     """
     sums, lasts = sums or {}, lasts or {}
-    if hot_keys(rows, keys, rows_per_task).isEmpty():
-        return rows.withColumns(_frames(Window.partitionBy(*keys).orderBy(*order), sums, lasts))
-    return split_scan(split_by_order(rows, keys, order), keys, order, sums, lasts)
-
-
-def _frames(window: WindowSpec, sums: dict, lasts: dict, prefix: str = "") -> dict[str, Column]:
-    frames = {
-        prefix + name: F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0))
-        for name, value in sums.items()
-    }
-    for name, (value, back) in lasts.items():
-        frame = window.rowsBetween(Window.unboundedPreceding, -back)
-        frames[prefix + name] = F.last(value, ignorenulls=True).over(frame)
-    return frames
-
-
-def split_by_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Range partition by key and order, so that a hot key spans many partitions.
-
-    The partition number is kept in ``_part``. Rows that agree in key and order are told
-    apart by their input partition, ``_copy``, so many copies of one row span several
-    partitions too. Range bounds come from a sample that differs from run to run, so
-    the rows are written to the shared folder before the numbers are used twice; a lost
-    executor then costs no second sample.
-    """
-    marked = rows.withColumn("_copy", F.spark_partition_id())
-    placed = marked.repartitionByRange(*keys, *order, "_copy")
-    return stored(placed.withColumn("_part", F.spark_partition_id()), "ordered")
-
-
-def split_scan(
-    split: DataFrame,
-    keys: list[str],
-    order: list[str],
-    sums: dict[str, str],
-    lasts: dict[str, tuple[str, int]],
-) -> DataFrame:
-    """``ordered_scan`` over rows from ``split_by_order``.
-
-    Each partition is scanned by itself. What a key brings in from earlier partitions
-    comes from one summary row per key and partition. Only the first key of a
-    partition can have started earlier, so fewer rows than partitions are carried:
-    small enough to broadcast by construction.
-    """
+    split = split_by_order(rows, keys, order)
     order = [*order, "_copy"]
     summary = [F.sum(value).alias(f"_sum_{name}") for name, value in sums.items()]
     for name, (value, _) in lasts.items():
         present = F.when(F.col(value).isNotNull(), F.struct(*order))
         summary.append(F.max_by(value, present).alias(f"_last_{name}"))
-    per_part = split.groupBy(*keys, "_part").agg(*summary)
+    per_part = split.groupBy(*keys, "_part").agg(F.lit(1).alias("_one"), *summary).drop("_one")
 
     by_part = Window.partitionBy(*keys).orderBy("_part")
     before = by_part.rowsBetween(Window.unboundedPreceding, -1)
@@ -155,7 +57,7 @@ def split_scan(
     window = Window.partitionBy(*keys, "_part").orderBy(*order)
     local = split.withColumns(_frames(window, sums, lasts, "_own_"))
     joined = local.join(F.broadcast(carried), "_part", "left")
-    # One key per partition carries something in; null is a key like any other.
+    # One key per part carries something in; null is a key like any other.
     goes_on = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in keys])
     brought = {name: F.when(goes_on, F.col(f"_in_{name}")) for name in [*sums, *lasts]}
     own = {name: F.col(f"_own_{name}") for name in [*sums, *lasts]}
@@ -167,19 +69,47 @@ def split_scan(
     return joined.select(*kept, *[value.alias(name) for name, value in results.items()])
 
 
+def _frames(window: WindowSpec, sums: dict, lasts: dict, prefix: str) -> dict[str, Column]:
+    frames = {
+        prefix + name: F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0))
+        for name, value in sums.items()
+    }
+    for name, (value, back) in lasts.items():
+        frame = window.rowsBetween(Window.unboundedPreceding, -back)
+        frames[prefix + name] = F.last(value, ignorenulls=True).over(frame)
+    return frames
+
+
+def split_by_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Range partition by key and order, so that a hot key spans many parts.
+
+    The part's number is kept in ``_part``. Rows that agree in key and order are told
+    apart by their input partition, ``_copy``, so many copies of one row span several
+    parts too. Range bounds come from a sample that differs from run to run, so the rows
+    are written before the numbers are used twice; a lost executor then costs no second
+    sample. They are written in buckets by part: later steps by key and part need no
+    second shuffle.
+    """
+    spark = rows.sparkSession
+    marked = rows.withColumn("_copy", F.spark_partition_id())
+    placed = marked.repartitionByRange(*keys, *order, "_copy").withColumn("_part", F.spark_partition_id())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"ordered_{uuid.uuid4().hex}", new_path(spark, "ordered")
+    placed.write.bucketBy(parts, "_part").option("path", path).saveAsTable(name)
+    split = spark.table(name)
+    # The frame keeps its files and buckets; the name is not needed any more.
+    spark.sql(f"DROP TABLE {name}")
+    return split
+
+
 def last_before(
-    probes: DataFrame,
-    builds: DataFrame,
-    keys: list[str],
-    at: str,
-    tie: str,
-    name: str,
-    rows_per_task: int | None = None,
+    probes: DataFrame, builds: DataFrame, keys: list[str], at: str, tie: str, name: str
 ) -> DataFrame:
     """As-of match: each probe row gets the latest build row at or before its time.
 
     One ordered pass over both inputs instead of a range join, so no pair of rows is
-    ever formed. The build row arrives as struct ``name``, null where there is none.
+    ever formed. The build row arrives as struct ``name``, null where there is none. Rows
+    without a key or a time match nothing.
     """
     build_columns = [column for column in builds.columns if column not in keys]
     probe_columns = [column for column in probes.columns if column not in (*keys, at, tie)]
@@ -187,13 +117,12 @@ def last_before(
     left = probes.select(
         *keys, at, tie, F.lit(1).alias("_probe"), probe_struct.alias("_kept")
     )
-    # A build row without a key matches nothing.
-    right = builds.dropna(subset=keys).select(
+    right = builds.dropna(subset=[*keys, at]).select(
         *keys, at, tie, F.lit(0).alias("_probe"), F.struct(*build_columns).alias("_build")
     )
     both = left.unionByName(right, allowMissingColumns=True)
-    order = [at, "_probe", tie]
-    scanned = ordered_scan(both, keys, order, lasts={name: ("_build", 0)}, rows_per_task=rows_per_task)
+    scanned = ordered_scan(both, keys, [at, "_probe", tie], lasts={name: ("_build", 0)})
+    # Probes without a time sort before every build row of their key.
     matched = scanned.where(F.col("_probe") == 1)
     kept = [F.col("_kept")[column].alias(column) for column in probe_columns]
     return matched.select(*keys, at, tie, *kept, name)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeseed.operators.classes import ObjectClass, Property, limited, typed_objects, validate
-from lakeseed.operators.keyed import count_documents, key_ranges, keyed_table, lookup
+from lakeseed.operators.keyed import count_documents, key_range, key_ranges, keyed_table, lookup
 from lakeseed.operators.write import append_batch, last_wins
-from lakeseed.sources.documents import as_documents, collection_path, insert_documents, read_documents
+from lakeseed.sources.documents import collection_path, insert_documents, read_documents
 from lakeseed.sources.tables import read_table
 from lakeseed.workspace import new_path
 
@@ -20,18 +20,18 @@ def kv_lookup(spark: SparkSession, folder: str) -> DataFrame:
     )
     pairs = last_wins(events, ["key"], ["ts", "event_id"]).select("key", "event_type", "value")
     probes = read_table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
-    return lookup(probes, pairs, "key", ["o_orderkey"])
+    return lookup(probes, pairs, "key")
 
 
 def event_documents(spark: SparkSession, folder: str) -> DataFrame:
     events = read_table(spark, folder, "events")
     body = F.struct(F.col("event_type").alias("kind"), F.parse_json("props").alias("props"))
-    return as_documents(events, F.to_json(body))
+    return events.select(F.to_variant_object(body).alias("doc"))
 
 
 def turn_documents(spark: SparkSession, folder: str) -> DataFrame:
     turns = read_table(spark, folder, "conversations")
-    return as_documents(turns, F.to_json(F.struct(F.col("role").alias("kind"), "turn", "text")))
+    return turns.select(F.to_variant_object(F.struct(F.col("role").alias("kind"), "turn", "text")).alias("doc"))
 
 
 def document_append(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,8 +48,10 @@ def document_append(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_count(spark: SparkSession, folder: str) -> DataFrame:
-    documents = event_documents(spark, folder)
-    return count_documents(documents, "doc", {"kind": "purchase", "props.k": 69})
+    """Events are stored as documents and counted by two of their fields."""
+    path = collection_path(new_path(spark, "documents"), "events")
+    insert_documents(event_documents(spark, folder), path, "events")
+    return count_documents(read_documents(spark, path), "doc", {"kind": "purchase", ("props", "k"): 69})
 
 
 def keyed_range(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +64,7 @@ def keyed_range(spark: SparkSession, folder: str) -> DataFrame:
         F.min(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("low"),
         F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("high"),
     )
-    found = key_ranges(items.select("user_id", "ts", "event_id", "value"), ranges, "user_id", "ts", ["event_id"])
+    found = key_ranges(items.select("user_id", "ts", "event_id", "value"), ranges, "user_id", "ts")
     return found.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("items"),
         F.round(F.sum("value"), 2).alias("total"),
@@ -71,6 +73,16 @@ def keyed_range(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def keyed_point(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items stored by return flag and day: one flag in two months of days."""
+    lines = read_table(spark, folder, "lineitem")
+    path = new_path(spark, "items")
+    items = lines.withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    keyed_table(items.drop("l_shipdate"), "l_returnflag", "day").write.parquet(path)
+    found = key_range(spark.read.parquet(path), "l_returnflag", "R", "day", "1997-03-01", "1997-04-30")
+    return found.groupBy("day").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
 EVENT = ObjectClass("Event", properties=[Property("k", ["int"]), Property("note", ["text"])])
 
 
@@ -102,9 +114,9 @@ def object_insert(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     labels = read_table(spark, folder, "labels")
     path = new_path(spark, "classes")
-    properties = F.parse_json(F.to_json(F.struct("lang", "n_chars"))).alias("properties")
+    properties = F.to_variant_object(F.struct("lang", "n_chars")).alias("properties")
     with_vectors = documents.join(vectors, "doc_id", "left").select(F.col("doc_id").alias("id"), properties, "vector")
-    marks = F.parse_json(F.to_json(F.struct("quality", "toxic"))).alias("properties")
+    marks = F.to_variant_object(F.struct("quality", "toxic")).alias("properties")
     append_batch(typed_objects(with_vectors, ObjectClass("Document")), path, "documents")
     append_batch(typed_objects(labels.select(F.col("doc_id").alias("id"), marks), ObjectClass("Label")), path, "labels")
     return spark.read.parquet(path).select(
@@ -124,7 +136,7 @@ def bytes_lookup(spark: SparkSession, folder: str) -> DataFrame:
     probes = read_table(spark, folder, "documents").select(
         "doc_id", F.concat(F.lit("page:"), "doc_id").alias("key")
     )
-    found = lookup(probes, stored, "key", ["doc_id"])
+    found = lookup(probes, stored, "key")
     return found.select("doc_id", "key", F.octet_length("value").alias("bytes"), F.md5("value").alias("md5"))
 
 
@@ -138,6 +150,7 @@ QUERIES = {
     "document_append": document_append,
     "document_count": document_count,
     "keyed_range": keyed_range,
+    "keyed_point": keyed_point,
     "object_validate": object_validate,
     "default_limit": default_limit,
     "object_insert": object_insert,
@@ -163,6 +176,9 @@ WITH ranges AS (SELECT user_id, min(ts) FILTER (event_type = 'signup') AS low,
 SELECT e.user_id::VARCHAR AS user_id, count(*) AS items, round(sum(value), 2) AS total,
        min(ts) AS first_ts, max(ts) AS last_ts
 FROM events e JOIN ranges r ON r.user_id = e.user_id AND ts BETWEEN low AND high GROUP BY 1""",
+    "keyed_point": """
+SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS lines, round(sum(l_extendedprice), 2) AS price
+FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate >= '1997-03-01' AND l_shipdate < '1997-05-01' GROUP BY 1""",
     "object_validate": """
 SELECT 'Event' AS class,
        CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'valid'

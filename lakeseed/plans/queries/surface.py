@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseed.operators.skew import last_before, ordered_scan, salted_join
+from lakeseed.operators.skew import last_before, ordered_scan
 from lakeseed.plans.catalog import query
 from lakeseed.sources.tables import TABLES, read_table, table_path
 
@@ -27,13 +27,9 @@ JOIN nation ON n_nationkey = c_nationkey
 JOIN region ON r_regionkey = n_regionkey
 GROUP BY r_name, n_name""",
     "p_semi_anti": """
-SELECT 'with' AS kind, c_mktsegment, count(*) AS customers
-FROM customer LEFT SEMI JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000) big
-  ON o_custkey = c_custkey GROUP BY c_mktsegment
-UNION ALL
-SELECT 'without' AS kind, c_mktsegment, count(*) AS customers
-FROM customer LEFT ANTI JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000) big
-  ON o_custkey = c_custkey GROUP BY c_mktsegment""",
+SELECT CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) THEN 'with' ELSE 'without' END AS kind,
+       c_mktsegment, count(*) AS customers
+FROM customer GROUP BY 1, c_mktsegment""",
     "p_group_agg": """
 SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity,
        round(sum(l_extendedprice), 2) AS price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
@@ -51,11 +47,11 @@ SELECT o_custkey, o_orderkey, o_totalprice, place FROM (
          CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place
   FROM orders) ranked WHERE place <= 3""",
     "p_setops": """
-SELECT 'both' AS kind, doc_id FROM (SELECT DISTINCT doc_id FROM documents INTERSECT SELECT DISTINCT doc_id FROM labels) a
-UNION ALL
-SELECT 'unlabelled' AS kind, doc_id FROM (SELECT DISTINCT doc_id FROM documents EXCEPT SELECT DISTINCT doc_id FROM labels) b
-UNION ALL
-SELECT 'any' AS kind, doc_id FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels) c""",
+SELECT CASE WHEN documents = 0 THEN 'labelled' WHEN labels = 0 THEN 'unlabelled' ELSE 'both' END AS kind, doc_id
+FROM (SELECT doc_id, sum(document) AS documents, sum(label) AS labels
+      FROM (SELECT doc_id, 1 AS document, 0 AS label FROM documents
+            UNION ALL SELECT doc_id, 0 AS document, 1 AS label FROM labels) tagged
+      GROUP BY doc_id) told""",
     "p_date_bucket": """
 SELECT date_trunc('day', ts) AS day, event_type, count(*) AS events, round(avg(value), 6) AS mean
 FROM events GROUP BY date_trunc('day', ts), event_type""",
@@ -90,9 +86,7 @@ def p_correlated(spark: SparkSession, folder: str) -> DataFrame:
         "l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"
     )
     averages = lines.groupBy("l_partkey").agg(F.avg("l_quantity").alias("mean"))
-    spread = ["l_orderkey", "l_linenumber", "l_extendedprice"]
-    joined = salted_join(lines, averages, ["l_partkey"], "inner", spread)
-    large = joined.where(F.col("l_quantity") > 1.5 * F.col("mean"))
+    large = lines.join(averages, "l_partkey").where(F.col("l_quantity") > 1.5 * F.col("mean"))
     return large.groupBy("l_partkey").agg(
         F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("price")
     )
@@ -137,7 +131,20 @@ QUERIES = {name: _forwarded(sql) for name, sql in FORWARDED.items()} | {
 
 CHECKS = {
     **FORWARDED,
-    "p_semi_anti": FORWARDED["p_semi_anti"].replace("LEFT SEMI", "SEMI").replace("LEFT ANTI", "ANTI"),
+    "p_semi_anti": """
+SELECT 'with' AS kind, c_mktsegment, count(*) AS customers
+FROM customer SEMI JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000) big
+  ON o_custkey = c_custkey GROUP BY c_mktsegment
+UNION ALL
+SELECT 'without' AS kind, c_mktsegment, count(*) AS customers
+FROM customer ANTI JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000) big
+  ON o_custkey = c_custkey GROUP BY c_mktsegment""",
+    "p_setops": """
+SELECT 'both' AS kind, doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
+UNION ALL
+SELECT 'unlabelled' AS kind, doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL
+SELECT 'labelled' AS kind, doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)""",
     "p_join_multiway": FORWARDED["p_join_multiway"].replace("sum(orders)", "sum(orders)::BIGINT"),
     "p_date_bucket": FORWARDED["p_date_bucket"].replace("SELECT date_trunc('day', ts)", "SELECT date_trunc('day', ts)::TIMESTAMP"),
     "p_correlated": """

@@ -1,6 +1,6 @@
 """Every registered query again on tables of many files, in another row order.
 
-Joins may not broadcast by size, hot keys start at 40 rows, Arrow batches are small.
+Joins may not broadcast by size, and Arrow batches are small.
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
-from lakeseed.operators import skew
+from lakeseed.plans.queries import all_checks, all_queries
 from lakeseed.sources.tables import TABLES, read_table, table_path
 from lakeseed.workspace import new_path
 from tests.compare import compare
@@ -44,17 +43,14 @@ def connection(folder):
 @pytest.fixture(scope="module", autouse=True)
 def hard_settings(spark):
     kept = {key: spark.conf.get(key) for key in SETTINGS}
-    rows_per_task = skew.ROWS_PER_TASK
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    skew.ROWS_PER_TASK = 40
     yield
-    skew.ROWS_PER_TASK = rows_per_task
     for key, value in kept.items():
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_matches_check(spark, folder, connection, name):
-    frame = contract.queries()[name](spark, folder)
-    assert compare(frame, connection, contract.oracle_sql()[name]) == []
+    frame = all_queries()[name](spark, folder)
+    assert compare(frame, connection, all_checks()[name]) == []

@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakeseed.operators.skew import hot_keys, last_before, ordered_scan, salted_join, split_by_order, split_scan
+from lakeseed.operators.keyed import lookup
+from lakeseed.operators.skew import last_before, ordered_scan, split_by_order
 
 
 @pytest.fixture(scope="module")
@@ -30,50 +31,50 @@ def many_partitions(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_hot_keys_get_salts_by_their_rows(facts):
-    hot = {row["key"]: row["_salts"] for row in hot_keys(facts, ["key"], 100).collect()}
-    assert hot[7] >= 19
-    assert None in hot or len(hot) == 1
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_a_plain_join(spark, facts, how):
-    lookup = spark.createDataFrame([(k, f"v{k}") for k in range(0, 400)] + [(None, "null")], "key long, v string")
-    salted = salted_join(facts, lookup, ["key"], how, ["id"], rows_per_task=50)
-    plain = facts.join(lookup, ["key"], how)
-    assert sorted(map(tuple, salted.select(plain.columns).collect()), key=str) == sorted(
-        map(tuple, plain.collect()), key=str
-    )
-
-
-def test_salted_join_spreads_the_hot_key(spark, facts, many_partitions):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_adaptive_execution_spreads_a_hot_key(spark):
+    """Plain joins are left to adaptive execution, which splits the hot key where nothing is broadcast."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    kept = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
-        lookup = spark.createDataFrame([(k, f"v{k}") for k in range(500)], "key long, v string")
-        joined = salted_join(facts, lookup, ["key"], "inner", ["id"], rows_per_task=50)
-        sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        probes = spark.range(0, 90_000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("x")
+        )
+        pairs = spark.range(500).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
+        joined = lookup(probes, pairs, "key").groupBy(F.spark_partition_id().alias("p"))
+        sizes = joined.agg(F.count(F.lit(1)).alias("count"), F.max("x")).collect()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert max(row["count"] for row in sizes) < 6000 / 6
+        for key, value in kept.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert sum(row["count"] for row in sizes) == 90_000
+    assert max(row["count"] for row in sizes) < 15_000
 
 
 def test_exact_copies_are_spread(spark, many_partitions):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        copies = spark.range(0, 6000, 1, 12).select(F.lit(7).alias("key"), F.lit(1).alias("id"), F.lit(2.0).alias("x"))
-        lookup = spark.createDataFrame([(7, "v")], "key int, v string")
-        joined = salted_join(copies, lookup, ["key"], "inner", ["id"], rows_per_task=100)
-        sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert sum(row["count"] for row in sizes) == 6000
-    assert max(row["count"] for row in sizes) <= 2500
+    copies = spark.range(0, 6000, 1, 12).select(F.lit(7).alias("key"), F.lit(1).alias("id"), F.lit(2.0).alias("x"))
     split = split_by_order(copies, ["key"], ["id"])
     assert split.select("_part").distinct().count() >= 6
-    total = split_scan(split, ["key"], ["id"], {"total": "x"}, {})
+    total = ordered_scan(copies, ["key"], ["id"], {"total": "x"}, {})
     assert sorted(row["total"] for row in total.collect()) == [2.0 * n for n in range(1, 6001)]
 
 
+def test_parts_are_shuffled_once(spark, facts):
+    """The written buckets serve the windows; only summaries are shuffled after that."""
+    scanned = ordered_scan(facts, ["key"], ["at", "id"], sums={"total": "x"})
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window [sum(x"):]
+    assert "Exchange" not in window[: window.index("FileScan")]
+
+
 def brute(rows):
     order = sorted(rows, key=lambda r: (r["key"] is not None, r["key"] or 0, r["at"], r["id"]))
     total, back, last_key, out = 0.0, None, object(), {}
@@ -93,24 +94,21 @@ def test_ordered_scan_across_partitions(facts, many_partitions):
     assert max(sizes.values()) < 1000
     assert split.where("key = 7").select("_part").distinct().count() > 3
     wanted = ({"total": "x"}, {"back": ("here", 1)})
-    whole = ordered_scan(facts.withColumn("here", F.struct("x")), ["key"], ["at", "id"], *wanted)
-    for scanned in (split_scan(split, ["key"], ["at", "id"], *wanted), whole):
-        got = {row["id"]: (row["total"], row["back"] and row["back"]["x"]) for row in scanned.collect()}
-        assert got == brute(facts.collect())
+    scanned = ordered_scan(facts.withColumn("here", F.struct("x")), ["key"], ["at", "id"], *wanted)
+    got = {row["id"]: (row["total"], row["back"] and row["back"]["x"]) for row in scanned.collect()}
+    assert got == brute(facts.collect())
 
 
 def test_running_sum_of_nulls_is_null(spark):
     rows = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, 2.0)], "key int, at int, x double")
-    for rows_per_task in (1, 1000):
-        scanned = ordered_scan(rows, ["key"], ["at"], sums={"total": "x"}, rows_per_task=rows_per_task)
-        assert [row["total"] for row in scanned.orderBy("at").collect()] == [None, None, 2.0]
+    scanned = ordered_scan(rows, ["key"], ["at"], sums={"total": "x"})
+    assert [row["total"] for row in scanned.orderBy("at").collect()] == [None, None, 2.0]
 
 
-@pytest.mark.parametrize("rows_per_task", [50, 10**6])
-def test_last_before_equals_brute_force(facts, many_partitions, rows_per_task):
+def test_last_before_equals_brute_force(facts, many_partitions):
     builds = facts.where("id % 2 = 0").select("key", "at", "id", "x")
     probes = facts.where("id % 2 = 1").select("key", "at", "id", F.col("x").alias("y"))
-    got = {row["id"]: row["hit"] and row["hit"]["id"] for row in last_before(probes, builds, ["key"], "at", "id", "hit", rows_per_task).collect()}
+    got = {row["id"]: row["hit"] and row["hit"]["id"] for row in last_before(probes, builds, ["key"], "at", "id", "hit").collect()}
     by_key = {}
     for row in builds.collect():
         by_key.setdefault(row["key"], []).append((row["at"], row["id"]))
@@ -119,3 +117,11 @@ def test_last_before_equals_brute_force(facts, many_partitions, rows_per_task):
         earlier = [] if row["key"] is None else [b for b in by_key.get(row["key"], []) if b[0] <= row["at"]]
         want[row["id"]] = max(earlier)[1] if earlier else None
     assert got == want
+
+
+def test_rows_without_a_time_match_nothing(spark):
+    schema = "key int, at int, id int"
+    builds = spark.createDataFrame([(1, None, 9), (2, 5, 8)], schema)
+    probes = spark.createDataFrame([(1, 3, 1), (1, None, 2), (2, None, 3), (2, 6, 4)], schema)
+    found = last_before(probes, builds, ["key"], "at", "id", "hit").collect()
+    assert {row["id"]: row["hit"] and row["hit"]["id"] for row in found} == {1: None, 2: None, 3: None, 4: 8}
