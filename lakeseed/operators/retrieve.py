@@ -5,46 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseed.operators.skew import salted_join
 from lakeseed.operators.vectors import Collection, nearest
 from lakeseed.workspace import stored
 
-# Hits (some 40 bytes each) that may be broadcast to cut the large side of a join.
-BROADCAST_HITS = 500_000
-
-
-def attach(hits: DataFrame, rows: DataFrame, key: str, small: bool) -> DataFrame:
-    """Left-join ``rows``, which hold each key once, to the hits by ``id``.
-
-    Few hits are broadcast to cut the large side to the keys that were hit, so the
-    large side is not shuffled; the planner joins what is left by its size. Many hits
-    are joined by key, with often hit keys salted.
-    """
-    by_id = rows.withColumnRenamed(key, "id")
-    if not small:
-        return salted_join(hits, by_id, ["id"], "left", ["query_id", "rank"])
-    found = by_id.join(F.broadcast(hits.select("id").distinct()), "id")
-    return hits.join(found, "id", "left")
-
 
 def retrieve(
     points: DataFrame,
     queries: DataFrame,
     documents: DataFrame,
     labels: DataFrame,
+    objects: DataFrame,
     collection: Collection,
     k: int,
-    broadcast_hits: int = BROADCAST_HITS,
 ) -> DataFrame:
-    """Nearest documents of each query with their fields, label and object key.
+    """Nearest documents of each query with their fields, label and stored object.
 
-    The hits, ``k`` per query, are ranked and stored before anything is joined, so
-    their number is known when the join is planned. Points without a document are
-    left out.
+    ``documents`` are keyed by ``doc_id`` and name their object by ``bucket`` and ``key``;
+    ``objects`` is a manifest. A document whose object is not stored has null object
+    fields, and points without a document are left out. The hits, ``k`` per query, are
+    written before anything is joined, so the planner knows their size and reads the
+    large sides past them without a shuffle while they are few.
     """
-    hits = stored(nearest(points, queries, collection, k), "hits")
-    small = hits.limit(broadcast_hits + 1).count() <= broadcast_hits
-    with_documents = attach(hits, documents.withColumn("_found", F.lit(True)), "doc_id", small)
-    with_labels = attach(with_documents.where("_found").drop("_found"), labels, "doc_id", small)
-    object_key = F.concat("lang", F.lit("/"), F.col("id").cast("string"), F.lit(".txt"))
-    return with_labels.withColumn("object_key", object_key).withColumnRenamed("id", "doc_id")
+    hits = stored(nearest(points, queries, collection, k), "hits").withColumnRenamed("id", "doc_id")
+    found = hits.join(documents, "doc_id").join(labels, "doc_id", "left")
+    manifest = objects.select(
+        F.col("bucket").alias("object_bucket"),
+        F.col("key").alias("object_key"),
+        F.col("length").alias("object_length"),
+        "content_type",
+    )
+    same = (F.col("bucket") == F.col("object_bucket")) & (F.col("key") == F.col("object_key"))
+    return found.join(manifest, same, "left").drop("bucket", "key")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from lakeseed.workspace import new_path, stored
-
 # Metric names; a blank metric means cosine.
 METRICS = {"": "cosine", "cosine": "cosine", "dot": "dot", "euclidean": "euclidean"}
 
-# Query vectors that one pass may hold: the size limit of what is sent to every task.
+# Queries that a task holds at a time: the size limit of a block that is sent to every task.
 QUERY_BYTES = 32 * 1024 * 1024
+# Groups of tasks whose results are ranked first, so that no query's rows of all tasks meet at once.
+RANK_GROUPS = 64
 # Score cells that one task computes at a time (rows of a batch times queries).
 SCORE_CELLS = 2_000_000
 # Pairs that one task scores exactly at a time.
@@ -66,36 +67,58 @@ def plain_id(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.col(column).cast("bigint" if whole else "string"))
 
 
+def _scale(vectors: np.ndarray) -> np.ndarray:
+    """For each vector the power of two at or below its largest entry, a very small one for zero."""
+    largest = np.abs(vectors).max(axis=1, initial=0.0)
+    return np.ldexp(1.0, np.frexp(np.maximum(largest, 2.0**-1000))[1] - 1)
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    """Vectors scaled to length one; zero vectors stay zero."""
+    """Vectors scaled to length one; zero vectors stay zero. Scaled first, so squares stay in range."""
+    vectors = vectors / _scale(vectors)[:, None]
     lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths != 0)
 
 
 def _pair_scores(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
-    """Score of each pair of rows; larger is nearer, less the squared distance if euclidean.
+    """Score of each pair of rows; larger is nearer, less the distance if euclidean.
 
     Summed row by row, so copies of a vector score the same wherever they are stored.
     """
-    return -((left - right) ** 2).sum(axis=1) if metric == "euclidean" else (left * right).sum(axis=1)
-
-
-def _rough_scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
-    """The same for every query and row by one matrix product, with a bound of its error."""
-    scores = queries @ rows.T
-    query_squares, row_squares = (queries**2).sum(axis=1), (rows**2).sum(axis=1)
     if metric == "euclidean":
-        scores = 2 * scores - query_squares[:, None] - row_squares[None, :]
-    return scores, 1e-12 * (query_squares.max() + row_squares.max())
+        scale = np.maximum(_scale(left), _scale(right))
+        apart = left / scale[:, None] - right / scale[:, None]
+        return -scale * np.sqrt((apart**2).sum(axis=1))
+    return (left * right).sum(axis=1)
 
 
-def _near_pairs(rough: np.ndarray, error: float, floor: np.ndarray, k: int):
+def _rough_scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same for every query and row by one matrix product, with a bound of the error of each.
+
+    All vectors are brought to one scale first; what a query's distances lose by that is
+    less than the bound.
+    """
+    if metric != "euclidean":
+        size = np.abs(queries).max(axis=1, initial=0.0)[:, None] * np.abs(rows).max(axis=1, initial=0.0)[None, :]
+        with np.errstate(over="ignore", invalid="ignore"):
+            return queries @ rows.T, 1e-12 * queries.shape[1] * size
+    scale = max(_scale(queries).max(initial=1e-300), _scale(rows).max(initial=1e-300))
+    queries, rows = queries / scale, rows / scale
+    sums = (queries**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1)[None, :]
+    squares = np.maximum(sums - 2 * (queries @ rows.T), 0.0)
+    distances = np.sqrt(squares)
+    lost = 1e-12 * sums
+    return -scale * distances, scale * (np.sqrt(squares + lost) - np.sqrt(np.maximum(squares - lost, 0.0)) + 1e-300)
+
+
+def _near_pairs(rough: np.ndarray, error: np.ndarray, floor: np.ndarray, k: int):
     """Query and row of each pair that may be among the best k of its query."""
     needed = floor.copy()
     open_queries = np.isneginf(floor)
     if open_queries.any() and rough.shape[1] > k:
-        needed[open_queries] = np.partition(rough[open_queries], -k, axis=1)[:, -k]
-    return np.nonzero(rough >= needed[:, None] - error)
+        sure = rough[open_queries] - error[open_queries]
+        needed[open_queries] = np.partition(sure, -k, axis=1)[:, -k]
+    return np.nonzero(~(rough + error < needed[:, None]))
 
 
 def _merge(best: tuple, found: tuple, k: int) -> tuple:
@@ -147,22 +170,24 @@ def _scan(query_ids: list, matrix: np.ndarray, metric: str, k: int, whole_ids: b
     return run
 
 
-def _one_pass(points: DataFrame, queries: list, collection: Collection, k: int, schema: T.StructType) -> DataFrame:
-    """Top k of queries that fit in every task."""
-    matrix = np.array([row["vector"] for row in queries], dtype=np.float64)
-    if matrix.shape[1:] != (collection.size,) or not np.isfinite(matrix).all():
-        raise ValueError(f"query vectors must hold {collection.size} finite numbers")
-    query_ids = [row["query_id"] for row in queries]
-    if len(set(query_ids)) < len(query_ids):
-        raise ValueError("query ids must differ")
-
-    whole_ids = schema["id"].dataType == T.LongType()
-    scan = _scan(query_ids, matrix, collection.metric, k, whole_ids, to_arrow_schema(schema))
-    candidates = points.select("id", "vector").mapInArrow(scan, schema)
-    nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = candidates.withColumn("rank", F.row_number().over(nearest_first))
-    score = F.sqrt(-F.col("score")) if collection.metric == "euclidean" else F.col("score")
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", score.alias("score"))
+def _query_blocks(queries: DataFrame, size: int, limit: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and vectors of all queries, in blocks of at most ``limit`` bytes, one query at least."""
+    ids, vectors, held, seen = [], [], 0, set()
+    for row in queries.toLocalIterator():
+        vector = np.array(row["vector"], dtype=np.float64)
+        if vector.shape != (size,) or not np.isfinite(vector).all():
+            raise ValueError(f"query vectors must hold {size} finite numbers")
+        if row["query_id"] in seen:
+            raise ValueError("query ids must differ")
+        seen.add(row["query_id"])
+        if held and held + vector.nbytes + len(str(row["query_id"])) > limit:
+            yield ids, np.array(vectors)
+            ids, vectors, held = [], [], 0
+        ids.append(row["query_id"])
+        vectors.append(vector)
+        held += vector.nbytes + len(str(row["query_id"]))
+    if ids:
+        yield ids, np.array(vectors)
 
 
 def nearest(
@@ -176,9 +201,9 @@ def nearest(
 
     ``points`` has ``id`` and ``vector``, ``queries`` has ``query_id`` and ``vector``.
     Each task keeps its best k per query while it reads, so only k rows per query and
-    partition are shuffled. Query vectors go to every task only up to ``query_bytes``;
-    a larger set is cut into blocks by hash, with one pass over the points per block.
-    Ties go to the smaller id.
+    partition are shuffled, and these are ranked in two steps. The queries are a stated
+    set that is held in blocks of at most ``query_bytes``; one job scans the points for
+    all blocks. Ties go to the smaller id.
     """
     points = plain_id(points, "id")
     queries = plain_id(queries, "query_id").select("query_id", "vector")
@@ -189,26 +214,21 @@ def nearest(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    fit = max(1, query_bytes // (8 * collection.size))
-    held = queries.limit(fit + 1).collect()
-    if not held:
+    whole_ids = schema["id"].dataType == T.LongType()
+    arrow = to_arrow_schema(schema)
+    scans = [
+        _scan(ids, matrix, collection.metric, k, whole_ids, arrow)
+        for ids, matrix in _query_blocks(queries, collection.size, query_bytes)
+    ]
+    if not scans:
         empty = points.sparkSession.createDataFrame([], schema)
         return empty.select("query_id", F.lit(0).alias("rank"), "id", "score")
-    if len(held) <= fit:
-        return _one_pass(points, held, collection, k, schema)
-
-    queries = stored(queries, "queries")
-    if not queries.groupBy("query_id").count().where("count > 1").isEmpty():
-        raise ValueError("query ids must differ")
-    out = new_path(points.sparkSession, f"nearest-{collection.name}")
-    blocks = [(1, 0)]
-    while blocks:
-        of, number = blocks.pop()
-        chosen = F.pmod(F.xxhash64("query_id"), F.lit(of)) == number
-        held = queries.where(chosen).limit(fit + 1).collect()
-        if len(held) > fit:
-            blocks += [(2 * of, number), (2 * of, number + of)]
-        elif held:
-            result = _one_pass(points, held, collection, k, schema)
-            result.write.parquet(f"{out}/block={of}-{number}")
-    return points.sparkSession.read.parquet(out).drop("block")
+    rows = points.select("id", "vector")
+    candidates = reduce(DataFrame.union, [rows.mapInArrow(scan, schema) for scan in scans])
+    candidates = candidates.withColumn("_group", F.spark_partition_id() % RANK_GROUPS)
+    order = [F.desc("score"), F.col("id")]
+    for keys in (["query_id", "_group"], ["query_id"]):
+        ranked = candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        candidates = ranked.where(F.col("rank") <= k)
+    score = -F.col("score") if collection.metric == "euclidean" else F.col("score")
+    return candidates.select("query_id", "rank", "id", score.alias("score"))

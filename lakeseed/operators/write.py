@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeseed.workspace import stored
+
 
 def append(base: DataFrame, incoming: DataFrame) -> DataFrame:
     return base.unionByName(incoming, allowMissingColumns=True)
@@ -36,21 +38,39 @@ def first_wins(rows: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
     return _picked(rows, keys, seq, F.min_by)
 
 
+def only_row(rows: DataFrame, keys: list[str], message: str) -> DataFrame:
+    """The rows, failing the job on a key that occurs more than once."""
+    rest = [column for column in rows.columns if column not in keys]
+    counted = rows.groupBy(*keys).agg(F.first(F.struct(*rest)).alias("_row"), F.count(F.lit(1)).alias("_n"))
+    single = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(message))
+    return counted.withColumn("_row", single).select(*keys, "_row.*").select(*rows.columns)
+
+
+def with_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows, failing the job on a null key: no stored row could ever be replaced by it."""
+    filled = {
+        key: F.when(F.col(key).isNotNull(), F.col(key)).otherwise(F.raise_error(f"{key} must not be null"))
+        for key in keys
+    }
+    return rows.withColumns(filled)
+
+
 def insert_if_absent(
     base: DataFrame, incoming: DataFrame, keys: list[str], seq: list[str]
 ) -> DataFrame:
     """Add incoming keys that are not present; present rows stay as they are."""
-    fresh = first_wins(incoming, keys, seq).join(base.select(*keys), keys, "left_anti")
+    fresh = first_wins(with_keys(incoming, keys), keys, seq).join(base.select(*keys), keys, "left_anti")
     return base.unionByName(fresh.select(*base.columns))
 
 
 def upsert(base: DataFrame, batch: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
     """Insert or replace by key; within the batch the latest row wins.
 
-    ``base`` holds each key once already. It is only filtered by the batch keys, not
-    grouped again, so a small batch leaves the large side without a shuffle.
+    ``base`` holds each key once already. The batch is aggregated once and written, so
+    its size is known and it is not computed again; ``base`` is only filtered by the
+    batch keys, so a small batch leaves the large side without a shuffle.
     """
-    winners = last_wins(batch, keys, seq)
+    winners = stored(last_wins(with_keys(batch, keys), keys, seq), "winners")
     kept = base.join(winners.select(*keys), keys, "left_anti")
     return kept.unionByName(winners.select(*base.columns))
 

@@ -10,7 +10,9 @@ from lakeseed.operators.vectors import Collection, nearest
 from lakeseed.operators.write import last_wins, upsert
 from lakeseed.plans.catalog import Catalogs
 from lakeseed.sources.collections import create_collection, read_collection, upsert_points
-from lakeseed.sources.points import file_count, point_json, read_points, write_points
+from lakeseed.plans.queries.inputs import document_objects
+from lakeseed.sources.objects import put_objects
+from lakeseed.sources.points import point_json, read_points, write_points
 from lakeseed.sources.tables import read_table
 from lakeseed.workspace import new_path
 
@@ -35,12 +37,16 @@ def label_means(embeddings: DataFrame) -> DataFrame:
 
 def retrieve_documents(spark: SparkSession, folder: str) -> DataFrame:
     embeddings = read_table(spark, folder, "embeddings")
-    documents = read_table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
+    documents = read_table(spark, folder, "documents").select(
+        "doc_id", "lang", "source", "n_chars",
+        F.col("lang").alias("bucket"), F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("key"),
+    )
     labels = read_table(spark, folder, "labels").select("doc_id", "quality")
-    found = retrieve(points(embeddings), label_means(embeddings), documents, labels, DOCS, NEIGHBOURS)
+    objects = put_objects(document_objects(spark, folder), new_path(spark, "objects"))
+    found = retrieve(points(embeddings), label_means(embeddings), documents, labels, objects, DOCS, NEIGHBOURS)
     return found.select(
         "query_id", "rank", "doc_id", F.round("score", 6).alias("score"),
-        "lang", "source", "n_chars", "quality", "object_key",
+        "lang", "source", "n_chars", "quality", "object_bucket", "object_key", "object_length", "content_type",
     )
 
 
@@ -60,9 +66,11 @@ def vector_topk_euclidean(spark: SparkSession, folder: str) -> DataFrame:
 def vector_topk_filtered(spark: SparkSession, folder: str) -> DataFrame:
     embeddings = read_table(spark, folder, "embeddings")
     documents = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
-    payload = F.parse_json(F.to_json(F.struct("lang", "source")))
-    stored = points(embeddings).join(documents, "id").select("id", "vector", payload.alias("payload"))
-    english = stored.where(F.variant_get("payload", "$.lang", "string") == "en")
+    """Vectors are stored with a payload, and one language of them is searched."""
+    payload = F.to_variant_object(F.struct("lang", "source"))
+    path = new_path(spark, "points")
+    points(embeddings).join(documents, "id").select("id", "vector", payload.alias("payload")).write.parquet(path)
+    english = spark.read.parquet(path).where(F.variant_get("payload", "$.lang", "string") == "en")
     found = nearest(english, label_means(embeddings), DOCS, NEIGHBOURS)
     return found.withColumn("score", F.round("score", 6))
 
@@ -96,12 +104,11 @@ def vector_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 def points_from_json(spark: SparkSession, folder: str) -> DataFrame:
     embeddings = read_table(spark, folder, "embeddings")
-    files = file_count(embeddings.count(), DOCS.size)
     path = new_path(spark, "points")
     payload = F.create_map(F.lit("label"), F.col("label").cast("string"))
     point = point_json(F.col("vec_id"), F.col("embedding").cast("array<double>"), payload)
-    write_points(embeddings, path, point, files)
-    loaded = DOCS.checked(read_points(spark, path)).withColumn("seq", F.lit(0))
+    write_points(embeddings, path, point)
+    loaded = DOCS.checked(read_points(spark, path, lines=True)).withColumn("seq", F.lit(0))
     return last_wins(loaded, ["id"], ["seq"]).select(
         "id",
         F.variant_get("payload", "$.label", "string").alias("label"),
@@ -119,12 +126,12 @@ def vector_collection(spark: SparkSession, folder: str) -> DataFrame:
     embeddings = read_table(spark, folder, "embeddings")
     labelled = embeddings.select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vector"),
-        F.parse_json(F.to_json(F.struct("label"))).alias("payload"),
+        F.to_variant_object(F.struct("label")).alias("payload"),
     )
     upsert_points(labelled, "memory", name)
     documents = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang")
     told = points(embeddings).join(documents, "id").select(
-        "id", "vector", F.parse_json(F.to_json(F.struct("lang"))).alias("payload")
+        "id", "vector", F.to_variant_object(F.struct("lang")).alias("payload")
     )
     for _ in range(2):
         upsert_points(told, "memory", name)
@@ -166,7 +173,8 @@ FROM embeddings LEFT JOIN documents ON doc_id = vec_id""",
     "retrieve_documents": f"""
 WITH {MEANS}, {COSINE}
 SELECT query_id, rank, d.doc_id, round(score, 6) AS score, d.lang, d.source, d.n_chars, l.quality,
-       d.lang || '/' || d.doc_id || '.txt' AS object_key
+       d.lang AS object_bucket, d.source || '/' || d.doc_id || '.txt' AS object_key,
+       strlen(d.text) AS object_length, 'text/plain' AS content_type
 FROM ranked JOIN documents d ON d.doc_id = ranked.vec_id LEFT JOIN labels l ON l.doc_id = d.doc_id
 WHERE rank <= 5""",
     "vector_topk": f"""

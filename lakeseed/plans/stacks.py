@@ -17,7 +17,7 @@ from lakeseed.sources.collections import (
     upsert_points,
 )
 from lakeseed.sources.lake import LakeEnvironment
-from lakeseed.sources.objects import put_objects
+from lakeseed.sources.objects import put_objects, stat_objects
 from lakeseed.workspace import new_path
 
 
@@ -82,8 +82,13 @@ class RetrievalStack:
         return put_objects(objects, self.objects, seq)
 
     def search(self, queries: DataFrame, documents: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-        """Nearest documents of each query; ``documents`` and ``labels`` are keyed by ``doc_id``."""
+        """Nearest documents of each query with their labels and stored objects.
+
+        ``documents`` and ``labels`` are keyed by ``doc_id``; documents name their object by
+        ``bucket`` and ``key``.
+        """
         spark = queries.sparkSession
         stored = open_collection(spark, self.name, self.collection.name)
         points = read_collection(spark, self.name, self.collection.name)
-        return retrieve(points, queries, documents, labels, stored, k)
+        objects = stat_objects(spark, self.objects)
+        return retrieve(points, queries, documents, labels, objects, stored, k)

@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeseed.functions.scalars import json_without_blanks
 
 POINT = "id string, vector array<double>, payload variant"
-# About the size of a written file; a multi-line array is read by one task.
-FILE_BYTES = 64 * 1024 * 1024
-# About the text of one number of a vector.
-NUMBER_BYTES = 20
-
-
-def file_count(points: int, size: int) -> int:
-    """Files that keep each array of so many points of a vector size to ``FILE_BYTES``."""
-    per_file = max(1, FILE_BYTES // (NUMBER_BYTES * size))
-    return max(1, -(-points // per_file))
-
 
 def read_points(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Points ``id, vector, payload``; malformed JSON fails the whole load.
@@ -38,22 +25,6 @@ def point_json(id_column: Column, vector: Column, payload: Column) -> Column:
     return json_without_blanks({"id": id_column, "vector": vector}, nested={"payload": payload})
 
 
-def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task function: the rows of one partition as the lines of one JSON array."""
-    opening = "["
-    for batch in batches:
-        lines = []
-        for point in batch.column(0).to_pylist():
-            lines.append(opening + point)
-            opening = ","
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
-    yield pa.RecordBatch.from_arrays([pa.array(["[]" if opening == "[" else "]"])], names=["value"])
-
-
-def write_points(points: DataFrame, path: str, point: Column, files: int) -> None:
-    """Write points as ``files`` JSON arrays of equal length, one per file.
-
-    Rows are dealt out in turn, not by a key, and each task streams its lines.
-    """
-    texts = points.select(point.alias("point")).repartition(files)
-    texts.mapInArrow(_array_lines, "value string").write.mode("overwrite").text(path)
+def write_points(points: DataFrame, path: str, point: Column) -> None:
+    """Write points as JSON arrays, one of one point to a line, so that files of any size are split to be read."""
+    points.select(F.concat(F.lit("["), point, F.lit("]"))).write.mode("overwrite").text(path)

@@ -10,7 +10,7 @@ from lakeseed.sources.documents import as_documents, collection_path, insert_doc
 from lakeseed.sources.files import read_logs, read_manifests
 from lakeseed.sources.jdbc import RowStore, Split, read_store, write_store
 from lakeseed.sources.lake import LakeEnvironment, create_lake_table, insert_lake_rows
-from lakeseed.sources.objects import put_objects, read_objects, stat_objects
+from lakeseed.sources.objects import file_objects, put_objects, read_objects, stat_objects
 from lakeseed.workspace import new_path, shared_root
 
 OBJECT = "bucket string, key string, content string, content_type string, seq int"
@@ -22,8 +22,39 @@ def test_object_of_five_bytes(spark):
     for _ in range(2):
         manifest = put_objects(rows, root)
     assert [tuple(row) for row in manifest.collect()] == [("uploads", "hello.txt", "text/plain", 5)]
-    assert [tuple(row) for row in stat_objects(spark, root).collect()] == [("uploads", "hello.txt", 5)]
-    assert bytes(read_objects(spark, root).head()["content"]) == b"hello"
+    assert [tuple(row) for row in stat_objects(spark, root).collect()] == [("uploads", "hello.txt", "text/plain", 5)]
+    read = read_objects(spark, root).head()
+    assert (bytes(read["content"]), read["content_type"]) == (b"hello", "text/plain")
+
+
+def test_every_put_is_in_the_manifest_and_the_last_one_counts(spark):
+    root = new_path(spark, "objects")
+    put_objects(spark.createDataFrame([("b", "one", "1", "a/b", 1), ("b", "two", "22", "", 1)], OBJECT), root)
+    put_objects(spark.createDataFrame([("b", "two", "333", "c/d", 1), ("c", "one", "", "", 1)], OBJECT), root)
+    found = {(row["bucket"], row["key"]): (row["content_type"], bytes(row["content"])) for row in read_objects(spark, root).collect()}
+    default = "application/octet-stream"
+    assert found == {("b", "one"): ("a/b", b"1"), ("b", "two"): ("c/d", b"333"), ("c", "one"): (default, b"")}
+    assert "binaryFile" not in stat_objects(spark, root)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_keys_need_an_order(spark):
+    rows = spark.createDataFrame([("b", "k", str(i), "", i) for i in range(40)], OBJECT).repartition(4)
+    with pytest.raises(ValueError, match="need seq"):
+        put_objects(rows, new_path(spark, "objects"))
+    root = new_path(spark, "objects")
+    put_objects(rows, root, seq=["seq"])
+    assert bytes(read_objects(spark, root).head()["content"]) == b"39"
+
+
+def test_files_are_fed_to_a_put(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text("one")
+    (tmp_path / "in" / "deep" / "b c.md").write_text("two")
+    root = new_path(spark, "objects")
+    put_objects(file_objects(spark, str(tmp_path / "in"), "docs", "p/", "text/plain"), root)
+    put_objects(file_objects(spark, str(tmp_path / "in" / "a.txt"), "single"), root)
+    found = {(row["bucket"], row["key"]): bytes(row["content"]) for row in read_objects(spark, root).collect()}
+    assert found == {("docs", "p/a.txt"): b"one", ("docs", "p/deep/b c.md"): b"two", ("single", "a.txt"): b"one"}
 
 
 def test_last_object_wins_and_awkward_keys_come_back(spark):
@@ -106,6 +137,12 @@ def test_documents(spark):
               for value in (1.5, 2, 2.0, True, None, 1, 9007199254740993, 9007199254740992)}
     assert counts == {"1.5": 1, "2": 2, "2.0": 2, "True": 1, "None": 1, "1": 0,
                       "9007199254740993": 1, "9007199254740992": 0}
+    large = as_documents(spark.createDataFrame([('{"a.b":{"c\'d":1},"n":123456789012345678901234567890}',)], "j string"), F.col("j"))
+    for equal, n in (
+        ({("a.b", "c'd"): 1}, 1), ({"a.b": 1}, 0), ({"n": 123456789012345678901234567890}, 1),
+        ({"n": 123456789012345678901234567891}, 0), ({"n": 10**40}, 0),
+    ):
+        assert count_documents(large, "doc", equal).head()["documents"] == n
     bad = spark.createDataFrame([("{",)], "j string")
     with pytest.raises(Exception, match="MALFORMED_RECORD_IN_PARSING|parse_json"):
         as_documents(bad, F.col("j")).collect()
@@ -114,7 +151,7 @@ def test_documents(spark):
 def test_lookup_gives_null_for_a_missing_key(spark):
     stored = spark.createDataFrame([("feature:test", "enabled"), ("hello", "world")], "key string, value string")
     probes = spark.createDataFrame([(1, "hello"), (2, "nope"), (3, None)], "n int, key string")
-    found = {row["n"]: row["value"] for row in lookup(probes, stored, "key", ["n"]).collect()}
+    found = {row["n"]: row["value"] for row in lookup(probes, stored, "key").collect()}
     assert found == {1: "world", 2: None, 3: None}
 
 
@@ -163,7 +200,8 @@ def test_row_store_settings():
     other = RowStore("mysql", "127.0.0.1", 3306, "app", "u", "p")
     assert other.connection_string() == "u:p@tcp(127.0.0.1:3306)/app"
     assert "password" not in repr(other) and "'p'" not in repr(other)
-    assert Split("id", 0, 100, 400).options()["numPartitions"] == "25"
+    assert Split("id", 0, 100, 400).options()["numPartitions"] == "400"
+    assert Split("id", 0, 100).options()["numPartitions"] == "25"
     with pytest.raises(ValueError):
         Split("id", 5, 5).options()
     with pytest.raises(ValueError):

@@ -56,6 +56,25 @@ def test_collection_is_created_updated_and_upserted(spark):
     with pytest.raises(Exception, match="size 3"):
         upsert_points(rows.withColumn("vector", F.array(F.lit(1.0))), "memory", name, ["n"])
     assert read_collection(spark, "memory", name).count() == 2
+    for bad, message in ((rows.where("n = 1").union(rows.where("n = 2")), "occurs twice"), (rows.withColumn("id", F.lit(None)), "null")):
+        with pytest.raises(Exception, match=message):
+            upsert_points(bad, "memory", name)
+    assert read_collection(spark, "memory", name).count() == 2
+
+
+def test_a_load_touches_only_its_buckets(spark):
+    Catalogs().register(spark)
+    name = "c" + new_path(spark, "id").rsplit("-", 1)[-1]
+    create_collection(spark, "memory", Collection(name, 1), buckets=16)
+    points = spark.range(400).select("id", F.array(F.col("id").cast("double")).alias("vector"), F.lit(None).cast("variant").alias("payload"))
+    upsert_points(points, "memory", name)
+    files = lambda: {row["f"] for row in spark.table(f"memory.{name}").select(F.input_file_name().alias("f")).distinct().collect()}
+    before = files()
+    upsert_points(points.where("id = 7").withColumn("vector", F.array(F.lit(0.5))), "memory", name)
+    after = files()
+    assert len(before) == len(after) == 16 and len(before & after) == 15
+    found = {int(row["id"]): row["vector"][0] for row in read_collection(spark, "memory", name).collect()}
+    assert found == {i: 0.5 if i == 7 else float(i) for i in range(400)}
 
 
 def test_retrieval_stack(spark):
@@ -69,6 +88,7 @@ def test_retrieval_stack(spark):
         ],
     ).create(spark)
     documents = spark.table("rag_documents").withColumn("doc_id", F.col("doc_id").cast("string"))
+    documents = documents.withColumns({"bucket": F.col("lang"), "key": F.concat("doc_id", F.lit(".txt"))})
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "id int, vector array<double>")
     stack.load_points(vectors.withColumn("payload", F.parse_json(F.lit("{}"))))
     stack.load_objects(documents.select(F.col("lang").alias("bucket"), F.concat("doc_id", F.lit(".txt")).alias("key"), F.col("body").alias("content")))
@@ -76,5 +96,5 @@ def test_retrieval_stack(spark):
     queries = spark.createDataFrame([("q", [1.0, 0.05])], "query_id string, vector array<double>")
     found = stack.search(queries, documents, labels, 2).orderBy("rank").collect()
     assert [(row["doc_id"], row["body"], row["quality"]) for row in found] == [("1", "one", None), ("2", "two", 1)]
-    stored = {f"{row['bucket']}/{row['key']}" for row in stat_objects(spark, stack.objects).collect()}
-    assert {row["object_key"] for row in found} <= stored
+    stored = {(row["bucket"], row["key"], row["length"]) for row in stat_objects(spark, stack.objects).collect()}
+    assert {(row["object_bucket"], row["object_key"], row["object_length"]) for row in found} <= stored

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeseed.operators.retrieve import retrieve
 from lakeseed.operators.vectors import Collection, nearest
-from lakeseed.sources.points import file_count, point_json, read_points, write_points
+from lakeseed.sources.points import point_json, read_points, write_points
 from lakeseed.workspace import new_path
 
 SIZE = 4
@@ -130,19 +130,13 @@ def test_points_from_json_files(spark):
     path = new_path(spark, "points")
     rows = spark.range(25).select("id", F.array(F.col("id") * 0.5).alias("vector"), F.lit("x").alias("tag"))
     payload = F.when(F.col("id") > 5, F.create_map(F.lit("tag"), F.col("tag"))).otherwise(F.create_map().cast("map<string,string>"))
-    write_points(rows, path, point_json(F.col("id"), F.col("vector"), payload), 4)
-    loaded = read_points(spark, path)
+    write_points(rows, path, point_json(F.col("id"), F.col("vector"), payload))
+    loaded = read_points(spark, path, lines=True)
     assert loaded.count() == 25
     assert loaded.where("payload is null").count() == 6
     assert loaded.where("id = '9'").head()["vector"] == [4.5]
 
 
-def test_files_hold_a_bounded_number_of_points():
-    assert file_count(0, 64) == 1
-    assert file_count(10**6, 64) == 20
-    assert file_count(10**6, 1536) == 458
-
-
 def test_points_keep_large_ids_and_fail_on_bad_json(spark):
     path = new_path(spark, "points")
     text = '[{"id": 9007199254740993, "vector": [1]},\n {"id": "a-b", "vector": [2.5], "payload": {"n": 1}}]'
@@ -154,13 +148,30 @@ def test_points_keep_large_ids_and_fail_on_bad_json(spark):
         read_points(spark, bad).collect()
 
 
-@pytest.mark.parametrize("broadcast_hits", [1000, 0])
-def test_retrieve_joins_hits_both_ways(spark, points, queries, broadcast_hits):
-    documents = points.where("id <> 5").select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"))
+def test_retrieve_joins_documents_labels_and_objects(spark, points, queries):
+    documents = points.where("id <> 5").select(
+        F.col("id").alias("doc_id"), F.lit("en").alias("bucket"), F.concat("id", F.lit(".txt")).alias("key")
+    )
     labels = points.where("id % 2 = 0").select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
-    found = retrieve(points, queries, documents, labels, Collection("t", SIZE), 40, broadcast_hits)
+    objects = documents.where("doc_id % 3 = 0").select("bucket", "key", F.lit("text/plain").alias("content_type"), F.col("doc_id").alias("length"))
+    found = retrieve(points, queries, documents, labels, objects, Collection("t", SIZE), 40)
     hits = nearest(points, queries, Collection("t", SIZE), 40).where("id <> 5")
-    want = {(r["query_id"], r["rank"], r["id"], 1 if r["id"] % 2 == 0 else None) for r in hits.collect()}
-    got = {(r["query_id"], r["rank"], r["doc_id"], r["quality"]) for r in found.collect()}
+    want = {
+        (r["query_id"], r["rank"], r["id"], 1 if r["id"] % 2 == 0 else None, f"{r['id']}.txt" if r["id"] % 3 == 0 else None)
+        for r in hits.collect()
+    }
+    got = {(r["query_id"], r["rank"], r["doc_id"], r["quality"], r["object_key"]) for r in found.collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_very_large_and_small_vectors(spark, metric):
+    vectors = [[1e200, 0.0], [1e200, 1e200], [1e-200, 0.0], [1e-200, 3e-200], [0.5, 0.5], [0.0, 0.0]]
+    points = spark.createDataFrame(list(enumerate(vectors)), "id int, vector array<double>")
+    queries = spark.createDataFrame([("one", [1.0, 0.0]), ("tiny", [2e-200, 0.0])], "query_id string, vector array<double>")
+    found = nearest(points, queries, Collection("t", 2, metric), 3).orderBy("query_id", "rank").collect()
+    got = {}
+    for row in found:
+        got.setdefault(row["query_id"], []).append(row["id"])
+    want = {"cosine": {"one": [0, 2, 1], "tiny": [0, 2, 1]}, "euclidean": {"one": [4, 2, 3], "tiny": [2, 5, 3]}}[metric]
     assert got == want
-    assert found.head()["object_key"].startswith("en/")

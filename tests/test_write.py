@@ -64,6 +64,25 @@ def test_put_rejects_blank_names_and_defaults_the_type(spark):
         W.put(base, blank, "name", ["seq"]).collect()
 
 
+def test_null_keys_and_unordered_duplicates_are_refused(spark):
+    base = pairs(spark, [("a", "old", 0)])
+    null = pairs(spark, [(None, "1", 1)])
+    for write in (W.upsert, W.insert_if_absent):
+        with pytest.raises(Exception, match="key must not be null"):
+            write(base, null, ["key"], ["seq"]).collect()
+    twice = pairs(spark, [("a", "1", 1), ("a", "2", 1)])
+    with pytest.raises(Exception, match="twice"):
+        W.only_row(twice, ["key"], "a key occurs twice").collect()
+    assert as_dict(W.only_row(base, ["key"], "a key occurs twice")) == {"a": "old"}
+
+
+def test_batch_is_aggregated_once(spark):
+    base = pairs(spark, [("a", "old", 0)])
+    merged = W.upsert(base, pairs(spark, [("a", "1", 1), ("a", "2", 2)]), ["key"], ["seq"])
+    assert "max_by" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert as_dict(merged) == {"a": "2"}
+
+
 def test_append_batch_twice_keeps_one_copy(spark):
     path = new_path(spark, "append")
     rows = pairs(spark, [("a", "1", 1)])
