@@ -56,14 +56,22 @@ def path_escape(text: Column) -> Column:
     return _replace_each(query_escape(text), kept)
 
 
+# Two private characters that hold the place of an escape, and the same escaped.
+HELD, HELD_ESCAPED = "\ue000\ue001", "%EE%80%80%EE%80%81"
+
+
 def _reescape(text: Column, kept: str) -> Column:
     """Decode and encode again, as a URL printer does with a part it cannot keep.
 
-    ``kept`` are the reserved characters that this part may hold unescaped.
+    ``kept`` are the reserved characters that this part may hold unescaped. Escaped bytes
+    beyond ASCII stay escaped, so bytes that are no UTF-8 text are not lost.
     """
-    decoded = F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
-    pairs = [("+", "%20"), *[(f"%{ord(letter):02X}", letter) for letter in kept]]
-    return _replace_each(query_escape(decoded), pairs)
+    upper = text
+    for letter in 2 * "abcdef":
+        upper = F.regexp_replace(upper, f"(%[0-9A-Fa-f]?){letter}", f"$1{letter.upper()}")
+    held = F.regexp_replace(F.replace(upper, F.lit("+"), F.lit("%2B")), "%([89A-F][0-9A-F])", f"{HELD}$1")
+    pairs = [("+", "%20"), *[(f"%{ord(letter):02X}", letter) for letter in kept], (HELD_ESCAPED, "%")]
+    return _replace_each(query_escape(F.url_decode(held)), pairs)
 
 
 def _reescape_user(user: Column) -> Column:
@@ -184,11 +192,18 @@ def json_without_blanks(
     texts: dict[str, Column] | None = None,
     nested: dict[str, Column] | None = None,
 ) -> Column:
-    """JSON text of a record; empty ``texts`` and empty ``nested`` fields are left out."""
-    fields = [value.alias(name) for name, value in always.items()]
-    fields += [F.nullif(value, F.lit("")).alias(name) for name, value in (texts or {}).items()]
+    """JSON text of a record; empty ``texts`` and empty ``nested`` fields are left out.
+
+    ``always`` fields appear whatever they hold, as ``null`` if need be.
+    """
+    required = F.to_json(F.struct(*[value.alias(name) for name, value in always.items()]), {"ignoreNullFields": "false"})
+    fields = [F.nullif(value, F.lit("")).alias(name) for name, value in (texts or {}).items()]
     fields += [F.when(F.size(value) > 0, value).alias(name) for name, value in (nested or {}).items()]
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
+    if not fields:
+        return required
+    optional = F.to_json(F.struct(*fields), {"ignoreNullFields": "true"})
+    members = [F.regexp_replace(part, r"^\{|\}$", "") for part in ((required, optional) if always else (optional,))]
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.nullif(part, F.lit("")) for part in members]), F.lit("}"))
 
 
 def variant_kind(value: Column) -> Column:

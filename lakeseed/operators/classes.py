@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +17,20 @@ DEFAULT_LIMIT = 25
 # Declared property type -> variant types that satisfy it.
 VARIANT_TYPES = {
     "text": ["STRING"],
+    "string": ["STRING"],
     "int": ["BIGINT"],
     "number": ["BIGINT", "DOUBLE", "DECIMAL"],
     "boolean": ["BOOLEAN"],
     "date": ["STRING", "TIMESTAMP"],
+    "uuid": ["STRING"],
+    "blob": ["STRING"],
     "object": ["OBJECT"],
-    "text[]": ["ARRAY<STRING>"],
-    "int[]": ["ARRAY<BIGINT>"],
-    "boolean[]": ["ARRAY<BOOLEAN>"],
+    "geoCoordinates": ["OBJECT"],
+    "phoneNumber": ["OBJECT"],
 }
+# Fixed patterns: texts that stand for a date with time and zone, and for an identifier.
+DATE = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
 @dataclass(frozen=True)
@@ -52,19 +59,33 @@ class ObjectClass:
         return {**self.raw, **typed}
 
 
+def _is_of(value: Column, name: str) -> Column:
+    """Whether one value, no list, is of a declared type; a class name stands for a list of references."""
+    if name not in VARIANT_TYPES:
+        return variant_kind(value).startswith("ARRAY")
+    fits = variant_kind(value).isin(VARIANT_TYPES[name])
+    text = F.try_variant_get(value, "$", "string")
+    if name == "date":
+        real = F.try_to_timestamp(F.regexp_replace(F.upper(text), r"\.\d+", "")).isNotNull()
+        return fits & ((variant_kind(value) != "STRING") | (text.rlike(DATE) & real))
+    return fits & text.rlike(UUID) if name == "uuid" else fits
+
+
+def is_of(value: Column, name: str) -> Column:
+    """Whether a value is of a declared type; a list is when all its members are."""
+    if not name.endswith("[]"):
+        return _is_of(value, name)
+    members = F.try_variant_get(value, "$", "array<variant>")
+    each = F.forall(members, lambda member: _is_of(member, name.removesuffix("[]")))
+    return variant_kind(value).startswith("ARRAY") & each
+
+
 def property_state(properties: Column, item: Property) -> Column:
     """``missing``, ``valid`` or ``wrong_type`` for one declared property."""
-    unknown = [name for name in item.data_type if name not in VARIANT_TYPES]
-    if unknown:
-        raise ValueError(f"unknown property type {unknown[0]!r}")
-    accepted = [kind for name in item.data_type for kind in VARIANT_TYPES[name]]
     value = F.try_variant_get(properties, f"$['{item.name}']", "variant")
     missing = value.isNull() | F.is_variant_null(value)
-    return (
-        F.when(missing, "missing")
-        .when(variant_kind(value).isin(accepted), "valid")
-        .otherwise("wrong_type")
-    )
+    valid = reduce(or_, [F.coalesce(is_of(value, name), F.lit(False)) for name in item.data_type], F.lit(False))
+    return F.when(missing, "missing").when(valid, "valid").otherwise("wrong_type")
 
 
 def unknown_count(properties: Column, declared: list[Property]) -> Column:

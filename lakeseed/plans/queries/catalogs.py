@@ -26,17 +26,18 @@ def _filled(sql: str, folder: str) -> str:
 
 
 def seed_script(spark: SparkSession, folder: str) -> DataFrame:
-    """Ordered statements; each uses what the earlier ones made."""
-    statements = [_filled(sql, folder) for sql in (OPEN_ORDERS, ORDER_LINES, OPEN_LINES)]
-    SeedSpec("orders", sql=statements).plan().run(spark)
+    """A statement, then a script of two; each statement uses what the earlier ones made."""
+    script = f"{ORDER_LINES};\n{OPEN_LINES}; -- a ';' ends nothing here"
+    SeedSpec("orders", sql=[_filled(OPEN_ORDERS, folder), _filled(script, folder)]).plan().run(spark)
     return spark.table("seed_open_lines")
 
 
 def seed_script_file(spark: SparkSession, folder: str) -> DataFrame:
-    """A statement, then a script file with two, then a custom step."""
+    """A statement, then a folder of two script files, then a custom step."""
     path = new_path(spark, "script")
-    script = f"BEGIN {_filled(ORDER_LINES, folder)}; {OPEN_LINES}; END"
-    spark.createDataFrame([(script,)], "value string").coalesce(1).write.text(path)
+    scripts = [_filled(ORDER_LINES, folder) + ";", "SELECT ';';\n" + OPEN_LINES]
+    for number, script in enumerate(scripts):
+        spark.createDataFrame([(script,)], "value string").coalesce(1).write.text(f"{path}/step={number}")
 
     def rename(session: SparkSession) -> DataFrame:
         result = session.table("seed_open_lines").withColumnRenamed("o_custkey", "customer")
@@ -50,7 +51,7 @@ def seed_script_file(spark: SparkSession, folder: str) -> DataFrame:
 
 def catalog_query(spark: SparkSession, folder: str) -> DataFrame:
     """Tables of two catalogs by qualified name."""
-    Catalogs().with_memory().with_catalog("crm", {"connector": "memory"}).register(spark)
+    Catalogs().with_memory().with_catalog("crm", {"connector.name": "memory"}).register(spark)
     mount(spark, "memory", "nation", table_path(folder, "nation"))
     mount(spark, "crm", "customer", table_path(folder, "customer"))
     return query(
@@ -60,6 +61,19 @@ def catalog_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def catalog_list(spark: SparkSession, folder: str) -> DataFrame:
+    """The listed catalogs that hold a table of nations or regions, with its rows."""
+    catalogs = Catalogs().with_catalog("places", {"connector.name": "memory"}).with_catalog("areas", {"connector.name": "memory"})
+    catalogs.register(spark)
+    counted = [
+        spark.table(mount(spark, name, table, table_path(folder, table))).agg(
+            F.lit(name).alias("catalog"), F.count(F.lit(1)).alias("held")
+        )
+        for name, table in (("places", "nation"), ("areas", "region"))
+    ]
+    return catalogs.show(spark).join(counted[0].union(counted[1]), "catalog")
+
+
 def sql_query(spark: SparkSession, folder: str) -> DataFrame:
     """SQL text with a named parameter."""
     Catalogs().register(spark)
@@ -150,6 +164,7 @@ QUERIES = {
     "seed_script_file": seed_script_file,
     "catalog_query": catalog_query,
     "sql_query": sql_query,
+    "catalog_list": catalog_list,
     "federated_join": federated_join,
 }
 
@@ -172,6 +187,8 @@ SELECT c_custkey, regexp_replace(c_name, '[^A-Z0-9]', '', 'g') || '/' || c_mktse
 SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance
 FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name""",
     "sql_query": "SELECT s_nationkey, max(s_acctbal) AS best FROM supplier WHERE s_acctbal > 0 GROUP BY s_nationkey",
+    "catalog_list": """
+SELECT 'places' AS catalog, count(*) AS held FROM nation UNION ALL SELECT 'areas', count(*) FROM region""",
     "federated_join": """
 SELECT n_name, c_mktsegment AS segment, count(*) AS orders, round(sum(o_totalprice), 2) AS spent
 FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey

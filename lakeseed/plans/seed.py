@@ -6,7 +6,9 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Step = Callable[[SparkSession], DataFrame | None]
 
@@ -16,16 +18,35 @@ class SeedError(RuntimeError):
 
 
 def execute(spark: SparkSession, sql: str) -> None:
-    """Run one statement, or one BEGIN … END script, and discard its result."""
-    result = spark.sql(sql)
+    """Run one statement or a script of several, and discard its result.
+
+    Text that is not one statement is run as a compound statement, with a last ``;`` added
+    where it has none, so Spark's own parser finds where each statement ends. Text that does
+    not parse has run nothing. A blank text does nothing.
+    """
+    if not sql.strip():
+        return
+    for text in (sql, f"BEGIN\n{sql}\nEND", f"BEGIN\n{sql}\n;\nEND"):
+        try:
+            result = spark.sql(text)
+            break
+        except ParseException as error:
+            refused = error
+    else:
+        raise refused
     if result.columns:
         result.write.format("noop").mode("overwrite").save()
 
 
-def read_script(spark: SparkSession, path: str) -> str:
-    """Text of a SQL file, from any file system Spark reads."""
-    found = spark.read.text(path, wholetext=True).head()
-    return found["value"] if found else ""
+def read_scripts(spark: SparkSession, path: str) -> list[str]:
+    """Texts of a SQL file, or of all files of a folder by name, from any file system Spark reads."""
+    files = spark.read.text(path, wholetext=True)
+    return [row["value"] for row in files.orderBy(F.col("_metadata.file_path")).collect()]
+
+
+def execute_files(spark: SparkSession, path: str) -> None:
+    for script in read_scripts(spark, path):
+        execute(spark, script)
 
 
 @dataclass
@@ -40,8 +61,8 @@ class SeedPlan:
         return self
 
     def with_sql_file(self, path: str) -> SeedPlan:
-        """The file is read when the plan runs, not when it is added."""
-        self.steps.append((path, lambda spark: execute(spark, read_script(spark, path))))
+        """The file, or each file of a folder, is read when the plan runs, not when it is added."""
+        self.steps.append((path, lambda spark: execute_files(spark, path)))
         return self
 
     def with_step(self, step: Step, label: str = "custom") -> SeedPlan:

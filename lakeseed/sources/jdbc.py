@@ -11,8 +11,8 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Fixed value: connections that one store accepts from one job at a time.
-MAX_CONNECTIONS = 25
+# Fixed value: connections that one job opens to a store unless the caller says otherwise.
+DEFAULT_CONNECTIONS = 25
 FETCH_ROWS = 10_000
 
 
@@ -60,7 +60,7 @@ class Split:
     column: str
     lower: int
     upper: int
-    parts: int = MAX_CONNECTIONS
+    parts: int = DEFAULT_CONNECTIONS
 
     def options(self) -> dict[str, str]:
         if self.upper <= self.lower:
@@ -69,7 +69,7 @@ class Split:
             "partitionColumn": self.column,
             "lowerBound": str(self.lower),
             "upperBound": str(self.upper),
-            "numPartitions": str(max(1, min(self.parts, MAX_CONNECTIONS))),
+            "numPartitions": str(max(1, self.parts)),
         }
 
 
@@ -79,7 +79,9 @@ def read_store(spark: SparkSession, store: RowStore, table: str, split: Split) -
     return spark.read.format("jdbc").options(**options).load()
 
 
-def write_store(rows: DataFrame, store: RowStore, table: str, mode: str = "append") -> None:
+def write_store(
+    rows: DataFrame, store: RowStore, table: str, mode: str = "append", connections: int = DEFAULT_CONNECTIONS
+) -> None:
     """Write through a bounded number of connections."""
-    options = {**store.options(), "dbtable": table, "numPartitions": str(MAX_CONNECTIONS)}
+    options = {**store.options(), "dbtable": table, "numPartitions": str(connections)}
     rows.write.format("jdbc").mode(mode).options(**options).save()

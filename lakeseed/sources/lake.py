@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeseed.plans.catalog import quoted
 from lakeseed.workspace import new_path, shared_root
 
 
@@ -23,7 +24,7 @@ class LakeEnvironment:
     def create(self, spark: SparkSession) -> None:
         """Make the catalog's database in the warehouse folder."""
         spark.sql(
-            f"CREATE DATABASE IF NOT EXISTS `{self.catalog}` LOCATION '{self.location(spark)}'"
+            f"CREATE DATABASE IF NOT EXISTS `{self.catalog}` LOCATION {quoted(self.location(spark))}"
         )
 
     def rest_settings(self, uri: str, warehouse: str) -> dict[str, str]:
@@ -44,8 +45,8 @@ def create_lake_table(
     environment.create(spark)
     columns = ", ".join(f"`{item.name}` {item.dataType.simpleString()}" for item in like.schema)
     name = f"`{environment.catalog}`.`{table}`"
-    path = new_path(spark, f"{environment.bucket}-{table}")
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({by}) LOCATION '{path}'")
+    path = quoted(new_path(spark, f"{environment.bucket}-{table}"))
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({by}) LOCATION {path}")
     return name
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeseed.functions.scalars import variant_kind
+from lakeseed.functions.scalars import trim_space, variant_kind
 
 # The fields of a progress message and the kind each must have if present.
 FIELDS = {
@@ -34,9 +34,10 @@ def first_error(messages: DataFrame, stream: str, seq: str, body: str) -> DataFr
 
     A message fails by a non-empty ``error``, else a non-empty ``errorDetail.message``,
     and also by not being a readable message at all. Partial minima keep a stream with
-    very many messages from ever being gathered in one place.
+    very many messages from ever being gathered in one place. White space is no message,
+    and of a repeated field the last one counts.
     """
-    filled = messages.where(F.trim(body) != "")
+    filled = messages.where(trim_space(F.col(body)) != "")
     # A generator keeps the parse in one place; inlined, it would run once per field.
     parsed = filled.select(stream, seq, body, F.explode(F.array(F.try_parse_json(body))).alias("_doc"))
     failure = F.when(

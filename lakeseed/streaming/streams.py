@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakeseed.operators.write import last_wins
 from lakeseed.workspace import new_folder, new_path
 
 
@@ -106,7 +107,9 @@ def fan_out(rows: DataFrame, routes: list[Route], bus: str, topic: str) -> DataF
 def tumbling(rows: DataFrame, at: str, width: str, late: str, *aggregates: Column) -> DataFrame:
     """Aggregates per time window of a stream, with the open windows included.
 
-    The complete result, one row per window, replaces the earlier one at each batch.
+    Each batch writes the windows that it changed under its own number, and the last
+    version of a window counts. Rows later than ``late`` behind the latest time are
+    dropped, and with them the state of windows that nothing can change any more.
     """
     spark = rows.sparkSession
     out = new_path(spark, "windows")
@@ -119,15 +122,16 @@ def tumbling(rows: DataFrame, at: str, width: str, late: str, *aggregates: Colum
         .drop("window")
     )
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(counted)
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{counted}/batch={batch_id}")
 
     run = (
-        windows.writeStream.outputMode("complete")
+        windows.writeStream.outputMode("update")
         .foreachBatch(replace)
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    return spark.read.schema(windows.schema).parquet(counted)
+    versions = spark.read.schema(windows.schema.add("batch", "long")).parquet(counted)
+    return last_wins(versions, ["window_start"], ["batch"]).drop("batch")

@@ -8,10 +8,12 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from lakeseed.session import local_session  # noqa: E402
+from lakeseed.workspace import remove_made  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, "lakeseed-tests")
     yield session
+    remove_made(session)
     session.stop()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
 from lakeseed.operators.classes import DEFAULT_LIMIT, ObjectClass, Property, limited, typed_objects, validate
@@ -40,8 +39,19 @@ def test_validation_by_property(spark):
     dotted = ObjectClass("D", properties=[Property("a.b", ["int"])])
     one = spark.createDataFrame([('{"a.b":1}',)], "j string").select(F.parse_json("j").alias("properties"))
     assert validate(one, dotted).head()["a.b_state"] == "valid"
-    with pytest.raises(ValueError):
-        validate(objects, ObjectClass("D", properties=[Property("x", ["blob"])]))
+
+
+def test_lists_dates_identifiers_and_references(spark):
+    names = ["text[]", "number[]", "date", "date[]", "uuid", "object[]", "Author"]
+    of = ObjectClass("D", properties=[Property(f"p{i}", [name]) for i, name in enumerate(names)])
+    uuid = "f81d4fae-7dec-11d0-a765-00a0c91e6bf6"
+    day = "2024-02-29T10:00:00.123Z"
+    good = f'{{"p0":[],"p1":[1,2.5],"p2":"{day}","p3":["{day}"],"p4":"{uuid}","p5":[{{}}],"p6":[{{"beacon":"x"}}]}}'
+    bad = '{"p0":["a",1],"p1":["x"],"p2":"nonsense","p3":["2024-02-30T10:00:00Z"],"p4":"1","p5":[1],"p6":"x"}'
+    rows = spark.createDataFrame([(good,), (bad,)], "j string").select(F.parse_json("j").alias("properties"))
+    found = validate(rows, of).collect()
+    assert [found[0][f"p{i}_state"] for i in range(7)] == ["valid"] * 7
+    assert [found[1][f"p{i}_state"] for i in range(7)] == ["wrong_type"] * 7
 
 
 def test_typed_object_keeps_its_vector(spark):

@@ -120,6 +120,17 @@ def test_first_filled_does_not_trim(spark):
     assert value(spark, S.first_filled(F.lit(""), F.lit(None).cast("string"))) == ""
 
 
+def test_bytes_beyond_text_are_kept(spark):
+    rewritten = S.rewrite_endpoint(F.lit("http://h/%ff%C3%a9 b%41"), "http://e")
+    assert value(spark, rewritten) == "http://e/%FF%C3%A9%20bA"
+
+
+def test_required_fields_appear_as_null(spark):
+    made = S.json_without_blanks({"id": F.lit(1), "vector": F.lit(None).cast("array<double>")}, texts={"a": F.lit("")})
+    assert value(spark, made) == '{"id":1,"vector":null}'
+    assert value(spark, S.json_without_blanks({}, texts={"a": F.lit("}{")})) == '{"a":"}{"}'
+
+
 def test_json_without_blanks(spark):
     empty = F.create_map().cast("map<string,string>")
     point = {"id": F.lit(1), "vector": F.array(F.lit(0.5))}

@@ -65,8 +65,21 @@ def test_tumbling_over_several_batches_equals_batch(spark, folder):
     assert sorted(map(tuple, got.select("window_start", "n").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_late_rows_are_dropped_and_windows_updated(spark):
+    path = new_path(spark, "events")
+    hours = [[0, 1, 30], [2, 31], [1, 240], [241], [200]]
+    for number, batch in enumerate(hours):
+        rows = spark.createDataFrame([(h,) for h in batch], "h int").select(F.timestamp_seconds(F.col("h") * 3600).alias("ts"))
+        rows.coalesce(1).write.mode("append").parquet(path)
+    got = tumbling(stream(spark, path, 1), "ts", "1 day", "1 hour", F.count(F.lit(1)).alias("n"))
+    found = {int(row["window_start"].timestamp()) // 86400: row["n"] for row in got.collect()}
+    # A batch is judged by the watermark that held before the previous one.
+    assert found == {0: 3, 1: 2, 10: 2}
+
+
 def test_first_error(spark):
     rows = [
+        ("space", 1, "\n \t"), ("twice", 1, '{"error":"","error":"y"}'), ("empty", 1, '{"error":"x","error":""}'),
         ("ok", 1, '{"status":"x"}'), ("ok", 2, '{"error":"","errorDetail":{"message":""}}'),
         ("err", 1, '{"status":"x"}'), ("err", 2, '{"error":"first"}'), ("err", 3, '{"error":"second"}'),
         ("detail", 5, '{"errorDetail":{"message":"inner"}}'),
@@ -85,5 +98,6 @@ def test_first_error(spark):
         "list": (1, 'malformed message: [{"error":"x"}]'), "kind": (1, 'malformed message: {"error":5}'),
         "kind2": (1, 'malformed message: {"errorDetail":"x"}'),
         "kind3": (1, 'malformed message: {"errorDetail":{"message":1}}'),
+        "twice": (1, "y"),
         "status": (1, 'malformed message: {"status":1,"error":"e"}'),
     }
