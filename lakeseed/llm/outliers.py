@@ -239,7 +239,7 @@ def _distance(x: Column, model: Column) -> Column:
 
 def estimates(vectors: DataFrame) -> DataFrame:
     """grp, model: location and scatter of every group that is large enough."""
-    models = starts(vectors)
+    models = stored(starts(vectors), "outlier-models")
     for _ in range(STEPS):
         models = stored(concentrated(vectors, models), "outlier-models")
     return models
@@ -250,7 +250,7 @@ def judged(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "lang", "source", measured(F.col("text")).alias("m"))
     rows = rows.select("doc_id", "lang", "source", "m.*").withColumn("base_failed", base_failed())
     rows = stored(rows.withColumn("x", F.when(~F.col("base_failed"), vector())), "outlier-vectors")
-    named = grouped(rows.where("x is not null"))
+    named = stored(grouped(rows.where("x is not null")), "outlier-groups")
     same = [rows[c].eqNullSafe(named[c]) for c in KEY]
     rows = rows.join(named, same, "left").drop(named["lang"]).drop(named["source"])
     fit = rows.where((F.col("n_grp") >= MIN_ROWS) & F.col("x").isNotNull())
