@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +30,12 @@ def test_object_of_five_bytes(spark):
     assert (bytes(read["content"]), read["content_type"]) == (b"hello", "text/plain")
 
 
+def test_any_module_makes_task_functions_travel():
+    code = "import lakeseed.sources.objects as o; from pyspark.cloudpickle import list_registry_pickle_by_value as r; print(r())"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert "lakeseed" in done.stdout
+
+
 def test_every_put_is_in_the_manifest_and_the_last_one_counts(spark):
     root = new_path(spark, "objects")
     put_objects(spark.createDataFrame([("b", "one", "1", "a/b", 1), ("b", "two", "22", "", 1)], OBJECT), root)
@@ -158,7 +167,11 @@ def test_lookup_gives_null_for_a_missing_key(spark):
 def test_keyed_table(spark):
     path = new_path(spark, "items")
     rows = spark.range(0, 3000, 1, 4).select((F.col("id") % 3).alias("id"), F.format_string("%05d", "id").alias("at"))
-    keyed_table(rows, "id", "at").write.parquet(path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        keyed_table(rows, "id", "at").write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     table = spark.read.parquet(path)
     assert dict(table.dtypes) == {"id": "string", "at": "string"}
     found = key_range(table, "id", "1", "at", "00100", "00110")
@@ -166,6 +179,9 @@ def test_keyed_table(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(at" in plan
     assert key_range(table, "id", "2").count() == 1000
+    # Statistics of the sorted files let the scan skip what lies outside the range.
+    leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+    assert leaves.head().metrics().apply("numOutputRows").value() < 2000
     assert keyed_table(rows).count() == 3000
 
 
