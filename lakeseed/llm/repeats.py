@@ -39,7 +39,7 @@ SPAN = LENGTH - GRAM + 1
 #: Batches that a whole table is added in.
 BATCHES = 2
 #: Spans of an anchor that a task compares at a time.
-PART = 20_000
+PART = 2_000
 #: Lists of this many documents or spans are sent to every task; longer ones are joined.
 SENT = 2_000_000
 #: Positions of a text that are hashed at a time.
@@ -335,7 +335,7 @@ def _windows(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def covers(texts: DataFrame, family: Family) -> DataFrame:
-    """doc, mark, starts, sizes: what is covered in every text that repeats something."""
+    """doc, mark, covered: the runs that go from every text that repeats something."""
     spans = spans_of(texts, family.rows(VARIANT)).repartition("core", "part").sortWithinPartitions("core", "part", "doc", "place")
     compared = stored(spans.mapInArrow(_compared, ROWS), "repeats-windows")
     windows = compared.where(F.col("kind") == WINDOW)
@@ -347,7 +347,23 @@ def covers(texts: DataFrame, family: Family) -> DataFrame:
     rows = rows.union(later.select("doc", "place", F.lit(LENGTH).alias("size")))
     place = F.struct(F.shiftright("place", 32).alias("start"), "size")
     mark = F.col("place").bitwiseAND(F.lit((1 << 24) - 1))
-    return rows.groupBy("doc", mark.alias("mark")).agg(F.collect_list(place).alias("covered"))
+    found = rows.groupBy("doc", mark.alias("mark")).agg(F.collect_list(place).alias("covered"))
+
+    @F.pandas_udf("array<struct<start: long, size: int>>")
+    def merged(lists: pd.Series) -> pd.Series:
+        out = []
+        for spans in lists:
+            starts, ends = [], []
+            for start, end in sorted((c["start"], c["start"] + c["size"]) for c in spans):
+                if starts and start <= ends[-1]:
+                    ends[-1] = max(end, ends[-1])
+                else:
+                    starts.append(start)
+                    ends.append(end)
+            out.append([{"start": a, "size": b - a} for a, b in zip(starts, ends, strict=True)])
+        return pd.Series(out, dtype=object)
+
+    return found.select("doc", "mark", merged("covered").alias("covered"))
 
 
 def kept_bytes(text: str | None, covered) -> tuple[int, int, int, list[bytes]]:
