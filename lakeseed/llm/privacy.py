@@ -142,13 +142,23 @@ def disclosing(documents: DataFrame, rows: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("entity", "term").agg(
         F.count_distinct("key").alias("n_ct"), F.count_distinct(F.xxhash64("near")).alias("contexts")
     )
-    pairs = stored(pairs.where(F.col("contexts") >= MIN_CONTEXTS).join(held, "entity"), "disclosures")
+    total = documents.agg(F.count("*").alias("n")).first()["n"]
+    pairs = pairs.where(F.col("contexts") >= MIN_CONTEXTS).join(held, "entity").where(F.col("n_c") < total)
+    # The documents with entities alone hold most terms too often; only the others are looked up in the corpus.
+    local = rows.where("key is not null").select(F.explode(terms(F.col("text"))).alias("term"))
+    local = local.groupBy("term").agg(F.count("*").alias("n_t"))
+    pairs = pairs.join(local, "term").where(_discloses(total)).drop("n_t")
+    pairs = stored(pairs, "disclosures")
     wanted = pairs.select("term").distinct()
     spread = documents.select(F.explode(terms(F.col("text"))).alias("term")).join(wanted, "term")
     spread = spread.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = documents.agg(F.count("*").alias("n")).first()["n"]
-    told = F.log(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_c"))
-    return pairs.join(spread, "term").where((F.col("n_c") < total) & (told >= DISCLOSURE)).select("entity", "term")
+    return pairs.join(spread, "term").where(_discloses(total)).select("entity", "term")
+
+
+def _discloses(total: int) -> Column:
+    """Whether a term's information on an entity is the set part of the entity's own."""
+    mutual = F.log(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    return mutual >= DISCLOSURE * F.log(F.lit(float(total)) / F.col("n_c"))
 
 
 def term_spans(text: Column, flagged: Column, spans: Column) -> Column:
