@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     Edges in either direction, repeated or from a node to itself are fine; null ends tie nothing. No
     node's edges are gathered: the least neighbour is an aggregate, joined back to the edges.
     """
-    usable = edges.select("a", "b").where("a is not null and b is not null")
+    usable = stored(edges.select("a", "b").where("a is not null and b is not null"), "edges")
     alone = usable.where("a = b").select(F.col("a").alias("node")).distinct()
     tied = usable.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tied, state = stored(tied, "edges"), None
