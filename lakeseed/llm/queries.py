@@ -8,8 +8,14 @@ from lakeseed.llm import decontaminate, jaccard, language, mixing, outliers, pri
 from lakeseed.session import configure
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with its settings; whole texts are long rows, so Python tasks get them in small batches."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return spark
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def op1_outliers(spark: SparkSession, folder: str) -> DataFrame:
