@@ -2,12 +2,13 @@
 
 E-mail and IP addresses, card and phone numbers are protected entities. A term (a word of letters,
 ``MIN_LETTERS`` or more) discloses an entity as far as seeing the term tells of it: their pointwise mutual
-information over the corpus, as a part of the entity's own information. With N documents, n_t that hold
-the term, n_c that hold the entity and n_ct in which the term stands within ``REACH`` characters of the
-entity, this is log(N n_ct / (n_c n_t)) / log(N / n_c). A term passes when that is ``DISCLOSURE`` or more
-and it was seen beside the entity in ``MIN_CONTEXTS`` different surroundings, so that copies of one text
-are no evidence. Passing terms are removed in the documents that hold the entity; entities are generalised
-to their kind. Documents without an entity are left alone.
+information over the corpus, as a part of the entity's own information. With N texts, n_t that hold the
+term, n_c that hold the entity and n_ct that hold both, the chance of the entity where the term stands is
+taken as (n_ct + PRIOR n_c / N) / (n_t + PRIOR), so that what was seen once tells less than what was seen
+often, and the measure is 1 + log(chance) / log(N / n_c). A term passes with ``DISCLOSURE`` or more, for an
+entity in any number of texts but all. Texts that are copies of each other count as one. Passing terms are
+removed in the documents that hold the entity; entities are generalised to their kind. Documents without an
+entity are left alone.
 
 All of it is DataFrame operations. The counts cover all documents and whole texts. A null text holds
 nothing; repeated rows count as often as they occur and give repeated results; other columns are ignored.
@@ -34,9 +35,10 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 
 MIN_LETTERS = 4
-REACH = 80
-MIN_CONTEXTS = 3
+PRIOR = 1.0
 DISCLOSURE = 0.9
+#: Rows of the broadcast that finds texts with copies, at most.
+SLOTS = 1 << 20
 
 SPAN = "array<struct<start: long, kind: int, end: long, value: string>>"
 
@@ -58,7 +60,7 @@ def holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str, hint: str) -> Column:
+def matches(text: Column, pattern: str | Column, hint: str) -> Column:
     """An array of (start, value) of the pattern's matches: what lies between them gives their places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda part: F.length(part).cast("long"))
@@ -103,67 +105,90 @@ def entity(span: Column) -> Column:
 
 
 def scanned(documents: DataFrame) -> DataFrame:
-    """doc_id, spans, and key and text where there are any spans, written once."""
+    """doc_id, spans, and key (the same for copies) and text where there are any spans, written once."""
     rows = documents.select("doc_id", "text", F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).alias("spans"))
     some = F.size("spans") > 0
     rows = rows.select(
         "doc_id",
         F.coalesce("spans", F.array().cast(SPAN)).alias("spans"),
-        F.when(some, F.sha2(F.to_json(F.struct("doc_id", "text")), 256)).alias("key"),
+        F.when(some, F.xxhash64("text")).alias("key"),
         F.when(some, F.col("text")).alias("text"),
     )
     return stored(rows, "entities")
 
 
 def mentions(rows: DataFrame) -> DataFrame:
-    """key, entity, surroundings and their terms for every entity in every document."""
-    spans = rows.where("key is not null").select("key", "text", F.explode("spans").alias("span"))
-    begin, end = F.col("span.start").cast("int"), F.col("span.end").cast("int")
-    from_ = F.greatest(begin - REACH, F.lit(0))
-    left = F.substring(F.col("text"), from_ + F.lit(1), begin - from_)
-    right = F.substring(F.col("text"), end + F.lit(1), F.lit(REACH))
-    # A word that the reach cuts is no term.
-    left = F.when(from_ > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    near = F.concat(left, F.lit(" 0 "), right)
-    return spans.select("key", entity(F.col("span")).alias("entity"), near.alias("near"))
+    """key, entity for every entity in every text, once."""
+    found = rows.where("key is not null").select("key", F.explode(F.transform("spans", entity)).alias("entity"))
+    return found.distinct()
 
 
 def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{MIN_LETTERS},}}"), F.lit(0)))
 
 
-def disclosing(documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """entity, term for every term that discloses the entity."""
-    beside = mentions(rows)
-    held = beside.select("key", "entity").groupBy("entity").agg(F.count_distinct("key").alias("n_c"))
-    held = held.where(F.col("n_c") >= MIN_CONTEXTS)
-    pairs = beside.join(held.select("entity"), "entity").select("key", "entity", "near", F.explode(terms(F.col("near"))).alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(
-        F.count_distinct("key").alias("n_ct"), F.count_distinct(F.xxhash64("near")).alias("contexts")
+def beside(rows: DataFrame) -> DataFrame:
+    """key, term for every term outside entities in every text that holds any, once."""
+    # Of the entities only addresses hold letters.
+    free = F.regexp_replace("text", PATTERNS["email"], " 0 ")
+    return rows.where("key is not null").select("key", F.explode(terms(free)).alias("term")).distinct()
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """entity, class, n_c: entities that stand in the same texts are one class, with the same terms."""
+    marks = [F.bit_xor(F.xxhash64("key", F.lit(seed))) for seed in (0, 1)]
+    return mentions(rows).groupBy("entity").agg(
+        F.count("*").alias("n_c"), F.xxhash64(F.count("*"), *marks).alias("class")
     )
-    total = documents.agg(F.count("*").alias("n")).first()["n"]
-    pairs = pairs.where(F.col("contexts") >= MIN_CONTEXTS).join(held, "entity").where(F.col("n_c") < total)
-    # The documents with entities alone hold most terms too often; only the others are looked up in the corpus.
-    local = rows.where("key is not null").select(F.explode(terms(F.col("text"))).alias("term"))
-    local = local.groupBy("term").agg(F.count("*").alias("n_t"))
-    pairs = pairs.join(local, "term").where(_discloses(total)).drop("n_t")
-    pairs = stored(pairs, "disclosures")
+
+
+def spreads(marked: DataFrame, copies: DataFrame) -> DataFrame:
+    """term, n_t: how many different texts hold each term, counted over all rows less the further copies."""
+    every = marked.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    more = copies.where("copies > 1")
+    slot = F.pmod("mark", F.lit(SLOTS))
+    # At most so many slots leave only texts that may have copies; the join by their mark is exact.
+    likely = marked.join(F.broadcast(more.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "leftsemi")
+    held = likely.select("mark", F.explode(terms(F.col("text"))).alias("term")).distinct()
+    less = held.join(more, "mark").groupBy("term").agg(F.sum(1 - F.col("copies")).alias("n"))
+    return every.union(less).groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
+def told(documents: DataFrame, rows: DataFrame, classed: DataFrame, held: DataFrame) -> DataFrame:
+    """class, term for every term that discloses the entities of the class."""
+    marked = documents.where("text is not null").select(F.xxhash64("text").alias("mark"), "text")
+    copies = stored(marked.groupBy("mark").agg(F.count("*").alias("copies")), "copies")
+    total = max(copies.count(), 1)
+    near = beside(rows)
+    # The texts with entities alone hold most terms too often; only the others are looked up in the corpus.
+    local = near.groupBy("term").agg(F.count("*").alias("n_t"))
+    most = held.join(classed.select("class", "n_c").distinct(), "class").where(F.col("n_c") < total)
+    possible = near.join(local, "term").join(most, "key").where(_discloses(total, F.least("n_c", "n_t")))
+    pairs = possible.groupBy("class", "n_c", "term", "n_t").agg(F.count("*").alias("n_ct"))
+    pairs = stored(pairs.where(_discloses(total, F.col("n_ct"))).drop("n_t"), "disclosures")
     wanted = pairs.select("term").distinct()
-    spread = documents.select(F.explode(terms(F.col("text"))).alias("term")).join(wanted, "term")
-    spread = spread.groupBy("term").agg(F.count("*").alias("n_t"))
-    return pairs.join(spread, "term").where(_discloses(total)).select("entity", "term")
+    spread = spreads(marked, copies).join(wanted, "term")
+    return pairs.join(spread, "term").where(_discloses(total, F.col("n_ct"))).select("class", "term")
+
+
+def disclosing(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """entity, term for every term that discloses the entity."""
+    classed = classes(rows)
+    held = mentions(rows).join(classed, "entity").select("key", "class").distinct()
+    return classed.join(told(documents, rows, classed, held), "class").select("entity", "term")
 
 
-def _discloses(total: int) -> Column:
+def _discloses(total: int, n_ct: Column) -> Column:
     """Whether a term's information on an entity is the set part of the entity's own."""
-    mutual = F.log(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    return mutual >= DISCLOSURE * F.log(F.lit(float(total)) / F.col("n_c"))
+    alone = F.lit(float(total)) / F.col("n_c")
+    chance = (n_ct + PRIOR / alone) / (F.col("n_t") + PRIOR)
+    return F.log(chance * alone) >= DISCLOSURE * F.log(alone)
 
 
 def term_spans(text: Column, flagged: Column, spans: Column) -> Column:
     """Where the flagged terms stand in the text, outside the entities."""
-    words = F.filter(matches(text, r"\p{L}++", r"\p{L}"), lambda m: F.array_contains(flagged, F.lower(m["value"])))
+    any_ = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(flagged, "|"), F.lit(r")(?!\p{L})"))
+    words = F.filter(matches(text, any_, r"\p{L}"), lambda m: F.array_contains(flagged, F.lower(m["value"])))
     free = F.filter(
         words,
         lambda m: ~F.exists(spans, lambda s: (s["start"] < m["start"] + F.length(m["value"])) & (m["start"] < s["end"])),
@@ -174,10 +199,12 @@ def term_spans(text: Column, flagged: Column, spans: Column) -> Column:
 def found(documents: DataFrame) -> DataFrame:
     """doc_id, text (null without any span), base: the entities, spans: these and disclosing terms."""
     rows = scanned(documents)
-    told = disclosing(documents, rows)
+    classed = classes(rows)
+    held = stored(mentions(rows).join(classed, "entity").select("key", "class").distinct(), "held")
     with_entity = rows.where("key is not null")
-    per_text = with_entity.select("key", F.explode(F.transform("spans", entity)).alias("entity")).distinct()
-    flagged = per_text.join(told, "entity").groupBy("key").agg(F.collect_set("term").alias("flagged"))
+    passing = stored(told(documents, rows, classed, held), "told")
+    flagged = beside(rows).join(passing, "term").join(held, ["key", "class"])
+    flagged = flagged.groupBy("key").agg(F.collect_set("term").alias("flagged"))
     marked = with_entity.join(flagged, "key", "left")
     more = F.when(F.col("flagged").isNotNull(), term_spans(F.col("text"), F.col("flagged"), F.col("spans")))
     every = F.array_sort(F.concat("spans", F.coalesce(more, F.array().cast(SPAN))))

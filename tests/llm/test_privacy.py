@@ -112,6 +112,34 @@ def test_sanitised(documents):
     assert 0 not in texts
 
 
+def rare_entities(n=1200):
+    """Texts of common words; three entities in one or two texts each, far from the name."""
+    from random import Random
+
+    rng, words = Random(5), [a + b for a in ("bal", "cor", "dim", "fen", "gol", "hus") for b in ("tana", "reki", "silo", "mupa", "vedo")]
+    rows = [(i, " ".join(rng.choices(words, k=60)), "en", "a") for i in range(n)]
+    far = " ".join(words * 2)
+    rows.append((n, f"Beeblebrox wrote {far} 4111 1111 1111 1111 {far}", "en", "a"))
+    rows += [(n + 1 + i, f"Slartibartfast {far} ask fjord{'ab'[i]} of fj@example.com {i}", "en", "a") for i in range(2)]
+    # A name that as many texts without the address hold tells little of it; copies of them count once.
+    rows += [(n + 3 + i, f"Marvin {far} of marvin@example.com", "en", "a") for i in range(50)]
+    rows += [(n + 60 + i, f"Marvin {far} {i}", "en", "a") for i in range(3)]
+    return rows
+
+
+def test_entities_in_one_or_two_texts_are_disclosed(documents):
+    rows = rare_entities()
+    frame = documents(rows, clash=True)
+    pairs = {(r.entity, r.term) for r in p.disclosing(frame, p.scanned(frame)).collect()}
+    assert ("2:4111111111111111", "beeblebrox") in pairs and ("0:fj@example.com", "slartibartfast") in pairs
+    assert not any(e == "0:marvin@example.com" for e, _ in pairs)
+    assert not any(t[:3] in ("bal", "cor", "dim") for _, t in pairs)
+    found = {r.doc_id: r.spans.split(",") for r in p.judged(frame).collect()}
+    assert "term:0:10" in found[1200]
+    assert "term:0:14" in found[1201] and "term:0:14" in found[1202]
+    assert all("term" not in s for i in range(1203, 1253) for s in found[i])
+
+
 def test_odd_rows_and_empty_table(documents, odd_rows):
     assert p.judged(documents(odd_rows, clash=True)).count() == len(odd_rows)
     assert p.judged(documents([])).count() == 0
