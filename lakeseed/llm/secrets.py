@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns, and random strings that a token vocabulary compresses badly.
 
-Besides the fixed kinds, a run of at least ``MIN_RANDOM`` key characters that mixes letters and digits
-is a secret when it has fewer than ``MAX_RATIO`` characters a token under a public byte-pair vocabulary:
-words and code compress to three or four characters a token, random strings to less than two. Known
-digests (hexadecimal of a usual length, UUIDs) and identifiers (words with short numbers, joined by
-separators) are left out first, as are runs that touch a span found already.
+Besides the fixed kinds, a run of key characters that mixes letters and digits is a secret when it has
+fewer than ``MAX_RATIO`` characters a token under a public byte-pair vocabulary, as a whole or in a window of
+whole tokens of ``MIN_RANDOM`` characters or more: words and code compress to three or four characters a
+token, random strings to less than two. Windows find secrets joined to words by separators, as in paths and
+query strings; those that overlap are one span, from which words at the ends are left out and which ends at
+separators. Known digests (hexadecimal of a usual length, UUIDs) and identifiers (words with short numbers,
+joined by separators) are left out, and of runs that touch a span found already the touched part.
 
 Null texts have no spans; texts are scanned whole; repeated rows give repeated results; other columns
 are ignored.
@@ -14,6 +16,9 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import tiktoken
@@ -21,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-MIN_RANDOM = 20
+MIN_RANDOM = 16
 MAX_RATIO = 2.2
 #: A longer run is counted in pieces of so many characters, as one merge of it would take too long.
 PIECE = 256
@@ -36,6 +41,8 @@ RUN = re.compile(rf"[A-Za-z0-9+/=_-]{{{MIN_RANDOM},}}")
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: Digests and UUIDs within a run.
+KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Za-z0-9])")
 IDENTIFIER = re.compile(r"(?:[A-Za-z]*[0-9]{0,6}[+/=_-])*[A-Za-z]*[0-9]{0,6}")
 MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
 #: How the vocabulary cuts texts into words before merging.
@@ -74,17 +81,80 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def random_spans(text: str, taken: list[tuple[int, int, int]], coder: tiktoken.Encoding) -> list[tuple[int, int, int]]:
+def free_parts(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the taken places, in order, leave of a run, where it is long enough."""
+    for s, e in [*taken, (end, end)]:
+        if min(s, end) - start >= MIN_RANDOM:
+            yield start, min(s, end)
+        start = max(start, e)
+
+
+def dense(run: str, coder: tiktoken.Encoding) -> list[tuple[int, int]]:
+    """Where windows of whole tokens have a low ratio, joined, without words at the ends, up to separators."""
+    ends = [0]
+    for at in range(0, len(run), PIECE):
+        for token in coder.encode_ordinary(run[at : at + PIECE]):
+            ends.append(ends[-1] + len(coder.decode_single_token_bytes(token)))
+    found, last = [], 1
+    for first in range(len(ends) - 1):
+        while last < len(ends) and ends[last] - ends[first] < MIN_RANDOM:
+            last += 1
+        if last == len(ends):
+            break
+        if ends[last] - ends[first] < MAX_RATIO * (last - first):
+            if found and first <= found[-1][1]:
+                found[-1][1] = last
+            else:
+                found.append([first, last])
     spans = []
+    for first, last in found:
+        # A whole word, or no letter or digit, at an end is none of the secret.
+        while first < last and _aside(run, ends[first], ends[first + 1], ""):
+            first += 1
+        while first < last and _aside(run, ends[last - 1], ends[last], "="):
+            last -= 1
+        start, end = ends[first], ends[last]
+        while start and run[start - 1].isalnum() and run[start].isalnum():
+            start -= 1
+        while end < len(run) and run[end - 1].isalnum() and run[end].isalnum():
+            end += 1
+        if spans and start <= spans[-1][1]:
+            start = spans.pop()[0]
+        spans.append((start, end))
+    return spans
+
+
+def _aside(run: str, start: int, end: int, part: str) -> bool:
+    token = run[start:end]
+    if not any(c.isalnum() for c in token):
+        return not part or part not in token
+    alone = (start == 0 or not run[start - 1].isalnum()) and (end == len(run) or not run[end].isalnum())
+    return alone and end - start > MAX_RATIO
+
+
+def random_spans(text: str, taken: list[tuple[int, int, int]], coder: tiktoken.Encoding) -> list[tuple[int, int, int]]:
+    spans, begins, reach = [], [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
     for m in RUN.finditer(text):
-        run = m[0]
-        if not MIXED.match(run) or is_known(run) or any(s < m.end() and m.start() < e for s, _, e in taken):
+        if not MIXED.match(m[0]) or is_known(m[0]):
             continue
-        if ratio(run, coder) < MAX_RATIO:
-            spans.append((m.start(), 3, m.end()))
+        touched = [(s, e) for s, _, e in taken[bisect_right(reach, m.start()) : bisect_left(begins, m.end())]]
+        touched += [k.span() for k in KNOWN.finditer(text, m.start(), m.end()) if is_known(k[0]) and _digest(k[0])]
+        for start, end in free_parts(m.start(), m.end(), sorted(touched)):
+            run = text[start:end]
+            if not MIXED.match(run) or is_known(run):
+                continue
+            parts = [(0, len(run))] if ratio(run, coder) < MAX_RATIO else dense(run, coder)
+            for s, e in parts:
+                part = run[s:e]
+                if len(part) >= MIN_RANDOM and MIXED.match(part) and not is_known(part):
+                    spans.append((start + s, 3, start + e))
     return spans
 
 
+def _digest(part: str) -> bool:
+    return len(part) in DIGEST_SIZES or "-" in part
+
+
 def _written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 

@@ -56,6 +56,26 @@ def test_random_strings(found):
     assert found[10].spans == "" and found[11].spans == ""
 
 
+def test_random_strings_joined_to_words(documents):
+    before = ["/documentation/configuration/reset/", "/services/notifications/callback/", "--authorization-header=", "https://example.com/account/password/reset/", "/search/results?language=english&session="]
+    texts = [f"see {b}{key} and more" for b in before for key in (RANDOM, RANDOM[:16])]
+    texts += [f"see {before[0]}{RANDOM}/services/notifications/callback/international end"]
+    texts += ["0123456789abcdef0/" + RANDOM, RANDOM + "-AKIA" + "B" * 14]
+    found = {r.doc_id: r.spans.split(",") for r in s.found(documents(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        key = RANDOM if RANDOM in text else RANDOM[:16]
+        at = text.index(key)
+        spans = [span.split(":") for span in found[i] if span.startswith("random")]
+        assert any(int(a) <= at and at + len(key) <= int(b) for _, a, b in spans), text
+    plain = [
+        "https://example.com/2024/10/12/some-long-article-title-about-things-part-2",
+        "/documentation/configuration/D41D8CD98F00B204E9800998ECF8427E/reset",
+        "/account/F81D4FAE-7DEC-11D0-A765-00A0C91E6BF6/notifications/page-2",
+    ]
+    found = {r.doc_id: r.spans for r in s.found(documents(list(enumerate(plain)))).collect()}
+    assert not any(found.values())
+
+
 def test_ratio_tells_words_from_random_strings():
     coder = s.encoder(s.read_vocabulary())
     assert s.ratio(RANDOM, coder) < s.MAX_RATIO < s.ratio("international-business", coder)
