@@ -1,10 +1,11 @@
 """Language identification with bit-sliced Bloom filters over letter n-grams.
 
-Learning counts the letter 3-grams of every labelled text per language. A language holds its ``GRAMS``
-most frequent ones, without those whose share is below ``LEAST`` of their share in another language. All languages share one Bloom filter whose rows are bit masks with a bit for each
-language: the AND of a 3-gram's ``HASHES`` rows is the set of languages that hold it. A text sums these
-bits over all its 3-grams; each language's share of hits is corrected for the share that chance would
-give (its rows' fill to the power of ``HASHES``), and the largest corrected share decides. Ties go to the
+Learning counts the letter 3-grams of every labelled text per language, and a language holds all of its
+own; those are also typical of it whose share is no less than ``LEAST`` of their share in any other language.
+All languages share one Bloom filter whose rows are bit masks with two bits for each language, for its n-grams
+and its typical ones: the AND of a 3-gram's ``HASHES`` rows is the set of languages that hold it. A text sums
+these bits over all its 3-grams; each share of hits is corrected for the share that chance would give (its
+rows' fill to the power of ``HASHES``), and the largest mean of a language's two shares decides. Ties go to the
 language that comes first by name.
 
 A null text, or one without a letter, is ``und`` with score 0. Texts whose 3-grams no language holds get
@@ -24,15 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRAMS = 4000
+from lakeseed.workspace import stored
+
 LEAST = 0.25
-#: Rows of the filter; with three hashes and 4000 n-grams at most 9 % of a language's bits are set.
+#: Rows of the filter at least, and for each n-gram of the largest language; at most 18 % of its bits are set.
 ROWS = 1 << 17
+ROWS_PER_GRAM = 16
 HASHES = 3
 PIECE = 1 << 19
 UNKNOWN = "und"
-#: Texts below this corrected share of the best language are rejected.
-MIN_SCORE = 0.3
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,10 +59,11 @@ def grams(text: str, table: np.ndarray) -> Iterator[np.ndarray]:
 
 def places(packed: np.ndarray, rows: int = ROWS) -> list[np.ndarray]:
     """The rows of the filter that each n-gram is hashed to."""
-    mixed = packed * MULTIPLIER
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * MULTIPLIER
-    bits = np.uint64(rows.bit_length() - 1)
-    return [((mixed >> (np.uint64(64) - bits * np.uint64(i + 1))) & np.uint64(rows - 1)).astype(np.int64) for i in range(HASHES)]
+    mixed, out = packed * MULTIPLIER, []
+    for _ in range(HASHES):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * MULTIPLIER
+        out.append((mixed >> np.uint64(65 - rows.bit_length())).astype(np.int64))
+    return out
 
 
 @dataclass(frozen=True)
@@ -78,25 +80,30 @@ class Model:
         for number, language in enumerate(languages):
             for place in places(sets[language], rows):
                 slices[number // 64][place] |= np.uint64(1 << number % 64)
-        fill = [((slices[n // 64] >> np.uint64(n % 64)) & np.uint64(1)).mean() for n in range(len(languages))]
+        return cls.from_slices(languages, commonest, slices, len(languages))
+
+    @classmethod
+    def from_slices(cls, languages: list[str], commonest: str, slices: list[np.ndarray], bits: int) -> Model:
+        fill = [((slices[n // 64] >> np.uint64(n % 64)) & np.uint64(1)).mean() for n in range(bits)]
         return cls(languages, commonest, slices, np.array(fill) ** HASHES)
 
     def counts(self, packed: np.ndarray) -> np.ndarray:
-        """How many of the n-grams each language holds."""
+        """How many of the n-grams each bit holds: those of all languages, then their typical ones."""
         where = places(packed, len(self.slices[0])) if self.slices else []
         masks = [s[where[0]] & s[where[1]] & s[where[2]] for s in self.slices]
         return np.array(
-            [np.count_nonzero(masks[n // 64] & np.uint64(1 << n % 64)) for n in range(len(self.languages))], np.int64
+            [np.count_nonzero(masks[n // 64] & np.uint64(1 << n % 64)) for n in range(len(self.chance))], np.int64
         )
 
     def predict(self, text: str | None, table: np.ndarray) -> tuple[str, float]:
-        n, hits = 0, np.zeros(len(self.languages), np.int64)
+        n, hits = 0, np.zeros(len(self.chance), np.int64)
         for packed in grams(text or "", table):
             n += len(packed)
             hits += self.counts(packed)
         if not n or not self.languages:
             return UNKNOWN, 0.0
         share = np.clip((hits / n - self.chance) / (1 - self.chance), 0, 1)
+        share = share.reshape(-1, len(self.languages)).mean(axis=0)
         best = int(share.argmax())
         return (self.languages[best], float(share[best])) if share[best] > 0 else (self.commonest, 0.0)
 
@@ -117,19 +124,39 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return usable.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(rows: DataFrame, top: int = GRAMS) -> Model:
-    """A model from all rows of (text, lang); the driver gets ``top`` n-grams of each language."""
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    counts = gram_counts(rows)
-    shares = counts.join(counts.groupBy("lang").agg(F.sum("n").alias("mass")), "lang")
-    shares = shares.withColumn("share", F.col("n") / F.col("mass"))
-    most = F.max("share").over(Window.partitionBy("gram"))
-    ranked = shares.withColumn("most", most).where(F.col("share") >= LEAST * F.col("most"))
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    held = ranked.select("lang", "gram", "n").toPandas()
-    sets = {language: part.gram.to_numpy(np.uint64) for language, part in held.groupby("lang")}
-    mass = held.groupby("lang").n.sum()
-    return Model.of(sets, min(sets, key=lambda s: (-mass[s], s)) if sets else UNKNOWN)
+def set_bits(counts: DataFrame, languages: list[str], rows: int) -> DataFrame:
+    """slice, place, mask for every row of the filter with bits, over all (lang, gram, typical)."""
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = {language: n for n, language in enumerate(languages)}
+        for batch in batches:
+            number = batch.lang.map(numbers).to_numpy(np.int64)
+            number = np.concatenate([number, number[batch.typical.to_numpy(bool)] + len(languages)])
+            gram = np.concatenate([batch.gram, batch.gram[batch.typical]]).astype(np.uint64)
+            mask = (np.uint64(1) << (number % 64).astype(np.uint64)).view(np.int64)
+            for place in places(gram, rows):
+                yield pd.DataFrame({"slice": number // 64, "place": place, "mask": mask})
+
+    found = counts.select("lang", "gram", "typical").mapInPandas(bits, "slice long, place long, mask long")
+    return found.groupBy("slice", "place").agg(F.bit_or("mask").alias("mask"))
+
+
+def learn(rows: DataFrame) -> Model:
+    """A model from all rows of (text, lang); the driver gets the languages and the rows of the filter."""
+    counts = stored(gram_counts(rows), "grams")
+    known = counts.groupBy("lang").agg(F.sum("n").alias("mass"), F.count("*").alias("grams")).collect()
+    if not known:
+        return Model.of({}, UNKNOWN)
+    languages = sorted(row.lang for row in known)
+    size = max(ROWS, 1 << (ROWS_PER_GRAM * max(row.grams for row in known) - 1).bit_length())
+    slices = [np.zeros(size, np.uint64) for _ in range(0, 2 * len(languages), 64)]
+    share = F.col("n") / F.col("mass")
+    shares = counts.join(counts.groupBy("lang").agg(F.sum("n").alias("mass")), "lang").withColumn("share", share)
+    typical = F.col("share") >= LEAST * F.max("share").over(Window.partitionBy("gram"))
+    held = set_bits(shares.withColumn("typical", typical), languages, size).toPandas()
+    for number, part in held.groupby("slice"):
+        slices[number][part.place.to_numpy()] = part["mask"].to_numpy(np.int64).view(np.uint64)
+    return Model.from_slices(languages, min(known, key=lambda row: (-row.mass, row.lang)).lang, slices, 2 * len(languages))
 
 
 def predicted(text: Column, model: Model, spark) -> Column:
@@ -161,4 +188,4 @@ def accepted(documents: DataFrame) -> DataFrame:
     """The documents whose language is recognised, with all their columns."""
     model = learn(documents.where(~held_out(documents["doc_id"])))
     found = predicted(documents["text"], model, documents.sparkSession)
-    return documents.where((found["lang"] != UNKNOWN) & (found["score"] >= MIN_SCORE))
+    return documents.where(found["lang"] != UNKNOWN)

@@ -62,6 +62,28 @@ def test_bit_slices_hold_their_sets_for_many_languages():
     assert np.allclose(model.counts(none) / 20_000, model.chance, atol=0.005)
 
 
+def many_letters(rng, n=400):
+    """A text over 3,000 letters, nearly every 3-gram of which occurs once."""
+    return "".join(chr(0x4E00 + c) for c in rng.integers(0, 3000, n))
+
+
+def test_languages_of_many_letters_are_held_whole(spark, documents, corpus):
+    rng = np.random.default_rng(3)
+    long = [(1000 + i, many_letters(rng), "zh", "s") for i in range(60)]
+    frame = documents(corpus + long)
+    model = g.learn(frame)
+    assert model.languages == ["de", "en", "es", "zh"] and model.chance.max() < 0.01
+    table = g.letters()
+    for _, text, *_ in long:
+        packed = np.concatenate(list(g.grams(text, table)))
+        assert model.counts(packed)[3] == len(packed)
+        assert model.predict(text, table) == ("zh", 1.0)
+    # New texts of its letters are few of the learned 3-grams, and are kept.
+    new = [(2000 + i, many_letters(rng), None, "s") for i in range(20)]
+    kept = {r.doc_id for r in g.accepted(documents(corpus + long + new)).collect()}
+    assert kept >= {i for i, *_ in new}
+
+
 def test_no_letter_and_odd_rows(documents, corpus, odd_rows):
     rows = [(100, None, "en", "s"), (101, "12 34 !", "en", "s"), (102, "é", None, "s"), (103, "the and", None, "s")]
     found = {r.doc_id: r for r in g.identified(documents(corpus + rows)).collect()}
