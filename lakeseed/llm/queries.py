@@ -39,7 +39,7 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mixed(_table(spark, folder, "documents").select("doc_id", "source"))
+    return mixing.mixed(_table(spark, folder, "documents"))
 
 
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:

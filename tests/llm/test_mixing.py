@@ -68,3 +68,13 @@ def test_odd_rows_and_empty_table(documents, odd_rows):
     assert found.count() == len(odd_rows)
     assert found.columns == [c for c in frame.columns if c not in m.NEW] + list(m.NEW)
     assert m.mixed(documents([])).count() == 0
+
+
+def test_query_mixes_whole_documents(spark):
+    from lakeseed.llm.queries import op6_mixing
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    mixed = op6_mixing(spark, folder)
+    assert mixed.columns == [*docs.columns, *m.NEW]
+    assert mixed.select(docs.columns).exceptAll(docs).count() == 0 and mixed.count() == docs.count()
