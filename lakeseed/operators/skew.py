@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from operator import and_
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from lakeseed.workspace import new_path
+from lakeseed.workspace import bucketed
 
 
 def ordered_scan(
@@ -90,16 +89,9 @@ def split_by_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     sample. They are written in buckets by part: later steps by key and part need no
     second shuffle.
     """
-    spark = rows.sparkSession
     marked = rows.withColumn("_copy", F.spark_partition_id())
     placed = marked.repartitionByRange(*keys, *order, "_copy").withColumn("_part", F.spark_partition_id())
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, path = f"ordered_{uuid.uuid4().hex}", new_path(spark, "ordered")
-    placed.write.bucketBy(parts, "_part").option("path", path).saveAsTable(name)
-    split = spark.table(name)
-    # The frame keeps its files and buckets; the name is not needed any more.
-    spark.sql(f"DROP TABLE {name}")
-    return split
+    return bucketed(placed, "_part", "ordered")
 
 
 def last_before(

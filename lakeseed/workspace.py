@@ -80,3 +80,15 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     path = new_path(rows.sparkSession, label)
     rows.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
+
+
+def bucketed(rows: DataFrame, column: str, label: str) -> DataFrame:
+    """Like ``stored``, in buckets by a column, so that later steps by that column exchange nothing of the rows."""
+    spark = rows.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"{label}_{uuid.uuid4().hex}", new_path(spark, label)
+    rows.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    made = spark.table(name)
+    # The frame keeps its files and buckets; the name is not needed any more.
+    spark.sql(f"DROP TABLE {name}")
+    return made
