@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeseed.llm import decontaminate, jaccard, language, mixing, outliers, privacy, quality, repeats, secrets, urls
+from lakeseed.llm import (
+    conversations,
+    decontaminate,
+    divergence,
+    jaccard,
+    language,
+    mixing,
+    outliers,
+    packing,
+    privacy,
+    quality,
+    repeats,
+    secrets,
+    urls,
+)
 from lakeseed.session import configure
 
 
@@ -58,6 +72,18 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judged(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.nodes(_table(spark, folder, "conversations"))
+
+
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audited(_table(spark, folder, "documents"))
+
+
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_outliers": op1_outliers,
     "op2_jaccard": op2_jaccard,
@@ -69,6 +95,9 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_privacy": op9_privacy,
     "op10_decontaminate": op10_decontaminate,
+    "op11_conversations": op11_conversations,
+    "op12_divergence": op12_divergence,
+    "op13_packing": op13_packing,
 }
 
 CHECKS = {
@@ -167,4 +196,75 @@ CHECKS = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM texts LEFT JOIN hit USING (row_id) LEFT JOIN named USING (row_id)
     """,
+    "op11_conversations": r"""
+        WITH own AS (
+            SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place
+            FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                    lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384::BIGINT))) % 4 AS head
+            FROM (SELECT DISTINCT conv_id FROM own)),
+        rebuilt AS (
+            SELECT c.conv_id, 0 AS part, place, said FROM convs c JOIN own o ON o.conv_id = c.base AND place <= head
+            UNION ALL
+            SELECT c.conv_id, 1, place, said FROM convs c JOIN own o ON o.conv_id = c.conv_id AND place > head),
+        whole AS (
+            SELECT conv_id, coalesce(list(said ORDER BY part, place) FILTER (said IS NOT NULL), []) AS turns
+            FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id),
+        members AS (
+            SELECT conv_id, depth, turns[1:depth] AS path, len(turns) = depth AS over
+            FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS depth FROM whole)),
+        nodes AS (
+            SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n,
+                   string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (over) AS ids
+            FROM members GROUP BY path, depth),
+        kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        told AS (
+            SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE
+                   (n - 1) * len(regexp_extract_all(path[-1].text, '[^\x20\x09-\x0D]+')) END AS saved
+            FROM nodes LEFT JOIN kids USING (path)),
+        sums AS (
+            SELECT path[1:above] AS path, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+            FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM told) GROUP BY 1)
+        SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n AS n_convs, t.n_children, n_leaves,
+               saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(t.ids, '')) AS ends_sha256
+        FROM told t JOIN sums USING (path) LEFT JOIN nodes p ON t.depth > 0 AND p.path = t.path[1:t.depth - 1]
+    """,
+    "op12_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   unnest(list_append(regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), NULL)) AS term
+            FROM documents),
+        kept AS (
+            SELECT lang, term, count(*)::HUGEINT AS n FROM docs WHERE term IS NOT NULL
+            GROUP BY lang, term HAVING count(DISTINCT row_id) >= 30),
+        langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        held AS (SELECT lang, source, term, count(*) AS n FROM docs JOIN kept USING (lang, term) GROUP BY ALL),
+        totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM held GROUP BY ALL),
+        shares AS (
+            SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n,
+                   1 + (1000000000::HUGEINT * (coalesce(h.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * l.v) AS p,
+                   1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+            FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang)
+            LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term
+            LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source),
+        sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+        WHERE part = 'pair' OR rank <= 50
+    """,
 }
