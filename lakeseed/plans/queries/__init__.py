@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeseed.plans.queries import catalogs, inputs, keyed, scalars, streams, surface, vectors, writes
+from lakeseed.plans.queries import catalogs, inputs, intervals, keyed, scalars, streams, surface, vectors, writes
 from lakeseed.session import configure
 
-MODULES = (vectors, writes, keyed, inputs, catalogs, scalars, streams, surface)
+MODULES = (vectors, writes, keyed, inputs, catalogs, scalars, streams, surface, intervals)
 
 
 def _configured(query):
