@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeseed.sources.tables import read_table, table_path
@@ -41,9 +41,9 @@ def stream_fanout(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def first_error(spark: SparkSession, folder: str) -> DataFrame:
-    """Each user is a stream: errors and signups fail in two ways, clicks are cut off."""
-    body = (
+def message_body() -> Column:
+    """An event as a message: errors and signups fail in two ways, clicks are cut off."""
+    return (
         F.when(F.col("event_type") == "error", F.to_json(F.struct(F.col("props").alias("error"))))
         .when(
             F.col("event_type") == "signup",
@@ -52,7 +52,11 @@ def first_error(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("event_type") == "click", F.regexp_replace("props", r"\}$", ""))
         .otherwise(F.col("props"))
     )
-    messages = read_table(spark, folder, "events").select("user_id", "event_id", body.alias("body"))
+
+
+def first_error(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user is a stream of messages."""
+    messages = read_table(spark, folder, "events").select("user_id", "event_id", message_body().alias("body"))
     return find_first_error(messages, "user_id", "event_id", "body")
 
 

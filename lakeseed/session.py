@@ -12,6 +12,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even where that adds a shuffle before a later aggregate.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Keyed state with timers needs a store on disk; it also takes more state than memory holds.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Of a field that a JSON text repeats the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

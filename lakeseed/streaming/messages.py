@@ -29,12 +29,11 @@ def _text(parsed: str, path: str) -> Column:
     return F.nullif(F.try_variant_get(parsed, path, "string"), F.lit(""))
 
 
-def first_error(messages: DataFrame, stream: str, seq: str, body: str) -> DataFrame:
-    """First error of each stream: ``stream, seq, message``; a stream without one has no row.
+def failures(messages: DataFrame, stream: str, seq: str, body: str) -> DataFrame:
+    """The messages that fail: ``stream, seq, message``. Rows are judged one by one, so messages may be a stream.
 
     A message fails by a non-empty ``error``, else a non-empty ``errorDetail.message``,
-    and also by not being a readable message at all. Partial minima keep a stream with
-    very many messages from ever being gathered in one place. White space is no message,
+    and also by not being a readable message at all. White space is no message,
     and of a repeated field the last one counts.
     """
     filled = messages.where(trim_space(F.col(body)) != "")
@@ -43,5 +42,13 @@ def first_error(messages: DataFrame, stream: str, seq: str, body: str) -> DataFr
     failure = F.when(
         _unreadable(body, "_doc"), F.concat(F.lit("malformed message: "), F.col(body))
     ).otherwise(F.coalesce(_text("_doc", "$.error"), _text("_doc", "$.errorDetail.message")))
-    failed = parsed.select(stream, seq, F.explode(F.array_compact(F.array(failure))).alias("message"))
+    return parsed.select(stream, seq, F.explode(F.array_compact(F.array(failure))).alias("message"))
+
+
+def first_error(messages: DataFrame, stream: str, seq: str, body: str) -> DataFrame:
+    """First error of each stream: ``stream, seq, message``; a stream without one has no row.
+
+    Partial minima keep a stream with very many messages from ever being gathered in one place.
+    """
+    failed = failures(messages, stream, seq, body)
     return failed.groupBy(stream).agg(F.min(seq).alias(seq), F.min_by("message", seq).alias("message"))
