@@ -23,9 +23,10 @@ pieces.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import public_tokenizers
@@ -44,11 +45,14 @@ WINDOW = 2048
 #: Tokens of a block; WINDOW is a multiple of it, and both are powers of two.
 BLOCK = 512
 #: Strings between white space that a task remembers the tokens of, and the longest such string.
-REMEMBERED, LONGEST = 300_000, 64
-#: Words that reach the tokenizer at once, and rows of a batch of pieces.
-BATCH, ROWS = 20_000, 50_000
+REMEMBERED, LONGEST = 400_000, 64
+#: Rows of a batch of pieces.
+ROWS = 50_000
 
-SPACE = re.compile("[ \t\r\n]+")
+SPACE, OTHER = re.compile("[ \t\r\n]+"), re.compile("[\x1c-\x1f]")
+#: ASCII and Latin letters without marks of their own, and how the tokenizer cuts them once they are lower case.
+PLAIN = re.compile("[!-~\u00c0-\u024f]*")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
 def read_vocabulary(path: str = VOCABULARY) -> str:
@@ -57,34 +61,63 @@ def read_vocabulary(path: str = VOCABULARY) -> str:
         return lines.read()
 
 
-def encoder(vocabulary: str) -> Callable[[str], bytes]:
-    """A function from a text to its tokens as 16-bit little-endian numbers.
+class Encoder:
+    """From texts to their tokens, as 16-bit little-endian numbers.
 
     The tokenizer drops white space and merges nothing across it, so the strings between white space are
-    encoded by themselves, and each of them once while it is remembered.
+    encoded by themselves, and each of them once while it is remembered. Of those in plain Latin letters
+    (``PLAIN``) also the pieces are remembered, as the tokenizer cuts them before it merges; others it
+    encodes as a whole.
     """
-    model = Tokenizer.from_str(vocabulary)
-    if model.get_vocab_size() > 1 << 16:
-        raise ValueError("tokens must be 16-bit numbers")
-    known: dict[str, bytes] = {}
-
-    def learn(words: list[str]) -> dict[str, bytes]:
-        found = model.encode_batch_fast(words, add_special_tokens=False)
-        return {word: np.array(one.ids, "<u2").tobytes() for word, one in zip(words, found, strict=True)}
-
-    def encode(text: str) -> bytes:
-        words = SPACE.split(text)
-        new = list({word for word in words if word not in known})
-        once: dict[str, bytes] = {}
-        for at in range(0, len(new), BATCH):
-            for word, ids in learn(new[at : at + BATCH]).items():
-                (known if len(word) <= LONGEST else once)[word] = ids
-        out = b"".join(map(known.__getitem__, words)) if not once else b"".join(known.get(w) or once.get(w, b"") for w in words)
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
 
-    return encode
+    def __init__(self, vocabulary: str) -> None:
+        self.whole = Tokenizer.from_str(vocabulary)
+        if self.whole.get_vocab_size() > 1 << 16:
+            raise ValueError("tokens must be 16-bit numbers")
+        self.bytes = byte_letters()
+        self.merge = self.whole.model.tokenize
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
+        # Python's own white space holds four characters that are none for the tokenizer.
+        words = SPACE.split(text) if OTHER.search(text) else text.split()
+        known = self.words
+        new = {word for word in words if word not in known}
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = set(words)
+        once = {}
+        for word in new:
+            (known if len(word) <= LONGEST else once)[word] = self._word(word)
+        if once:
+            return b"".join(known.get(word) or once.get(word, b"") for word in words)
+        return b"".join(map(known.__getitem__, words))
+
+    def _word(self, word: str) -> bytes:
+        if not PLAIN.fullmatch(word) or "<|" in word:
+            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+        word = word.lower()
+        return self._piece(word) if word.isalpha() else b"".join(map(self._piece, PIECES.findall(word)))
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            letters = piece if piece.isascii() else "".join(map(self.bytes.__getitem__, piece.encode()))
+            found = [token.id for token in self.merge(letters)]
+            ids = struct.pack(f"<{len(found)}H", *found)
+            if len(piece) <= LONGEST:
+                self.pieces[piece] = ids
+        return ids
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte before merging: itself if it can be seen, else one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [byte for byte in range(256) if byte not in set(seen)]
+    return {byte: chr(byte) for byte in seen} | {byte: chr(256 + n) for n, byte in enumerate(rest)}
 
 
 def tokenised(documents: DataFrame, vocabulary: str) -> DataFrame:
@@ -92,7 +125,7 @@ def tokenised(documents: DataFrame, vocabulary: str) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded, end, part = encoder(sent.value), np.array([END], "<u2").tobytes(), TaskContext.get().partitionId()
+        encoded, end, part = Encoder(sent.value), np.array([END], "<u2").tobytes(), TaskContext.get().partitionId()
         done: Counter[str] = Counter()
         for batch in batches:
             ids = [encoded(text or "") + end for text in batch["text"].to_pylist()]
