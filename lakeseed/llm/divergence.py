@@ -44,7 +44,6 @@ RANGE, TILE = 4_096, 64
 HELD = 400_000
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-UPPER = {code: code + 32 for code in range(ord("A"), ord("Z") + 1)}
 COUNTS = "lang string, source string, term string, n long, df long"
 
 
@@ -55,29 +54,30 @@ def counted(documents: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[tuple] = Counter()
-        df: Counter[tuple] = Counter()
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         for batch in batches:
             for lang, source, text in zip(*(batch[name].to_pylist() for name in ("lang", "source", "text")), strict=True):
-                n[lang, source, None] += 0
-                for term, times in Counter(TERM.findall(text.translate(UPPER))).items():
-                    n[lang, source, term] += times
-                    df[lang, source, term] += 1
-                if len(n) > HELD:
-                    yield _rows(n, df)
-                    n, df = Counter(), Counter()
-        yield _rows(n, df)
+                n, df = held.setdefault((lang, source), (Counter(), Counter()))
+                # Bytes know no capitals but A-Z.
+                terms = TERM.findall(text.encode().lower().decode())
+                n.update(terms)
+                df.update(set(terms))
+            if sum(len(n) for n, _ in held.values()) > HELD:
+                yield from _rows(held)
+                held = {}
+        yield from _rows(held)
 
     rows = documents.select(*(F.coalesce(name, F.lit("")).alias(name) for name in ("lang", "source", "text")))
     every = rows.mapInArrow(count, COUNTS).groupBy("lang", "source", "term")
     return stored(every.agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "counts")
 
 
-def _rows(n: Counter, df: Counter) -> pa.RecordBatch:
-    langs, sources, terms = zip(*n, strict=True) if n else ((), (), ())
-    columns = [pa.array(list(c), pa.string()) for c in (langs, sources, terms)]
-    columns += [pa.array(list(n.values()), pa.int64()), pa.array([df[key] for key in n], pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "df"])
+def _rows(held: dict) -> Iterator[pa.RecordBatch]:
+    for (lang, source), (n, df) in held.items():
+        terms = [None, *n]
+        columns = [pa.array([name] * len(terms), pa.string()) for name in (lang, source)]
+        columns += [pa.array(terms, pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(df.__getitem__, n)], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "df"])
 
 
 def share(count: Column | str, total: Column | str, kept: Column | str) -> Column:
@@ -185,7 +185,8 @@ def audited(documents: DataFrame) -> DataFrame:
     known = kept.select("lang", "term", F.col("n").alias("whole"), "range")
     cells = stored(counts.where("n > 0").drop("df").join(known, ["lang", "term"]), "cells")
     groups = stored(grouped(counts, kept, cells), "groups")
-    sums = kept.groupBy("lang").agg(F.sum("n").alias("all"))
+    # A row for each language, written so that its size is known when it is joined.
+    sums = stored(kept.groupBy("lang").agg(F.sum("n").alias("all")), "sums")
     cells = cells.join(groups.drop("zero"), ["lang", "source"]).withColumn("share", share("n", "total", "V"))
 
     apart = cells.join(sums, "lang").withColumn("value", F.col("share") - share("whole", "all", "V")).where("value > 0")

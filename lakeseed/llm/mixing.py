@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeseed.workspace import stored
+
 BLOCK_ROWS = 64
 #: Rows that a task ranks at a time; a source of any size is ranked in parts of about this size.
 RANK_ROWS = 4096
@@ -70,6 +72,8 @@ def ranked(rows: DataFrame, total: int) -> DataFrame:
     sizes = sizes.select(
         F.col("source").alias("_source"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
+    # A row for each part, written so that its size is known: while it is small, whole rows are exchanged once.
+    sizes = stored(sizes, "sizes")
     within = F.row_number().over(Window.partitionBy("source", "_part").orderBy("_hash", "doc_id"))
     counted = counted.withColumn("_within", within)
     same = counted["source"].eqNullSafe(sizes["_source"]) & (counted["_part"] == sizes["_of"])

@@ -48,10 +48,12 @@ BLOCK = 512
 REMEMBERED, LONGEST = 400_000, 64
 #: Rows of a batch of pieces.
 ROWS = 50_000
+#: How the names of special tokens begin.
+SPECIAL = "<|"
 
 SPACE, OTHER = re.compile("[ \t\r\n]+"), re.compile("[\x1c-\x1f]")
 #: ASCII and Latin letters without marks of their own, and how the tokenizer cuts them once they are lower case.
-PLAIN = re.compile("[!-~\u00c0-\u024f]*")
+PLAIN = re.compile("[ \t\r\n!-~\u00c0-\u024f]*")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
@@ -80,6 +82,11 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
+        plain = PLAIN.fullmatch(text) is not None and SPECIAL not in text
+        if plain:
+            text, encode = text.lower(), self._plain
+        else:
+            encode = self._word
         # Python's own white space holds four characters that are none for the tokenizer.
         words = SPACE.split(text) if OTHER.search(text) else text.split()
         known = self.words
@@ -89,15 +96,17 @@ class Encoder:
             new = set(words)
         once = {}
         for word in new:
-            (known if len(word) <= LONGEST else once)[word] = self._word(word)
+            (known if len(word) <= LONGEST else once)[word] = encode(word)
         if once:
             return b"".join(known.get(word) or once.get(word, b"") for word in words)
         return b"".join(map(known.__getitem__, words))
 
     def _word(self, word: str) -> bytes:
-        if not PLAIN.fullmatch(word) or "<|" in word:
-            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
-        word = word.lower()
+        if PLAIN.fullmatch(word) and SPECIAL not in word:
+            return self._plain(word.lower())
+        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _plain(self, word: str) -> bytes:
         return self._piece(word) if word.isalpha() else b"".join(map(self._piece, PIECES.findall(word)))
 
     def _piece(self, piece: str) -> bytes:
