@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeseed.plans.queries import analytics, catalogs, inputs, intervals, keyed, scalars, streams, surface, timed, vectors, writes
+from lakeseed.plans.queries import analytics, catalogs, extended, inputs, intervals, keyed, scalars, streams, surface, timed, vectors, writes
 from lakeseed.session import configure
 
-MODULES = (vectors, writes, keyed, inputs, catalogs, scalars, streams, surface, intervals, timed, analytics)
+MODULES = (vectors, writes, keyed, inputs, catalogs, scalars, streams, surface, intervals, timed, analytics, extended)
 
 
 def _configured(query):

@@ -47,7 +47,7 @@ SELECT o_custkey, o_orderkey, o_totalprice, place FROM (
          CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place
   FROM orders) ranked WHERE place <= 3""",
     "p_setops": """
-SELECT CASE WHEN documents = 0 THEN 'labelled' WHEN labels = 0 THEN 'unlabelled' ELSE 'both' END AS kind, doc_id
+SELECT explode(CASE WHEN documents = 0 THEN array('any') WHEN labels = 0 THEN array('any', 'unlabelled') ELSE array('any', 'both') END) AS kind, doc_id
 FROM (SELECT doc_id, sum(document) AS documents, sum(label) AS labels
       FROM (SELECT doc_id, 1 AS document, 0 AS label FROM documents
             UNION ALL SELECT doc_id, 0 AS document, 1 AS label FROM labels) tagged
@@ -140,11 +140,11 @@ SELECT 'without' AS kind, c_mktsegment, count(*) AS customers
 FROM customer ANTI JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 400000) big
   ON o_custkey = c_custkey GROUP BY c_mktsegment""",
     "p_setops": """
-SELECT 'both' AS kind, doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
+SELECT 'both' AS kind, doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) a
 UNION ALL
-SELECT 'unlabelled' AS kind, doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+SELECT 'unlabelled' AS kind, doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) b
 UNION ALL
-SELECT 'labelled' AS kind, doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)""",
+SELECT 'any' AS kind, doc_id FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels) c""",
     "p_join_multiway": FORWARDED["p_join_multiway"].replace("sum(orders)", "sum(orders)::BIGINT"),
     "p_date_bucket": FORWARDED["p_date_bucket"].replace("SELECT date_trunc('day', ts)", "SELECT date_trunc('day', ts)::TIMESTAMP"),
     "p_correlated": """

@@ -1,0 +1,129 @@
+"""Python aggregates and table functions, search in cells and reachability against plain versions."""
+
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from lakeseed.operators import aggregates, cells
+from lakeseed.operators.aggregates import LongestStreak, aggregated
+from lakeseed.operators.cells import build_index, nearest_in_cells
+from lakeseed.operators.funnels import funnels
+from lakeseed.operators.reach import reached
+from lakeseed.operators.vectors import Collection, nearest
+
+
+def plain_streak(numbers):
+    best = 0
+    for n in numbers:
+        if n - 1 not in numbers:
+            length = 1
+            while n + length in numbers:
+                length += 1
+            best = max(best, length)
+    return best
+
+
+def test_streaks_of_hot_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "HELD", 2)
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.choice([1, 2]), rng.choice([None, *range(400)])) for _ in range(900)]
+    rows += [("empty", 1, None)]
+    frame = spark.createDataFrame(rows, "k string, l int, day int").repartition(7)
+    found = {(r.k, r.l): r.streak for r in aggregated(frame, ["k", "l"], ["day"], LongestStreak(), "streak").collect()}
+    held = defaultdict(set)
+    for k, l, day in rows:
+        held[k, l] |= {day} - {None}
+    assert found == {key: plain_streak(days) for key, days in held.items()} and found["empty", 1] == 0
+    assert aggregated(frame.limit(0), ["k", "l"], ["day"], LongestStreak(), "streak").count() == 0
+
+
+def test_hot_keys_are_a_state_for_each_task(spark):
+    rows = spark.range(100_000).selectExpr("0 AS k", "id % 1000 AS day").repartition(6)
+    plan = aggregated(rows, ["k"], ["day"], LongestStreak(), "streak")._jdf.queryExecution().executedPlan().toString()
+    # What is exchanged by key comes after the tasks' own folding.
+    assert plan.index("hashpartitioning(k") < plan.index("MapInArrow")
+
+
+def test_streaks_refuse_numbers_out_of_range(spark):
+    frame = spark.createDataFrame([("a", -1)], "k string, day int")
+    with pytest.raises(Exception, match="must lie from 0"):
+        aggregated(frame, ["k"], ["day"], LongestStreak(), "streak").collect()
+
+
+def test_funnels_of_hot_keys(spark):
+    rng = random.Random(4)
+    rows = [(n, rng.choice([1] * 9 + [2, 3, None]), rng.choice([None, *range(300)]), rng.choice(["a", "b", "c", "x", None])) for n in range(1500)]
+    frame = spark.createDataFrame(rows, "id long, k long, at long, what string").repartition(6)
+    found = {r.k: (r.taken, r.completed) for r in funnels(frame, "k", ["at", "id"], "what", ["a", "b", "c"]).collect()}
+    taken = {k: 0 for _, k, _, _ in rows}
+    for _, k, _, what in sorted(rows, key=lambda r: (r[2] is not None, r[2], r[0])):
+        taken[k] += what == "abc"[taken[k] % 3]
+    assert found == {k: (n, n // 3) for k, n in taken.items()}
+    assert funnels(frame.limit(0), "k", ["at", "id"], "what", ["a"]).count() == 0
+    with pytest.raises(ValueError):
+        funnels(frame, "k", ["at"], "what", ["a", "a"])
+
+
+def test_reached_follows_cycles_once(spark):
+    rng = random.Random(5)
+    edges = [(rng.choice([None, *range(90)]), rng.choice([None, *range(90)])) for _ in range(110)] + [(200, 201), (201, 200), (7, 7)]
+    seeds = [1, 2, 2, None, 200, 999]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    found = reached(frame, spark.createDataFrame([(s,) for s in seeds], "node long")).collect()
+    steps, now, n = {}, {s for s in seeds if s is not None}, 0
+    while now:
+        steps |= dict.fromkeys(now, n)
+        now, n = {b for a, b in edges if a in now and b is not None} - steps.keys(), n + 1
+    assert sorted((r.node, r.steps) for r in found) == sorted(steps.items())
+    assert reached(frame.limit(0), spark.createDataFrame([], "node long")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    draw = np.random.default_rng(6)
+    middles = draw.normal(size=(12, 6)) * 4
+    made = middles[draw.integers(0, 12, 900)] + draw.normal(size=(900, 6))
+    # A third are copies of one vector.
+    made[::3] = made[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(made)]
+    return spark.createDataFrame(rows, "id long, vector array<double>").repartition(5).cache()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_search_of_all_cells_is_exact(vectors, monkeypatch, metric):
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(cells, "BLOCK_QUERIES", 4)
+    collection = Collection("c", 6, metric)
+    index = build_index(vectors, collection, cells=9)
+    assert index.points.count() == 900 and index.points.select("id").distinct().count() == 900
+    # Copies are cut in slices.
+    assert index.points.groupBy("cell", "slice").count().agg({"count": "max"}).first()[0] < 120
+    asked = vectors.where("id % 50 = 1").withColumnRenamed("id", "query_id")
+    found = {(r.query_id, r["rank"]): (r.id, round(r.score, 6)) for r in nearest_in_cells(index, asked, 7, 9).collect()}
+    true = {(r.query_id, r["rank"]): (r.id, round(r.score, 6)) for r in nearest(vectors, asked, collection, 7).collect()}
+    assert found.keys() == true.keys() and [found[key][1] for key in sorted(found)] == [true[key][1] for key in sorted(true)]
+
+
+def test_few_cells_find_most_neighbours(vectors):
+    collection = Collection("c", 6, "euclidean")
+    index = build_index(vectors, collection)
+    assert len(index.centres) == 30
+    asked = vectors.where("id % 50 = 1").withColumnRenamed("id", "query_id")
+    found = {(r.query_id, r.id) for r in nearest_in_cells(index, asked, 5, 8).collect()}
+    true = {(r.query_id, r.id) for r in nearest(vectors, asked, collection, 5).collect()}
+    assert len(found & true) >= 0.9 * len(true)
+
+
+def test_index_of_nothing_and_of_wrong_vectors(spark, vectors):
+    collection = Collection("c", 6)
+    empty = build_index(vectors.limit(0), collection)
+    asked = vectors.where("id = 1").withColumnRenamed("id", "query_id")
+    assert nearest_in_cells(empty, asked, 5, 3).count() == 0
+    with pytest.raises(Exception, match="not of size"):
+        build_index(spark.createDataFrame([(1, [1.0])], "id long, vector array<double>"), collection)
+    with pytest.raises(ValueError):
+        build_index(vectors, Collection("c", 6, "dot"))
