@@ -1,14 +1,17 @@
 """Personal data: fixed patterns, and terms that reveal the protected entities they stand beside.
 
 E-mail and IP addresses, card and phone numbers are protected entities. A term (a word of letters,
-``MIN_LETTERS`` or more) discloses an entity as far as seeing the term tells of it: their pointwise mutual
-information over the corpus, as a part of the entity's own information. With N texts, n_t that hold the
-term, n_c that hold the entity and n_ct that hold both, the chance of the entity where the term stands is
-taken as (n_ct + PRIOR n_c / N) / (n_t + PRIOR), so that what was seen once tells less than what was seen
-often, and the measure is 1 + log(chance) / log(N / n_c). A term passes with ``DISCLOSURE`` or more, for an
-entity in any number of texts but all. Texts that are copies of each other count as one. Passing terms are
-removed in the documents that hold the entity; entities are generalised to their kind. Documents without an
-entity are left alone.
+``MIN_LETTERS`` or more) discloses an entity as far as seeing the term tells of it: of the entity's own
+information, log(N / n_c) for an entity in n_c of N texts, the pointwise mutual information with the term leaves
+-log(chance), where chance is that of the entity in a text that holds the term. With n_t texts that hold the
+term and n_ct that hold both, it is taken as n_ct / n_t, less by how weak the evidence is: each text with both
+weighs ``NEAR`` / (``NEAR`` + d), d being the words between them at their nearest, and ``LEAST`` at least, and of
+weights that sum up to E the chance is n_ct / n_t * E / (E + ``PRIOR``). So a name that stands right beside an
+entity counts from one text on, one some words away from a few, one anywhere in the texts from many; how many other
+texts the corpus holds without the term changes nothing. A term passes when the chance is ``CHANCE`` or
+more, and more than without the term. Texts that are copies of each other count as one. Passing
+terms are removed in the documents that hold the entity; entities are generalised to their kind. Documents
+without an entity are left alone.
 
 All of it is DataFrame operations. The counts cover all documents and whole texts. A null text holds
 nothing; repeated rows count as often as they occur and give repeated results; other columns are ignored.
@@ -16,7 +19,7 @@ nothing; repeated rows count as often as they occur and give repeated results; o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeseed.workspace import stored
@@ -35,8 +38,11 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 
 MIN_LETTERS = 4
-PRIOR = 1.0
-DISCLOSURE = 0.9
+#: The words at which a sighting weighs half, and the least weight, of 1000 for words side by side.
+NEAR, LEAST = 5, 76
+PRIOR, CHANCE = 500, 0.65
+#: Matches that are placed at a time; the sums of so many are placed the same way.
+BLOCK = 256
 #: Rows of the broadcast that finds texts with copies, at most.
 SLOTS = 1 << 20
 
@@ -60,20 +66,50 @@ def holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str | Column, hint: str) -> Column:
-    """An array of (start, value) of the pattern's matches: what lies between them gives their places."""
+def _let(value: Column, body) -> Column:
+    """The body of a value that is made once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _run_on(pairs: Column, begin: Column, item, kind: str) -> Column:
+    """For each of some pairs (size, gap), in order, an item made of it and of the place it begins at."""
+    start = F.struct(begin.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def add(acc: Column, pair: Column) -> Column:
+        at = acc["at"] + pair["gap"]
+        return F.struct((at + pair["size"]).alias("at"), F.concat(acc["out"], F.array(item(at, pair))).alias("out"))
+
+    return F.aggregate(pairs, start, add)["out"]
+
+
+def matches(text: Column, pattern: str, hint: str) -> Column:
+    """An array of (start, value) of the pattern's matches: what lies between them gives their places.
+
+    Arrays grow by copying, so matches are placed in blocks, which keeps texts of many matches cheap.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda part: F.length(part).cast("long"))
-    pairs = F.arrays_zip(found.alias("value"), F.slice(between, 1, F.size(found)).alias("gap"))
-    none = F.array().cast("array<struct<start: long, value: string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    pairs = _let(found, lambda f: F.zip_with(
+        f, F.slice(between, 1, F.size(f)), lambda v, g: F.struct(v.alias("value"), g.alias("gap"), F.length(v).cast("long").alias("size"))
+    ))
+    kind, none = "struct<start: long, value: string>", F.array().cast("array<struct<start: long, value: string>>")
 
-    def add(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + pair["gap"]
-        item = F.struct(begin.alias("start"), pair["value"].alias("value"))
-        return F.struct((begin + F.length(pair["value"])).alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def placed(blocks: Column) -> Column:
+        sums = F.transform(
+            blocks,
+            lambda block: F.struct(
+                F.lit(0).cast("long").alias("gap"), F.aggregate(block, F.lit(0).cast("long"), lambda n, p: n + p["gap"] + p["size"]).alias("size")
+            ),
+        )
+        heads = _run_on(sums, F.lit(0).cast("long"), lambda at, _: at, "long")
+        item = lambda at, pair: F.struct(at.alias("start"), pair["value"].alias("value"))
+        return F.flatten(F.zip_with(blocks, heads, lambda block, head: _run_on(block, head, item, kind)))
+
+    def cut(all_: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.size(all_), F.lit(BLOCK))
+        return F.when(F.size(all_) > 0, _let(F.transform(steps, lambda at: F.slice(all_, at, BLOCK)), placed)).otherwise(none)
 
-    return F.when(text.rlike(hint), F.aggregate(pairs, start, add)["out"]).otherwise(none)
+    return F.when(text.rlike(hint), _let(pairs, cut)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -123,15 +159,38 @@ def mentions(rows: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{MIN_LETTERS},}}"), F.lit(0)))
+WORD = rf"\p{{L}}{{{MIN_LETTERS},}}+"
 
 
-def beside(rows: DataFrame) -> DataFrame:
-    """key, term for every term outside entities in every text that holds any, once."""
-    # Of the entities only addresses hold letters.
-    free = F.regexp_replace("text", PATTERNS["email"], " 0 ")
-    return rows.where("key is not null").select("key", F.explode(terms(free)).alias("term")).distinct()
+def terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def words_of(rows: DataFrame) -> DataFrame:
+    """key, term, start, end, beside: the words outside entities of every different text that holds any, written once.
+
+    ``beside`` holds the entities before and after the word, with the words between.
+    """
+    once = rows.where("key is not null").dropDuplicates(["key"])
+    no, place = F.lit(None).cast("string"), ("key", "at.start", (F.col("at.start") + F.length("at.value")).alias("end"))
+    words = once.select("key", F.explode(matches(F.col("text"), WORD, r"\p{L}")).alias("at"))
+    words = words.select(*place, F.col("at.value").alias("word"), no.alias("entity"))
+    held = once.select("key", F.explode("spans").alias("at")).select(*place, no.alias("word"), entity(F.col("at")).alias("entity"))
+    is_word = F.col("word").isNotNull()
+    forth = Window.partitionBy("key").orderBy("start", is_word, "entity").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("key").orderBy(F.desc("start"), is_word.desc(), F.desc("entity")).rowsBetween(Window.unboundedPreceding, 0)
+    marked = words.union(held).withColumn("reach", F.max(F.when(~is_word, F.col("end"))).over(forth))
+    # Entities may hold letters, whose words do not count.
+    free = is_word & (F.coalesce("reach", F.lit(0)) <= F.col("start"))
+    marked = marked.withColumn("free", free).withColumn("n", F.sum(F.col("free").cast("long")).over(forth))
+    own = F.when(~is_word, F.struct("entity", "n", "start"))
+    marked = marked.withColumn("left", F.last(own, True).over(forth)).withColumn("right", F.last(own, True).over(back))
+    marked = marked.where("free and (right is null or right.start >= end)")
+    beside = F.array(
+        F.struct(F.col("left.entity").alias("entity"), (F.col("n") - 1 - F.col("left.n")).alias("d")),
+        F.struct(F.col("right.entity").alias("entity"), (F.col("right.n") - F.col("n")).alias("d")),
+    )
+    return stored(marked.select("key", F.lower("word").alias("term"), "start", "end", F.col("word").alias("value"), beside.alias("beside")), "words")
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -154,46 +213,40 @@ def spreads(marked: DataFrame, copies: DataFrame) -> DataFrame:
     return every.union(less).groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def told(documents: DataFrame, rows: DataFrame, classed: DataFrame, held: DataFrame) -> DataFrame:
+def told(documents: DataFrame, words: DataFrame, classed: DataFrame, held: DataFrame) -> DataFrame:
     """class, term for every term that discloses the entities of the class."""
     marked = documents.where("text is not null").select(F.xxhash64("text").alias("mark"), "text")
     copies = stored(marked.groupBy("mark").agg(F.count("*").alias("copies")), "copies")
     total = max(copies.count(), 1)
-    near = beside(rows)
+    near = words.select("key", "term").distinct()
     # The texts with entities alone hold most terms too often; only the others are looked up in the corpus.
     local = near.groupBy("term").agg(F.count("*").alias("n_t"))
     most = held.join(classed.select("class", "n_c").distinct(), "class").where(F.col("n_c") < total)
-    possible = near.join(local, "term").join(most, "key").where(_discloses(total, F.least("n_c", "n_t")))
-    pairs = possible.groupBy("class", "n_c", "term", "n_t").agg(F.count("*").alias("n_ct"))
-    pairs = stored(pairs.where(_discloses(total, F.col("n_ct"))).drop("n_t"), "disclosures")
+    fewer = F.least("n_c", "n_t")
+    possible = near.join(local, "term").join(most, "key").where(_discloses(total, fewer, 1000 * fewer))
+    direct = words.select("key", "term", F.explode("beside").alias("by")).select("key", "term", "by.entity", "by.d")
+    direct = direct.join(classed.select("entity", "class"), "entity").groupBy("key", "term", "class").agg(F.min("d").alias("d"))
+    weight = F.greatest(F.lit(LEAST), F.coalesce(F.expr(f"{1000 * NEAR} div ({NEAR} + d)"), F.lit(LEAST)))
+    pairs = possible.join(direct, ["key", "term", "class"], "left").groupBy("class", "n_c", "term", "n_t")
+    pairs = pairs.agg(F.count("*").alias("n_ct"), F.sum(weight).alias("seen"))
+    shown = _discloses(total, F.col("n_ct"), F.col("seen"))
+    pairs = stored(pairs.where(shown).drop("n_t"), "disclosures")
     wanted = pairs.select("term").distinct()
     spread = spreads(marked, copies).join(wanted, "term")
-    return pairs.join(spread, "term").where(_discloses(total, F.col("n_ct"))).select("class", "term")
+    return pairs.join(spread, "term").where(shown).select("class", "term")
 
 
 def disclosing(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """entity, term for every term that discloses the entity."""
     classed = classes(rows)
     held = mentions(rows).join(classed, "entity").select("key", "class").distinct()
-    return classed.join(told(documents, rows, classed, held), "class").select("entity", "term")
-
+    return classed.join(told(documents, words_of(rows), classed, held), "class").select("entity", "term")
 
-def _discloses(total: int, n_ct: Column) -> Column:
-    """Whether a term's information on an entity is the set part of the entity's own."""
-    alone = F.lit(float(total)) / F.col("n_c")
-    chance = (n_ct + PRIOR / alone) / (F.col("n_t") + PRIOR)
-    return F.log(chance * alone) >= DISCLOSURE * F.log(alone)
 
-
-def term_spans(text: Column, flagged: Column, spans: Column) -> Column:
-    """Where the flagged terms stand in the text, outside the entities."""
-    any_ = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(flagged, "|"), F.lit(r")(?!\p{L})"))
-    words = F.filter(matches(text, any_, r"\p{L}"), lambda m: F.array_contains(flagged, F.lower(m["value"])))
-    free = F.filter(
-        words,
-        lambda m: ~F.exists(spans, lambda s: (s["start"] < m["start"] + F.length(m["value"])) & (m["start"] < s["end"])),
-    )
-    return F.transform(free, lambda m: _span(m["start"], len(KINDS) - 1, m["value"]))
+def _discloses(total: int, n_ct: Column, seen: Column) -> Column:
+    """Whether a term that n_ct texts hold beside the entity leaves little enough of the entity's information."""
+    chance = n_ct / F.col("n_t") * (seen / (seen + PRIOR))
+    return (chance >= CHANCE) & (chance * total > F.col("n_c"))
 
 
 def found(documents: DataFrame) -> DataFrame:
@@ -202,12 +255,13 @@ def found(documents: DataFrame) -> DataFrame:
     classed = classes(rows)
     held = stored(mentions(rows).join(classed, "entity").select("key", "class").distinct(), "held")
     with_entity = rows.where("key is not null")
-    passing = stored(told(documents, rows, classed, held), "told")
-    flagged = beside(rows).join(passing, "term").join(held, ["key", "class"])
-    flagged = flagged.groupBy("key").agg(F.collect_set("term").alias("flagged"))
+    words = words_of(rows)
+    passing = stored(told(documents, words, classed, held), "told")
+    flagged = words.join(passing, "term").join(held, ["key", "class"]).select("key", "start", "end", "value").distinct()
+    number = F.lit(len(KINDS) - 1).alias("kind")
+    flagged = flagged.groupBy("key").agg(F.collect_list(F.struct("start", number, "end", "value")).alias("more"))
     marked = with_entity.join(flagged, "key", "left")
-    more = F.when(F.col("flagged").isNotNull(), term_spans(F.col("text"), F.col("flagged"), F.col("spans")))
-    every = F.array_sort(F.concat("spans", F.coalesce(more, F.array().cast(SPAN))))
+    every = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast(SPAN))))
     marked = marked.select("doc_id", "text", F.col("spans").alias("base"), every.alias("spans"))
     plain = rows.where("key is null").select("doc_id", "text", F.col("spans").alias("base"), "spans")
     return marked.union(plain)

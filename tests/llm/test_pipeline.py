@@ -52,5 +52,5 @@ def test_odd_documents_and_empty_table(spark, documents, odd_rows):
 
 
 def test_names():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
     assert set(queries.CHECKS) <= set(queries.QUERIES)
