@@ -6,10 +6,11 @@ rectified outputs are max-pooled over pools of ``POOL`` steps and averaged over
 chunks' features are averaged by length, and a dense layer and a logistic turn them into one probability.
 A null or empty text is one chunk of padding and gets a score like any other.
 
-The network is trained with Adam on at most ``SAMPLE`` labelled texts, those with the smallest hashes of
-their ids, and on at most ``SAMPLE_BYTES`` from the start, middle and end of each; scoring always reads
-whole texts. Rows without a label teach nothing. Without any label every score is 0.5. Several labels of
-one id count once each; repeated rows give repeated results; other columns are ignored.
+The network is trained with Adam on at most ``SAMPLE`` labelled ids, those with the smallest hashes, and on
+the whole text of each; of several texts of one id and label the first in their order. Training and scoring hold
+``GROUP`` chunks at a time, however long a text is. Rows without a label teach nothing. Without any
+label every score is 0.5. Several labels of one id count once each; repeated rows give repeated results; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 WIDTH, STRIDE, POOL = 16, 4, 16
 FILTERS, HIDDEN = 24, 16
 CHUNK, OVERLAP = 4096, 64
-SAMPLE, SAMPLE_BYTES = 4000, 3072
+SAMPLE, GROUP = 4000, 32
 EPOCHS, BATCH, RATE, SEED = 12, 32, 3e-3, 7
 THRESHOLD = 0.3
 
@@ -83,27 +84,51 @@ class Network:
         shares = np.array([len(c) for c in chunks], np.float32)
         return self.probability(np.average([self.pooled(c) for c in chunks], axis=0, weights=shares))
 
-    def gradients(self, rows: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean log loss over texts, each a matrix of windows."""
-        w = self.weights
+    def _pools(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Of some chunks the windows, each pool's largest outputs and where they are, and the pools of each chunk."""
+        rows = [windows(c) for c in chunks]
         counts = [len(r) // POOL for r in rows]
         x = np.concatenate([r[: n * POOL] for r, n in zip(rows, counts, strict=True)])
-        made = (x @ w["filters"]).reshape(-1, POOL, FILTERS)
+        made = (x @ self.weights["filters"]).reshape(-1, POOL, FILTERS)
         top = made.argmax(axis=1)
-        value = np.take_along_axis(made, top[:, None], 1)[:, 0] + w["shift"]
-        owner = np.repeat(np.arange(len(rows)), counts)
-        share = (1 / np.array(counts, np.float32))[owner][:, None]
-        features = np.add.reduceat(np.maximum(value, 0) * share, np.concatenate(([0], np.cumsum(counts)[:-1])))
+        return x, np.take_along_axis(made, top[:, None], 1)[:, 0] + self.weights["shift"], top, counts
+
+    def gradients(self, texts: list[list[bytes]], labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss over texts, each a list of chunks."""
+        w = self.weights
+        chunks = [c for text in texts for c in text]
+        owner = np.repeat(np.arange(len(texts)), [len(text) for text in texts])
+        sizes = np.array([len(c) for c in chunks], np.float32)
+        part = sizes / np.bincount(owner, weights=sizes)[owner]
+        groups = range(0, len(chunks), GROUP)
+        first = self._pools(chunks[:GROUP])
+
+        def group(at: int) -> tuple:
+            # A batch of short texts is one group, whose pools serve both passes.
+            x, value, top, counts = first if at == 0 else self._pools(chunks[at : at + GROUP])
+            share = np.repeat((part[at : at + GROUP] / counts).astype(np.float32), counts)[:, None]
+            return x, value, top, share, np.repeat(owner[at : at + GROUP], counts)
+
+        features = np.zeros((len(texts), FILTERS), w["dense"].dtype)
+        for at in groups:
+            _, value, _, share, of = group(at)
+            np.add.at(features, of, np.maximum(value, 0) * share)
         hidden = np.tanh(features @ w["dense"] + w["bias"])
         chance = 1 / (1 + np.exp(-np.clip(hidden @ w["out"] + w["level"], -30, 30)))[:, 0]
-        d_out = ((chance - labels) / len(rows)).astype(np.float32)[:, None]
+        d_out = ((chance - labels) / len(texts)).astype(np.float32)[:, None]
         d_hidden = d_out @ w["out"].T * (1 - hidden**2)
-        d_value = (d_hidden @ w["dense"].T)[owner] * share * (value > 0)
-        d_made = np.zeros_like(made)
-        np.put_along_axis(d_made, top[:, None], d_value[:, None], 1)
+        d_features = d_hidden @ w["dense"].T
+        filters, shift = np.zeros_like(w["filters"]), np.zeros_like(w["shift"])
+        for at in groups:
+            x, value, top, share, of = group(at)
+            d_value = d_features[of] * share * (value > 0)
+            d_made = np.zeros((len(top), POOL, FILTERS), d_value.dtype)
+            np.put_along_axis(d_made, top[:, None], d_value[:, None], 1)
+            filters += x.T @ d_made.reshape(-1, FILTERS)
+            shift += d_value.sum(axis=0)
         return {
-            "filters": x.T @ d_made.reshape(-1, FILTERS),
-            "shift": d_value.sum(axis=0),
+            "filters": filters,
+            "shift": shift,
             "dense": features.T @ d_hidden,
             "bias": d_hidden.sum(axis=0),
             "out": hidden.T @ d_out,
@@ -111,18 +136,8 @@ class Network:
         }
 
 
-def excerpt(text: str | None) -> bytes:
-    """Start, middle and end of a text, ``SAMPLE_BYTES`` in all, as windows to learn from."""
-    raw = (text or "").encode()
-    third = SAMPLE_BYTES // 3
-    if len(raw) > SAMPLE_BYTES:
-        middle = (len(raw) - third) // 2
-        raw = raw[:third] + raw[middle : middle + third] + raw[-third:]
-    return pieces(raw)[0]
-
-
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Network | None:
-    """Adam over shuffled batches of excerpts, the same for the same rows."""
+def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS) -> Network | None:
+    """Adam over shuffled batches of texts, the same for the same rows."""
     if not texts:
         return None
     rng = np.random.default_rng(SEED)
@@ -134,7 +149,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> Netwo
         order = rng.permutation(len(texts))
         for at in range(0, len(texts), BATCH):
             part = order[at : at + BATCH]
-            slopes = net.gradients([windows(texts[i]) for i in part], labels[part])
+            slopes = net.gradients([pieces((texts[i] or "").encode()) for i in part], labels[part])
             steps += 1
             rate = RATE * (1 - steps / (total + 1))
             for k, g in slopes.items():
@@ -154,13 +169,10 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Netw
     usable = labels.select("doc_id", "quality").where("quality is not null").where(~held_out(F.col("doc_id")))
     drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
 
-    @F.pandas_udf("binary")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(excerpt, na_action=None)
-
-    rows = documents.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "quality", cut("text").alias("raw"))
-    held = rows.toPandas().sort_values(["doc_id", "quality", "raw"])
-    return train([bytes(r) for r in held.raw], held.quality.to_numpy(np.float32))
+    # A row for each drawn id and label, however many rows share the id.
+    rows = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    held = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "quality"])
+    return train(held.text.tolist(), held.quality.to_numpy(np.float32))
 
 
 def scored(text: Column, net: Network | None, spark) -> Column:
