@@ -41,7 +41,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 def letters() -> np.ndarray:
     """For each code point its lower-case letter, or a blank."""
     table = np.full(sys.maxunicode + 1, 32, np.uint32)
-    for c in range(0x30000):
+    for c in range(sys.maxunicode + 1):
         if (s := chr(c)).isalpha():
             low = s.lower()
             table[c] = ord(low) if len(low) == 1 else c

@@ -106,3 +106,9 @@ def test_accepted_keeps_columns(documents, corpus):
     kept = g.accepted(frame)
     assert kept.columns == frame.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_ in corpus)
+
+
+def test_letters_of_all_planes_are_letters(documents):
+    rows = [(i, "an english text of some words", "en", "a") for i in range(8)] + [(100, chr(0x30000) + chr(0x31000), None, "a"), (101, "123", None, "a")]
+    found = {r.doc_id: r.lang_pred for r in g.identified(documents(rows)).collect()}
+    assert found[100] != "und" and found[101] == "und"
