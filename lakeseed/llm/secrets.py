@@ -1,12 +1,12 @@
 """Secret scans: fixed patterns, and random strings that a token vocabulary compresses badly.
 
-Besides the fixed kinds, a run of key characters that mixes letters and digits is a secret when it has
-fewer than ``MAX_RATIO`` characters a token under a public byte-pair vocabulary, as a whole or in a window of
+Besides the fixed kinds, a run of key characters that mixes letters and digits, or small letters and capitals, is
+a secret when it has fewer than ``MAX_RATIO`` characters a token under a public byte-pair vocabulary, as a whole or in a window of
 whole tokens of ``MIN_RANDOM`` characters or more: words and code compress to three or four characters a
 token, random strings to less than two. Windows find secrets joined to words by separators, as in paths and
 query strings; those that overlap are one span, from which words at the ends are left out and which ends at
-separators. Known digests (hexadecimal of a usual length, UUIDs) and identifiers (words with short numbers,
-joined by separators) are left out, and of runs that touch a span found already the touched part.
+separators. Known digests (hexadecimal of a usual length, UUIDs) and identifiers (words in one case, capitalised or
+joined by capitals, with short numbers; parts of dates; formulas; all joined by separators) are left out, and of runs that touch a span found already the touched part.
 
 Null texts have no spans; texts are scanned whole; repeated rows give repeated results; other columns
 are ignored.
@@ -22,7 +22,7 @@ from itertools import accumulate
 
 import pandas as pd
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -43,8 +43,12 @@ DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Digests and UUIDs within a run.
 KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Za-z0-9])")
-IDENTIFIER = re.compile(r"(?:[A-Za-z]*[0-9]{0,6}[+/=_-])*[A-Za-z]*[0-9]{0,6}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+SEPARATOR = re.compile("[+/=_-]")
+#: A part of an identifier: a word and a number, a number and a unit, a formula, or a date and time.
+PART = re.compile(
+    r"(?:[a-z]+|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*)?[0-9]{0,6}|[0-9]{1,6}[A-Za-z]{1,2}[0-9]{0,6}|(?:[A-Z][a-z]?[0-9]{0,2}){1,4}|[0-9]{8}T[0-9]{6}Z?"
+)
+MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])|.*[a-z].*[A-Z]|.*[A-Z]{2}.*[a-z]")
 #: How the vocabulary cuts texts into words before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -64,7 +68,7 @@ def is_known(run: str) -> bool:
     return (
         (len(run) in DIGEST_SIZES and DIGEST.fullmatch(run) is not None)
         or UUID.fullmatch(run) is not None
-        or IDENTIFIER.fullmatch(run) is not None
+        or all(PART.fullmatch(part) for part in SEPARATOR.split(run))
     )
 
 
@@ -159,26 +163,28 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
-def scan(text: Column, ranks: dict[bytes, int]) -> Column:
+def scan(text: Column, ranks: dict[bytes, int], spark: SparkSession) -> Column:
     """A struct for each text: the number of spans of each base kind, base spans and all spans."""
+    sent = spark.sparkContext.broadcast(ranks)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base string, spans string")
-    def scanned(texts: pd.Series) -> pd.DataFrame:
-        coder = encoder(ranks)
-        rows = []
-        for whole in texts:
-            base = base_spans(whole or "")
-            kinds = [kind for _, kind, _ in base]
-            spans = base + random_spans(whole or "", base, coder)
-            rows.append((*(kinds.count(k) for k in range(3)), _written(base), _written(spans)))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base", "spans"])
+    def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        coder = encoder(sent.value)
+        for texts in batches:
+            rows = []
+            for whole in texts:
+                base = base_spans(whole or "")
+                kinds = [kind for _, kind, _ in base]
+                spans = base + random_spans(whole or "", base, coder)
+                rows.append((*(kinds.count(k) for k in range(3)), _written(base), _written(spans)))
+            yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base", "spans"])
 
     return scanned(text)
 
 
 def found(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Spans of every document."""
-    rows = documents.select("doc_id", scan(F.col("text"), read_vocabulary(vocabulary)).alias("found"))
+    rows = documents.select("doc_id", scan(F.col("text"), read_vocabulary(vocabulary), documents.sparkSession).alias("found"))
     return rows.select(
         "doc_id",
         "found.n_assign",
@@ -191,4 +197,4 @@ def found(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def clean(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The documents without any span, with all their columns."""
-    return documents.where(scan(documents["text"], read_vocabulary(vocabulary))["spans"] == "")
+    return documents.where(scan(documents["text"], read_vocabulary(vocabulary), documents.sparkSession)["spans"] == "")
