@@ -79,6 +79,47 @@ def test_estimate_like_exact_steps(spark):
     assert abs(np.linalg.slogdet(cover)[1] - np.linalg.slogdet(exact_cover)[1]) < 0.3
 
 
+def plain_mcd(x, rng):
+    """The minimum covariance determinant from many random starts, each step over all rows."""
+    h, best = int(o.CORE * len(x)), None
+    for _ in range(60):
+        near = rng.choice(len(x), 6, replace=False)
+        for _ in range(60):
+            centre = x[near].mean(axis=0)
+            cover = np.cov(x[near].T, bias=True) + np.diag(o.FLOOR**2)
+            far = [(v - centre) @ np.linalg.inv(cover) @ (v - centre) for v in x]
+            near = np.argsort(far)[:h]
+        determinant = np.linalg.det(cover)
+        best = (determinant, np.array(far)) if best is None or determinant < best[0] else best
+    return best
+
+
+@pytest.mark.parametrize("block_rows", [64, 4096])
+def test_verdicts_like_plain_mcd(spark, monkeypatch, block_rows):
+    """Correlated vectors with two clusters of outliers: the same rows are far, in one block and in many."""
+    monkeypatch.setattr(o, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((260, 5)) @ np.triu(np.full((5, 5), 0.4))
+    x = np.concatenate([x, rng.standard_normal((25, 5)) * 0.2 + [6, -6, 6, -6, 6], rng.standard_normal((15, 5)) * 0.2 - 9])
+    frame = spark.createDataFrame([("g", len(x), v.tolist()) for v in x], "grp string, n_grp long, x array<double>")
+    centre, cover = o.unpacked(np.array(o.estimates(frame).first().model))
+    determinant, far = plain_mcd(x, rng)
+    assert np.log(determinant) - np.linalg.slogdet(cover)[1] == pytest.approx(0, abs=0.15)
+    found = o.distances(x, centre, cover) > o.CUTOFF
+    assert found[260:].all() and not found[:260].any()
+    assert (found == (far > o.CUTOFF)).all()
+
+
+def test_small_groups_are_judged_by_their_language(documents, corpus):
+    """Sources of one text each, and a language of three: junk goes, clean texts stay."""
+    rng = np.random.default_rng(6)
+    lone = [(2000 + i, text(rng, i % 2 == 1), "en", f"host{i}") for i in range(12)]
+    few = [(3000 + i, text(rng), "xx", "a") for i in range(3)]
+    found = {r.doc_id: r.kept for r in o.judged(documents(corpus + lone + few)).collect()}
+    assert [found[2000 + i] for i in range(12)] == [i % 2 == 0 for i in range(12)]
+    assert all(found[3000 + i] for i in range(3))
+
+
 def test_odd_rows_and_empty_table(documents, odd_rows):
     found = o.judged(documents(odd_rows, clash=True)).collect()
     assert len(found) == len(odd_rows)
