@@ -1,9 +1,11 @@
 """Benchmark decontamination: test n-grams in a broadcast hash set, scanned over all token windows.
 
 Texts are lower-cased (A-Z) and cut into words of letters, digits and anything beyond ASCII. An item's
-windows are its runs of ``WINDOW`` words; a shorter item is one window. The windows are sent to the
-tasks in blocks of at most ``BLOCK_WINDOWS``, so one broadcast has a fixed bound however large the
-benchmark is; every document passes every block and the hits of all blocks are united.
+windows are its runs of ``WINDOW`` words; a shorter item is one window. Spark makes the windows, each once
+for every item that holds it, and writes them in blocks of about ``BLOCK_WINDOWS``. One block after another
+is broadcast, all texts are scanned with it, the texts with hits are written by their hash and the broadcast
+is freed; so driver and tasks hold a single block, however large the benchmark is. The hits of a text in
+all blocks are then united, and joined to the documents by the hash.
 
 Null texts and texts without a word have no words and no hits; items without a word have no windows;
 items that share an id are one item and an item without an id hits words but is not counted. Repeated
@@ -12,13 +14,16 @@ rows give repeated results; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeseed.workspace import stored
+
 WINDOW = 13
 BLOCK_WINDOWS = 500_000
 #: A document is contaminated when at least one word in this many is hit.
@@ -33,21 +38,34 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(NORMAL).split() if text else []
 
 
-def blocks(items: Iterable, size: int = BLOCK_WINDOWS) -> Iterator[dict[int, dict[bytes, tuple]]]:
-    """Windows by length, each with the ids of its items; ``size`` windows at most in a block."""
-    block, held = {}, 0
-    for item_id, text in items:
-        found = words(text)
-        k = min(WINDOW, len(found))
-        for p in range(len(found) - k + 1 if k else 0):
+def windows(benchmark: DataFrame) -> DataFrame:
+    """size, window, item: every window once for each item that holds it."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item_id, text in zip(batch.item, batch.text, strict=True):
+                found = words(text)
+                k = min(WINDOW, len(found))
+                if k:
+                    held = {b" ".join(found[p : p + k]) for p in range(len(found) - k + 1)}
+                    yield pd.DataFrame({"size": k, "window": list(held), "item": item_id})
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    return rows.mapInPandas(cut, "size int, window binary, item string").distinct()
+
+
+def blocks(benchmark: DataFrame, size: int) -> Iterator[dict[int, dict[bytes, tuple]]]:
+    """Windows by length, each with the ids of its items; about ``size`` rows of ``windows`` in a block."""
+    made = stored(windows(benchmark), "benchmark-windows")
+    n = -(-made.count() // size)
+    part = F.pmod(F.xxhash64("window", "item"), F.lit(n))
+    for number in range(n):
+        block: dict[int, dict[bytes, tuple]] = {}
+        rows = made if n == 1 else made.where(part == number)
+        for k, window, item in rows.toLocalIterator():
             same = block.setdefault(k, {})
-            key = b" ".join(found[p : p + k])
-            same[key] = same.get(key, ()) + (() if item_id is None else (str(item_id),))
-            held += 1
-            if held == size:
-                yield block
-                block, held = {}, 0
-    if block:
+            key = bytes(window)
+            same[key] = same.get(key, ()) + (() if item is None else (item,))
         yield block
 
 
@@ -77,22 +95,28 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(spark, block: dict) -> object:
-    shared = spark.sparkContext.broadcast(block)
+HITS = "text_hash binary, n_words long, starts array<long>, ends array<long>, items array<string>"
+
+
+def _found(texts: DataFrame, block: dict) -> DataFrame:
+    """``HITS`` of the texts that a block's windows hit, written."""
+    shared = texts.sparkSession.sparkContext.broadcast(block)
 
-    @F.pandas_udf("n_words long, starts array<long>, ends array<long>, items array<string>")
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        windows = shared.value
-        vocabulary = frozenset(w for same in windows.values() for key in same for w in key.split(b" "))
-        rows = []
-        for text in texts:
-            found = words(text)
-            spans, items = occurrences(found, windows, vocabulary)
-            spans = union(spans)
-            rows.append((len(found), [s for s, _ in spans], [e for _, e in spans], sorted(items)))
-        return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = frozenset(w for same in shared.value.values() for key in same for w in key.split(b" "))
+        for batch in batches:
+            rows = []
+            for text_hash, text in zip(batch.text_hash, batch.text, strict=True):
+                said = words(text)
+                spans, items = occurrences(said, shared.value, vocabulary)
+                if spans:
+                    spans = union(spans)
+                    rows.append((text_hash, len(said), [s for s, _ in spans], [e for _, e in spans], sorted(items)))
+            yield pd.DataFrame(rows, columns=["text_hash", "n_words", "starts", "ends", "items"])
 
-    return scan
+    made = stored(texts.mapInPandas(scan, HITS), "benchmark-hits")
+    shared.destroy()
+    return made
 
 
 def _united(starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
@@ -103,46 +127,66 @@ def _united(starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["starts", "ends"])
 
 
-def hits(text: Column, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> Column:
-    """A struct for each text: n_words, starts and ends of hit word spans, ids of the items that occur."""
-    items = (tuple(row) for row in benchmark.select("item_id", "text").toLocalIterator())
-    found = [_scan(benchmark.sparkSession, block)(text) for block in blocks(items, block_windows)]
-    if len(found) < 2:
-        return found[0] if found else _scan(benchmark.sparkSession, {})(text)
+def hits(texts: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """``HITS``, one row for each different text with hits: its words, starts and ends of hit spans, ids of the items."""
+    texts = texts.select(text_hash(), "text").where("text IS NOT NULL")
+    columns = ["starts", "ends", "items"]
+    found = [_found(texts, block).withColumn("block", F.lit(i)) for i, block in enumerate(blocks(benchmark, block_windows))]
+    if not found:
+        return texts.sparkSession.createDataFrame([], HITS)
+    # Copies of a text have the same hits in a block: one of them, then one list for each block.
+    first = [F.first(c).alias(c) for c in ("n_words", *columns)]
+    once = reduce(DataFrame.union, found).groupBy("text_hash", "block").agg(*first)
+    every = F.collect_list(F.struct(*columns)).alias("every")
+    whole = once.groupBy("text_hash").agg(F.first("n_words").alias("n_words"), every)
+    lists = whole.select("text_hash", "n_words", *(F.flatten(F.col("every")[c]).alias(c) for c in columns))
     merge = F.pandas_udf(_united, "starts array<long>, ends array<long>")
-    joint = merge(*(F.concat(*(part[name] for part in found)) for name in ("starts", "ends")))
-    ids = F.array_distinct(F.concat(*(part["items"] for part in found)))
-    return F.struct(
-        found[0]["n_words"].alias("n_words"), joint["starts"].alias("starts"), joint["ends"].alias("ends"), ids.alias("items")
-    )
+    joint = lists.withColumn("joint", merge("starts", "ends"))
+    return joint.select("text_hash", "n_words", "joint.starts", "joint.ends", F.array_distinct("items").alias("items"))
+
+
+def text_hash() -> Column:
+    return F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("text_hash")
+
+
+def counted(text: Column) -> Column:
+    """Words of a text."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(words(t)) for t in texts], dtype="int64")
+
+    return count(text)
 
 
-def n_hit(found: Column) -> Column:
-    lengths = F.zip_with(found["starts"], found["ends"], lambda s, e: e - s)
-    return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b)
+def n_hit() -> Column:
+    lengths = F.zip_with("starts", "ends", lambda s, e: e - s)
+    return F.coalesce(F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0).cast("long"))
 
 
-def is_contaminated(found: Column) -> Column:
-    return (n_hit(found) > 0) & (n_hit(found) * HIT_SHARE >= found["n_words"])
+def is_contaminated() -> Column:
+    return (n_hit() > 0) & (n_hit() * HIT_SHARE >= F.col("n_words"))
 
 
 def judged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Words, hit words, items found and the verdict of every document."""
-    found = documents.select("doc_id", hits(F.col("text"), benchmark).alias("found"))
-    ids = F.sort_array("found.items")
-    return found.select(
+    rows = documents.select("doc_id", text_hash(), counted(F.col("text")).alias("n_words"))
+    rows = rows.join(hits(documents, benchmark).drop("n_words"), "text_hash", "left")
+    ids = F.sort_array(F.coalesce("items", F.array().cast("array<string>")))
+    return rows.select(
         "doc_id",
-        F.col("found.n_words").alias("n_words"),
-        n_hit(F.col("found")).alias("n_hit"),
-        F.size("found.items").cast("long").alias("n_items"),
+        "n_words",
+        n_hit().alias("n_hit"),
+        F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
-        is_contaminated(F.col("found")).alias("contaminated"),
+        is_contaminated().alias("contaminated"),
     )
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    return documents.where(~is_contaminated(hits(documents["text"], benchmark)))
+    bad = hits(documents, benchmark).where(is_contaminated()).select(F.col("text_hash").alias("bad_hash"))
+    return documents.join(bad, F.unhex(F.sha2(documents["text"].cast("binary"), 256)) == bad["bad_hash"], "left_anti")
 
 
 def _cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
@@ -164,6 +208,7 @@ def _cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
 
 def without_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id and text of every document with the hit words cut out."""
-    found = documents.select("doc_id", "text", hits(F.col("text"), benchmark).alias("found"))
+    rows = documents.select("doc_id", "text", text_hash()).join(hits(documents, benchmark), "text_hash", "left")
+    none = F.array().cast("array<long>")
     cut = F.pandas_udf(_cut, "string")
-    return found.select("doc_id", cut("text", "found.starts", "found.ends").alias("text"))
+    return rows.select("doc_id", cut("text", F.coalesce("starts", none), F.coalesce("ends", none)).alias("text"))

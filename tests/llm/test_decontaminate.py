@@ -62,11 +62,12 @@ def test_like_plain(spark, documents, benchmark):
     assert rows(d.judged(documents(DOCS, clash=True), benchmark)) == plain(DOCS, items)
 
 
-@pytest.mark.parametrize("size", [1, 3, 7])
+@pytest.mark.parametrize("size", [3, 15])
 def test_blocks_change_nothing(documents, benchmark, size, monkeypatch):
     whole = rows(d.judged(documents(DOCS), benchmark))
-    monkeypatch.setattr(d, "hits", lambda text, bench, hits=d.hits: hits(text, bench, size))
+    monkeypatch.setattr(d, "hits", lambda texts, bench, hits=d.hits: hits(texts, bench, size))
     assert rows(d.judged(documents(DOCS), benchmark)) == whole
+    assert sorted(r.doc_id for r in d.clean(documents(DOCS), benchmark).collect()) == [3, 4, 7, 8, 8]
 
 
 def test_clean_and_cut(documents, benchmark):
