@@ -1,16 +1,18 @@
-"""Repeated passages: a family of sparse suffix arrays that grows by batches and merges geometrically.
+"""Repeated passages: a family of anchor indexes that grows by batches and merges geometrically.
 
 A byte is removed when a string of ``LENGTH`` bytes that covers it also starts earlier, in a document with a
 smaller id or before it in the same one. Every window of ``LENGTH`` bytes has an anchor, the smallest hash
 of its ``GRAM``-byte grams (of equal ones the first), so equal windows have equal anchors at equal places.
-The suffix arrays hold the suffixes at anchors only, one for each run of windows with the same anchor:
-sorted by the anchor's gram, then by the string that the run's windows span.
+The index holds the texts at anchors only, one entry for each run of windows with the same anchor. It takes the place of
+suffix arrays: entries are ordered by a hash of the anchor's gram and a hash of the string that the run's
+windows span, not by the bytes that follow, and equal spans are found by equal hashes, not by common prefixes.
 
-* A batch of documents becomes suffix arrays of its tasks. Runs that repeat within a task are found there,
+* A batch of documents becomes an index in each of its tasks. Runs that repeat within a task are found there,
   and only the first of them goes on, so a passage in any number of documents is one entry of a task.
 * The batch is exchanged by anchor and scanned together with the existing levels, in order. A run whose
   whole span stands earlier in the order is covered. New spans become a new level, and before a batch is
-  added neighbouring levels of like size are merged, so there are logarithmically many.
+  added neighbouring levels of like size are merged, so there are logarithmically many. With the ``BATCHES`` of the
+  registered query no levels merge; callers that add more batches see merges.
 * Anchors with several spans are where matches begin and end. Their spans are cut from the texts and all
   their windows are compared, anchor by anchor; anchors with very many spans are dealt out in parts whose
   first windows are then compared by hash in an aggregate.
