@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -50,30 +51,35 @@ def first_error_stream(messages: DataFrame, stream: str, seq: str, body: str) ->
     )
 
 
-SPANS = "first_ms long, last_ms long, puts long, seq long, value string"
+SPANS = "first_ms array<long>, last_ms array<long>, puts array<long>, seq array<long>, value array<string>"
 
 
-class _Expiring(StatefulProcessor):
-    """The lifetimes of a key that are still open: from its first put until so long after its last."""
+class _Expiring:
+    """The lifetimes of a key that are still open: from its first put until so long after its last.
+
+    They are a key's one state, which comes with its rows and goes back with what comes out, and its one timer
+    waits for the first of them to end: a call to the store for each lifetime takes longer than all else here.
+    """
 
     def __init__(self, ttl_ms: int, columns: list[str]) -> None:
         self.ttl_ms, self.columns = ttl_ms, columns
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", SPANS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        spans = [tuple(span) for span in self.open.get()]
+    def __call__(self, key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        spans = list(zip(*state.get, strict=True)) if state.exists else []
         for batch in rows:
             new = zip(batch["at_ms"], batch["seq"], batch["value"], strict=True)
             spans = self._merged(spans + [(int(at), int(at), 1, int(seq), value) for at, seq, value in new])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.open.put(spans)
-        for span in spans:
-            self.handle.registerTimer(span[1] + self.ttl_ms)
-        yield self._frame(key, [])
+        now = state.getCurrentWatermarkMs()
+        over = [span for span in spans if span[1] + self.ttl_ms <= now]
+        left = [span for span in spans if span[1] + self.ttl_ms > now]
+        if left:
+            state.update(tuple(map(list, zip(*left, strict=True))))
+            # A timer fires when the watermark has passed it; a lifetime ends when the watermark reaches its end.
+            state.setTimeoutTimestamp(max(1, min(span[1] for span in left) + self.ttl_ms - 1))
+        elif state.exists:
+            state.remove()
+        if over:
+            yield self._frame(key, over)
 
     def _merged(self, spans: list[tuple]) -> list[tuple]:
         out: list[tuple] = []
@@ -85,24 +91,10 @@ class _Expiring(StatefulProcessor):
             out.append(span)
         return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        spans = [tuple(span) for span in self.open.get()]
-        over = [span for span in spans if span[1] + self.ttl_ms <= now]
-        left = [span for span in spans if span[1] + self.ttl_ms > now]
-        if left:
-            self.open.put(left)
-        else:
-            self.open.clear()
-        yield self._frame(key, over)
-
     def _frame(self, key, spans: list[tuple]) -> pd.DataFrame:
         rows = [(*key, first, last, last + self.ttl_ms, puts, value) for first, last, puts, _, value in spans]
         return pd.DataFrame(rows, columns=self.columns)
 
-    def close(self) -> None:
-        pass
-
 
 def expired(puts: DataFrame, key: str, value: str, at: str, seq: str, ttl_ms: int, late: str) -> DataFrame:
     """Key/value puts as a stream, with a time to live: each lifetime of a key, when it has expired.
@@ -121,6 +113,6 @@ def expired(puts: DataFrame, key: str, value: str, at: str, seq: str, ttl_ms: in
     for name in ("first_ms", "last_ms", "expired_ms", "puts"):
         out = out.add(name, "long")
     out = out.add("value", "string")
-    return used.groupBy("key").transformWithStateInPandas(
-        _Expiring(ttl_ms, out.names), out, outputMode="Append", timeMode="EventTime"
+    return used.groupBy("key").applyInPandasWithState(
+        _Expiring(ttl_ms, out.names), out, SPANS, "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,41 @@ def test_lifetimes_do_not_depend_on_the_order_of_puts():
     assert keeper._merged([*want, (6, 6, 1, 6, "6")])[0] == (0, 12, 5, 12, "12")
 
 
+class _State:
+    """A key's state that counts what it is asked for."""
+
+    def __init__(self, now):
+        self.now, self.value, self.timers = now, None, []
+        self.getCurrentWatermarkMs = lambda: self.now
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, at):
+        self.timers.append(at)
+
+
+def test_a_key_has_one_timer_for_all_its_lifetimes():
+    keeper, state = _Expiring(5, ["k", "first_ms", "last_ms", "expired_ms", "puts", "value"]), _State(0)
+    times = range(100, 2100, 10)
+    rows = pd.DataFrame([(t, t, str(t)) for t in times], columns=["at_ms", "seq", "value"])
+    assert list(keeper(("a",), iter([rows[90:], rows[:90]]), state)) == []
+    assert state.timers == [104] and len(state.value[0]) == 200
+    # The watermark at the very end of a lifetime ends it.
+    state.now = 1105
+    assert [len(out) for out in keeper(("a",), iter([]), state)] == [101]
+    assert state.timers == [104, 1114]
+    state.now = 9999
+    (rest,) = keeper(("a",), iter([]), state)
+    assert rest["first_ms"].tolist() == list(times)[101:] and not state.exists and len(state.timers) == 2
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_a_join_of_streams_is_that_of_the_tables(spark, how):
     clicks, bought = Feed(spark, "k string, c timestamp, n long"), Feed(spark, "k string, b timestamp, m long")
