@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: States that a task holds before it passes them on.
+#: States that a task holds before it passes them on, and bytes of them.
 HELD = 100_000
+HELD_BYTES = 16 * 1024 * 1024
 #: Groups of tasks whose states are merged first, so that no key's states of all tasks meet at once.
 MERGE_GROUPS = 64
 
@@ -51,17 +52,24 @@ def aggregated(rows: DataFrame, keys: list[str], columns: list[str], aggregate:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, bytes] = {}
-        task = 0
+        task = size_held = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             task = batch.column(batch.num_columns - 1)[0].as_py()
             for key, part in _groups(batch, size):
                 state = aggregate.fold(part)
-                held[key] = aggregate.merge([held[key], state]) if key in held else state
+                if key in held:
+                    size_held -= len(held[key])
+                    state = aggregate.merge([held[key], state])
+                held[key] = state
+                size_held += len(state)
+                if size_held >= HELD_BYTES:
+                    yield _states(held, task, arrow)
+                    held, size_held = {}, 0
             if len(held) >= HELD:
                 yield _states(held, task, arrow)
-                held = {}
+                held, size_held = {}, 0
         yield _states(held, task, arrow)
 
     @F.arrow_udf("binary")
@@ -96,25 +104,43 @@ def _states(held: dict[tuple, bytes], task: int, schema: pa.Schema) -> pa.Record
 
 @dataclass(frozen=True)
 class LongestStreak(Aggregate):
-    """The longest run of whole numbers that all occur, of numbers from 0 on: a bit for each number is the state."""
+    """The longest run of whole numbers that all occur, of numbers from 0 on.
+
+    The state is the first byte of bits that has one, as a number of four bytes, and the bytes of bits from there to the last.
+    """
 
     limit: int = 1 << 20
 
     def fold(self, values: list[pa.Array]) -> bytes:
         numbers = values[0].drop_null().to_numpy(zero_copy_only=False)
-        if len(numbers) and not (0 <= numbers.min() and numbers.max() < self.limit):
+        if not len(numbers):
+            return b""
+        if not (0 <= numbers.min() and numbers.max() < self.limit):
             raise ValueError(f"numbers must lie from 0 to {self.limit}")
-        bits = np.zeros(int(numbers.max()) + 1 if len(numbers) else 0, bool)
-        bits[numbers] = True
-        return np.packbits(bits, bitorder="little").tobytes()
+        first = int(numbers.min()) // 8
+        bits = np.zeros(int(numbers.max()) + 1 - 8 * first, bool)
+        bits[numbers - 8 * first] = True
+        return self._state(first, np.packbits(bits, bitorder="little"))
 
     def merge(self, states: list[bytes]) -> bytes:
-        bits = np.zeros(max(map(len, states)), np.uint8)
-        for state in states:
-            bits[: len(state)] |= np.frombuffer(state, np.uint8)
-        return bits.tobytes()
+        parts = [self._parts(state) for state in states if state]
+        if not parts:
+            return b""
+        first = min(at for at, _ in parts)
+        bits = np.zeros(max(at + len(part) for at, part in parts) - first, np.uint8)
+        for at, part in parts:
+            bits[at - first : at - first + len(part)] |= part
+        return self._state(first, bits)
 
     def finish(self, state: bytes) -> int:
-        bits = np.unpackbits(np.frombuffer(state, np.uint8), bitorder="little")
+        if not state:
+            return 0
+        bits = np.unpackbits(self._parts(state)[1], bitorder="little")
         edges = np.flatnonzero(np.diff(np.r_[0, bits, 0]))
         return int((edges[1::2] - edges[::2]).max(initial=0))
+
+    def _state(self, first: int, bits: np.ndarray) -> bytes:
+        return first.to_bytes(4, "little") + bits.tobytes()
+
+    def _parts(self, state: bytes) -> tuple[int, np.ndarray]:
+        return int.from_bytes(state[:4], "little"), np.frombuffer(state, np.uint8, offset=4)

@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeseed.operators import aggregates, cells
@@ -48,6 +49,17 @@ def test_hot_keys_are_a_state_for_each_task(spark):
     assert plan.index("hashpartitioning(k") < plan.index("MapInArrow")
 
 
+def test_states_are_as_long_as_their_numbers_lie_apart(spark, monkeypatch):
+    streak = LongestStreak()
+    days = [streak.fold([pa.array(days, pa.int32())]) for days in ([20_000, 20_003], [20_001, None], [20_030, 20_002], [None], [19_990])]
+    assert max(map(len, days)) <= 12 and len(streak.merge(days)) <= 12
+    assert streak.finish(streak.merge(days)) == 4 and streak.finish(streak.merge(days[3:4])) == 0
+    # What a task holds is bounded in bytes, too.
+    monkeypatch.setattr(aggregates, "HELD_BYTES", 30)
+    frame = spark.range(3000).selectExpr("id % 40 AS k", "cast(id % 7 + 20000 as int) AS day").repartition(3)
+    assert {r.streak for r in aggregated(frame, ["k"], ["day"], streak, "streak").collect()} == {7}
+
+
 def test_streaks_refuse_numbers_out_of_range(spark):
     frame = spark.createDataFrame([("a", -1)], "k string, day int")
     with pytest.raises(Exception, match="must lie from 0"):
