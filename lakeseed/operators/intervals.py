@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeseed.workspace import stored
@@ -101,3 +101,48 @@ def overlaps(
     met = met.where((F.greatest("own_l", "own_r") == F.col("level")) & (F.col("start_l") < F.col("end_r")) & (F.col("start_r") < F.col("end_l")))
     once = F.call_function("shiftright", F.greatest("start_l", "start_r"), F.col("level")) == F.col("bin")
     return met.where(once).select(LEFT, RIGHT)
+
+
+def totals_within(intervals: DataFrame, points: DataFrame, span: tuple[str, str], at: str, value: str) -> DataFrame:
+    """``start, end, points, total`` of each distinct half-open interval with points in it: their number and the sum of a value.
+
+    No pair of an interval and a point is formed, as their number grows with the square of the rows. The
+    moments that have points are numbered in order, and summed in blocks of 1, 2, 4 and so on of them; an interval is
+    cut into whole blocks, two of a size at most, which meet theirs. Sums are of the interval's own values only.
+    """
+    spans = intervals.select(*(F.col(name).cast("long").alias(as_) for name, as_ in zip(span, ("start", "end"), strict=True)))
+    spans = stored(spans.where("start < end").distinct(), "spans")
+    spots = points.select(F.col(at).cast("long").alias("t"), F.col(value).alias("v")).where("t is not null")
+    spots = spots.groupBy("t").agg(F.count("*").alias("n"), F.sum("v").alias("total")).withColumn("spot", F.lit(1))
+    bounds = spans.select(F.explode(F.array("start", "end")).alias("t")).withColumn("spot", F.lit(0))
+    moments = spots.unionByName(bounds, allowMissingColumns=True).groupBy("t").agg(*(F.max(c).alias(c) for c in ("spot", "n", "total")))
+
+    # Numbered range by range, each from the count of the ranges before it; the ranges are written, as others may come next time.
+    placed = stored(moments.repartitionByRange("t").withColumn("part", F.spark_partition_id()), "moments")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("part").agg(F.sum("spot").alias("spots"))
+    offsets = offsets.select("part", F.coalesce(F.sum("spots").over(before.orderBy("part")), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("spot").over(before.partitionBy("part").orderBy("t")), F.lit(0))
+    ranked = placed.withColumn("inside", inside).join(F.broadcast(offsets), "part")
+    ranked = stored(ranked.select("t", (F.col("inside") + F.col("offset")).alias("rank"), "spot", "n", "total"), "ranks")
+    for bound, name in (("start", "a"), ("end", "b")):
+        spans = spans.join(ranked.select(F.col("t").alias(bound), F.col("rank").alias(name)), bound)
+    spans = stored(spans.where("a < b"), "ranked-spans")
+
+    levels = range((spans.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 1).bit_length())
+    cut = []
+    for level in levels:
+        low, high = (F.call_function("shiftright", c, F.lit(level)) for c in (F.col("a") + ((1 << level) - 1), F.col("b")))
+        for block, odd in ((low, low), (high - 1, high)):
+            piece = F.struct(F.lit(level).alias("level"), block.alias("block"))
+            cut.append(F.when((low < high) & (F.pmod(odd, F.lit(2)) == 1), piece))
+    pieces = spans.select("start", "end", F.explode(F.array_compact(F.array(*cut))).alias("piece"))
+    pieces = pieces.select("start", "end", "piece.level", "piece.block")
+    blocks = ranked.where("spot = 1").withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    blocks = blocks.groupBy("level", F.call_function("shiftright", F.col("rank"), F.col("level")).alias("block"))
+    blocks = blocks.agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    unit = ("block", "next")
+    met = overlaps(*(side.withColumn("next", F.col("block") + 1) for side in (pieces, blocks)), unit, unit, ["level"])
+    return met.groupBy(F.col("l.start").alias("start"), F.col("l.end").alias("end")).agg(
+        F.sum("r.n").alias("points"), F.sum("r.total").alias("total")
+    )

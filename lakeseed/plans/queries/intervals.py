@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseed.operators.intervals import micros, overlaps
+from lakeseed.operators.intervals import micros, overlaps, totals_within
 from lakeseed.sources.tables import read_table
 
 
@@ -14,9 +14,10 @@ def interval_contains(spark: SparkSession, folder: str) -> DataFrame:
     events = read_table(spark, folder, "events").select("event_id", "ts", "event_type", "value")
     at = micros("ts").alias("start")
     signups = events.where("event_type = 'signup'").select("event_id", at, (at + F.floor(F.col("value") * 60) * 1_000_000).alias("end"))
-    errors = events.where("event_type = 'error'").select("value", at, (at + 1).alias("end"))
-    met = overlaps(signups, errors, ("start", "end"), ("start", "end"))
-    counts = met.groupBy("l.event_id").agg(F.count("*").alias("errors"), F.round(F.sum("r.value"), 2).alias("total"))
+    errors = events.where("event_type = 'error'").select("value", at)
+    found = totals_within(signups, errors, ("start", "end"), "start", "value")
+    met = signups.join(found, ["start", "end"])
+    counts = met.groupBy("event_id").agg(F.sum("points").alias("errors"), F.round(F.sum("total"), 2).alias("total"))
     return signups.select("event_id").join(counts, "event_id", "left").fillna(0, ["errors"])
 
 

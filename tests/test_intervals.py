@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from lakeseed.operators import intervals
-from lakeseed.operators.intervals import overlaps
+from lakeseed.operators.intervals import overlaps, totals_within
 from lakeseed.plans.queries.intervals import interval_contains
 
 SCHEMA = "id long, k string, start long, end long"
@@ -70,3 +70,28 @@ def test_empty_sides(spark):
 def test_no_plan_forms_all_pairs(spark):
     plan = interval_contains(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_totals_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "BIN_ROWS", 50)
+    rng = random.Random(9)
+    spans = [(a, a + rng.choice([0, 1, 2, 90, rng.randint(-3, 400)])) for a in (rng.randint(-200, 200) for _ in range(150))]
+    spans += [(-(1 << 40), 1 << 41), (None, 5), (5, None), (7, 8), (7, 8)]
+    # A third of the points are at one moment; values may be null, not numbers, or far greater than others.
+    points = [(7 if n % 3 == 0 else rng.randint(-250, 700), rng.choice([None, 0.25, 1.5, 1e12])) for n in range(600)]
+    points += [(690, float("nan")), (None, 1.0), (-240, float("inf"))]
+    frames = spark.createDataFrame(spans, "start long, end long"), spark.createDataFrame(points, "t long, v double").repartition(5)
+    seen = []
+    monkeypatch.setattr(intervals, "overlaps", lambda *args: seen.append(overlaps(*args)) or seen[-1])
+    found = {(r.start, r.end): (r.points, repr(r.total)) for r in totals_within(*frames, ("start", "end"), "t", "v").collect()}
+    want = {}
+    for a, b in spans:
+        inside = [v for t, v in points if None not in (a, b, t) and a <= t < b]
+        values = [v for v in inside if v is not None]
+        if inside:
+            want[a, b] = (len(inside), repr(sum(values)) if values else "None")
+    assert found == want and want
+    # Each interval meets two blocks of a size at most, however many points it holds.
+    assert seen[0].count() <= 20 * len(set(spans)) < sum(n for n, _ in want.values())
+    none = totals_within(frames[0].limit(0), frames[1], ("start", "end"), "t", "v")
+    assert none.count() == 0 and totals_within(frames[0], frames[1].limit(0), ("start", "end"), "t", "v").count() == 0
