@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lakeseed.functions.scalars import first_filled
 from lakeseed.operators.write import filled_or_error, last_wins
-from lakeseed.workspace import file_system, is_folder
+from lakeseed.workspace import file_system, full_path, is_folder, stored
 
 # Fixed value: content type of an object that was put without one.
 DEFAULT_TYPE = "application/octet-stream"
@@ -25,12 +25,15 @@ GETS_AT_ONCE = 8
 # Bytes of content that a task reads at a time, and in all.
 READ_BYTES = 32 * 1024 * 1024
 TASK_BYTES = 128 * 1024 * 1024
+# Rows that a task lists at a time.
+LIST_ROWS = 10_000
 # The folder beside the buckets that holds the manifests.
 MANIFESTS = "_manifest"
 WRITTEN = "bucket string, key string, content_type string, length bigint"
 MANIFEST = f"{WRITTEN}, put_at bigint"
 MANIFEST_COLUMNS = ["bucket", "key", "content_type", "length", "put_at"]
 READ = "bucket string, key string, length bigint, content_type string, content binary"
+LISTED = "place string, length bigint, is_folder boolean"
 
 
 # Fixed patterns: file names that Spark's listings would hide or Hadoop paths refuse.
@@ -90,15 +93,15 @@ def _reader(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = file_system(root)
 
-        def get(folder: pa.Scalar, path: pa.Scalar) -> bytes:
-            with store.open_input_stream(f"{base}/{folder}/{path}") as stream:
+        def get(place: pa.Scalar) -> bytes:
+            with store.open_input_stream(f"{base}/{place}") as stream:
                 return stream.read()
 
         with ThreadPoolExecutor(GETS_AT_ONCE) as pool:
             for batch in batches:
                 for start, end in _slices(batch.column("length").to_pylist()):
                     part = batch.slice(start, end - start)
-                    found = list(pool.map(get, part.column("folder"), part.column("path")))
+                    found = list(pool.map(get, part.column("place")))
                     kept = [part.column(name) for name in ("bucket", "key", "length", "content_type")]
                     names = ["bucket", "key", "length", "content_type", "content"]
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.binary())], names=names)
@@ -118,6 +121,50 @@ def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def _hidden(name: str, is_folder: bool) -> bool:
+    """Whether Spark's file sources pass over a name."""
+    if name.endswith("._COPYING_") or name.startswith("."):
+        return True
+    return name.startswith("_") and "=" not in name and not (is_folder and name.startswith(("_metadata", "_common_metadata")))
+
+
+def _lister(root: str):
+    """Task function: what lies in folders below a root, a level at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = file_system(root)
+        for batch in batches:
+            for folder in batch.column("place").to_pylist():
+                found = store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                for start in range(0, len(found), LIST_ROWS):
+                    part = [(x.base_name, x.size, x.type == fs.FileType.Directory) for x in found[start : start + LIST_ROWS] if x.type != fs.FileType.NotFound]
+                    part = [(f"{folder}/{name}".lstrip("/"), size, kind) for name, size, kind in part if not _hidden(name, kind)]
+                    columns = [pa.array(column, kind) for column, kind in zip(zip(*part), (pa.string(), pa.int64(), pa.bool_()))]
+                    if columns:
+                        yield pa.RecordBatch.from_arrays(columns, names=["place", "length", "is_folder"])
+
+    return run
+
+
+def _files_below(spark: SparkSession, root: str) -> DataFrame:
+    """place (below the root) and length of every file of a folder. Tasks list its folders, one level after the other."""
+    found, level = [], spark.createDataFrame([("",)], "place string")
+    while True:
+        spread = level.repartition(spark.sparkContext.defaultParallelism, "place")
+        entries = stored(spread.mapInArrow(_lister(root), LISTED), "listed")
+        found.append(entries.where("not is_folder and length > 0").select("place", "length"))
+        level = entries.where("is_folder").select("place")
+        if level.isEmpty():
+            return reduce(DataFrame.union, found)
+
+
+def _spread(known: DataFrame, *keys: str) -> DataFrame:
+    """What is to be read, dealt out to tasks of about ``TASK_BYTES``."""
+    total = known.agg(F.sum("length")).first()[0] or 0
+    cores = known.sparkSession.sparkContext.defaultParallelism
+    return known.repartition(max(cores, -(-total // TASK_BYTES)), *keys)
+
+
 def put_objects(
     objects: DataFrame,
     root: str,
@@ -172,15 +219,24 @@ def read_objects(spark: SparkSession, root: str) -> DataFrame:
 
     The manifests tell tasks what to read; nothing is listed.
     """
-    known = _placed(stat_objects(spark, root)).select("bucket", "key", "length", "content_type", "folder", "path")
-    total = known.agg(F.sum("length")).first()[0] or 0
-    cores = spark.sparkContext.defaultParallelism
-    spread = known.repartition(max(cores, -(-total // TASK_BYTES)), "bucket", "key")
-    return spread.mapInArrow(_reader(root), READ)
+    place = F.concat("folder", F.lit("/"), "path").alias("place")
+    known = _placed(stat_objects(spark, root)).select("bucket", "key", "length", "content_type", place)
+    return _spread(known, "bucket", "key").mapInArrow(_reader(root), READ)
 
 
 def file_objects(spark: SparkSession, path: str, bucket: str, prefix: str = "", content_type: str = "") -> DataFrame:
-    """The files below a path as objects to put: their keys are their paths below it, after a prefix."""
+    """The files below a path as objects to put: their keys are their paths below it, after a prefix.
+
+    Tasks list a folder and read its files, so the driver holds no list of them. Single files, patterns and
+    stores that only Spark's own readers open are listed by Spark, on the driver. Empty files are passed over.
+    """
+    if is_folder(spark, path):
+        root = full_path(spark, path)
+        if _opens(root):
+            known = _files_below(spark, root).select(
+                F.lit(bucket).alias("bucket"), F.concat(F.lit(prefix), "place").alias("key"), "length", F.lit(content_type).alias("content_type"), "place"
+            )
+            return _spread(known, "place").mapInArrow(_reader(root), READ).select("bucket", "key", "content", "content_type")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     whole = F.regexp_extract("path", "[^/]+$", 0)
     if is_folder(spark, path):
@@ -190,3 +246,12 @@ def file_objects(spark: SparkSession, path: str, bucket: str, prefix: str = "",
     return files.select(
         F.lit(bucket).alias("bucket"), key.alias("key"), "content", F.lit(content_type).alias("content_type")
     )
+
+
+def _opens(root: str) -> bool:
+    """Whether tasks can open the store of a path by themselves."""
+    try:
+        file_system(root)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
